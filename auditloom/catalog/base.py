@@ -113,6 +113,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     (".env", 'FLASK_DEBUG=1\nSESSION_COOKIE_SECURE=False\nAPI_TOKEN="k8Dv2nQp9sLx4Zt7Wm1Ry"\nPASSWORD="changeme-please"\n'),
     (".py", 'from flask import request\ndef show():\n    p = request.args["p"]\n    if os.path.exists(p):\n        return open(p).read()\n    f = request.files["f"]\n    f.save("/srv")\n    answer = client.messages.create(x)\n    os.system(answer)\n'),
     (".js", 'function pay(a, b) {\n  // audit:allow gen_non_atomic_multi_write\n  await Account.update(a.balance);\n  await Account.update(b.balance);\n  const ok = DOMPurify.sanitize(req.query.q);\n  el.innerHTML = ok;\n  const n = parseInt(req.query.n);\n  db.query("select " + n);\n}\n'),
+    (".js", 'const up = multer({ dest: "/tmp/up" });\nconst api = new ApolloServer({ typeDefs });\nconst wss = new WebSocketServer({ port: 1 });\nfunction upload(req, res) {\n  res.send(err);\n}\n'),
+    (".py", 'from lxml import etree\nimport websockets\ndef parse(body):\n    tree = etree.fromstring(body)\n    websockets.serve(handle, "x", 1)\n    return tree\n'),
 )
 N_TEMPLATES = len(TEMPLATES)
 

@@ -41,11 +41,21 @@ def split_lines(source: Column) -> Column:
     return F.split(F.regexp_replace(source, r"\r?\n$", ""), r"\r?\n")
 
 
-def code_line(line: Column, kind: Column) -> Column:
-    """The line without comments, by the comment style of the file kind."""
-    return F.when(kind.isin("JavaScript", "Go"), strip_slash_comment(line)).otherwise(
-        strip_hash_comment(line)
-    )
+def code_lines(source: Column, kind: Column) -> Column:
+    """Lines without comments; the comment style is chosen once per file."""
+    lines = split_lines(source)
+    return F.when(
+        kind.isin("JavaScript", "Go"), F.transform(lines, strip_slash_comment)
+    ).otherwise(F.transform(lines, strip_hash_comment))
+
+
+def once(value: Column) -> Column:
+    """Evaluate ``value`` a single time per row.
+
+    The optimizer may inline a projected column into every place that uses it;
+    a generator is a boundary it does not move expressions across.
+    """
+    return F.explode(F.array(value))
 
 
 def entropy(value: Column) -> Column:
@@ -85,7 +95,7 @@ PLACEHOLDER_PATTERN = "|".join(
 
 def is_placeholder(value: Column) -> Column:
     """Whether a literal is a stand-in rather than a credential."""
-    v = F.lower(F.trim(F.lit("\"'"), F.trim(value)))
+    v = F.lower(F.trim(F.trim(value), F.lit("\"'")))
     return (F.length(v) < MIN_CREDENTIAL_LENGTH) | v.rlike(PLACEHOLDER_PATTERN)
 
 

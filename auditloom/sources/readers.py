@@ -77,7 +77,7 @@ def read_rustsec(spark: SparkSession, path: str) -> DataFrame:
 
 def normalize_rustsec(docs: DataFrame) -> DataFrame:
     toml = F.regexp_extract("text", r"(?s)```toml(.*?)```", 1)
-    field = lambda k: F.nullif(F.trim(F.lit('" '), F.regexp_extract("toml", rf"(?m)^\s*{k} = (.*)$", 1)), F.lit(""))
+    field = lambda k: F.nullif(F.trim(F.regexp_extract("toml", rf"(?m)^\s*{k} = (.*)$", 1), F.lit('" ')), F.lit(""))
     listed = lambda k: F.filter(
         F.transform(
             F.regexp_extract_all(F.regexp_extract("toml", rf"(?s){k} = \[(.*?)\]", 1), F.lit('"([^"]*)"'), F.lit(1)), F.trim
