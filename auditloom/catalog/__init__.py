@@ -1,6 +1,6 @@
 """Registered queries with their SQL twins."""
 
 from .base import REGISTRY
-from . import q_corpus, q_findings, q_risk, q_rules
+from . import q_corpus, q_findings, q_history, q_risk, q_rules, q_sca
 
 __all__ = ["REGISTRY"]

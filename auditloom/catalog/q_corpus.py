@@ -51,7 +51,7 @@ def p10(spark, sf):
     return C.repo_scope(B.code_files(spark, sf))
 
 
-_HARNESS = C.HARNESS_MARKERS + r"|\bharness\b|\bis the\b"
+_HARNESS = C.HARNESS_MARKERS + r"|harness|is the "
 
 
 @query("p14_drop_test_harness", with_ctes(B.FILES, body=f"""SELECT repo, path FROM files

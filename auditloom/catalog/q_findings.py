@@ -221,9 +221,9 @@ def a11(spark, sf):
 
 
 CLASSES = {
-    "english": (r"\bthe\b|\bwith\b", ["doc_email", "doc_credential"]),
-    "german": (r"\bund\b|\bder\b", ["doc_licence", "doc_ipv4"]),
-    "french": (r"\bles\b|\bque\b", ["doc_credential"]),
+    "english": (r"\sthe\s|\swith\s", ["doc_email", "doc_credential"]),
+    "german": (r"\sund\s|\sder\s", ["doc_licence", "doc_ipv4"]),
+    "french": (r"\sles\s|\sque\s", ["doc_credential"]),
 }
 
 

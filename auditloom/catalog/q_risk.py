@@ -330,7 +330,7 @@ def r21f(spark, sf):
 
 _ROUTE_RE = "|".join(f"(?:{r})" for r in REF.THREAT_ROUTE)
 _ROUTE = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {q(_ROUTE_RE)}, {g + 1}), '')" for g in range(5)) + ")"
-_TOK = {"data_store": r"(?i)\bthe\b|\bder\b", "outbound": r"(?i)\brequests\.(get|post)|fetch\(|\bque\b", "secret_source": r"(?i)\btoken\b|\bos\.system"}
+_TOK = {"data_store": r"(?i) the | der ", "outbound": r"(?i)\brequests\.(get|post)|fetch\(| que ", "secret_source": r"(?i)\btoken\b|\bos\.system"}
 
 
 @query("r22_entry_points", with_ctes(B.CODE_FILES, B.lines_cte("code_files"), body=f"SELECT repo, path, line, {_ROUTE} AS route FROM lines WHERE {_ROUTE} IS NOT NULL"))

@@ -104,10 +104,10 @@ def r7(spark, sf):
     return R.repo_absence(_small(spark, sf), *P.REPO_RULES[0]).select(*COLS)
 
 
-@query("r7_repo_absence_prose", _repo_absence_sql(_SMALL_REPOS, r"\bthe\b", r"\bder\b", "prose_absence", "Low").replace(
+@query("r7_repo_absence_prose", _repo_absence_sql(_SMALL_REPOS, r" the ", r" der ", "prose_absence", "Low").replace(
     B.split_sql("source") + " AS arr FROM code_files", B.split_sql("source") + " AS arr FROM small"))
 def r7b(spark, sf):
-    return R.repo_absence(_small(spark, sf), r"\bthe\b", r"\bder\b", "prose_absence", "Low", "x").select(*COLS)
+    return R.repo_absence(_small(spark, sf), r" the ", r" der ", "prose_absence", "Low", "x").select(*COLS)
 
 
 @query("r8_grouped_first_use", with_ctes(*B.CODE_LINES, body=f"""
@@ -190,7 +190,7 @@ def r15(spark, sf):
     return R.pattern_db_scan(B.files(spark, sf), db, "evm")
 
 
-_CALL, _RESET = r"\bthe\b", r"\bwas\b"
+_CALL, _RESET = r" the ", r" was "
 
 
 @query("r16_call_without_prior_update", with_ctes(B.FILES, B.LINES, body=f"""

@@ -8,77 +8,108 @@ from pyspark.sql import Column, functions as F
 WIDTH = 12
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for ``body``; a plain reference would be evaluated per use."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def version_key(text: Column) -> Column:
     """``struct(core array<bigint>, rank int, tag string, width int)``; NULL if unparseable.
 
     Order: padded numeric core, then rank (tag 0 < release 1 < post 2), then tag.
     """
-    s = F.regexp_replace(F.regexp_replace(F.trim(text), "^v+", ""), "^=+", "")
-    s = F.split_part(s, F.lit("+"), F.lit(1))
-    core_text = F.split_part(s, F.lit("-"), F.lit(1))
-    dash_tag = F.when(F.locate("-", s) > 0, F.regexp_extract(s, r"^[^-]*-([\s\S]*)$", 1))
-    parts = F.split(core_text, r"\.")
-    # Position of the first segment that is not purely numeric.
-    stop = F.array_position(F.transform(parts, lambda p: ~p.rlike("^[0-9]+$")), F.lit(True))
-    odd = F.get(parts, (stop - 1).cast("int"))
-    odd_digits = F.regexp_extract(odd, "^([0-9]*)", 1)
-    whole = F.when(stop > 0, F.slice(parts, F.lit(1), (stop - 1).cast("int"))).otherwise(parts)
-    segments = F.when(
-        (stop > 0) & (odd_digits != ""), F.concat(whole, F.array(odd_digits))
-    ).otherwise(whole)
-    numbers = F.transform(segments, lambda p: p.try_cast("bigint"))
-    odd_tag = F.when(
-        stop > 0, F.regexp_extract(odd, r"^[0-9]*([\s\S]*)$", 1)
-    )
-    tag = F.coalesce(dash_tag, odd_tag)
-    rank = F.when(tag.isNull(), 1).when(tag.startswith("post"), 2).otherwise(0)
-    # An empty segment before the tag, an overflowing number or no number at all.
-    before = F.when(stop > 0, F.slice(parts, F.lit(1), stop.cast("int"))).otherwise(parts)
-    bad = (
-        (F.size(numbers) == 0)
-        | F.exists(before, lambda p: p == "")
-        | F.exists(numbers, lambda n: n.isNull())
-        | (F.size(numbers) > WIDTH)
-    )
-    padded = F.slice(
-        F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), WIDTH)), F.lit(1), F.lit(WIDTH)
-    )
-    return F.when(
-        text.isNotNull() & ~bad,
-        F.struct(
-            padded.alias("core"),
-            rank.cast("int").alias("rank"),
-            F.coalesce(tag, F.lit("")).alias("tag"),
-            F.size(numbers).alias("width"),
-        ),
+    cleaned = F.split_part(
+        F.regexp_replace(F.regexp_replace(F.trim(text), "^v+", ""), "^=+", ""), F.lit("+"), F.lit(1)
     )
 
+    def split(s: Column) -> Column:
+        return F.struct(
+            F.split(F.split_part(s, F.lit("-"), F.lit(1)), r"\.").alias("parts"),
+            F.when(F.locate("-", s) > 0, F.regexp_extract(s, r"^[^-]*-([\s\S]*)$", 1)).alias("dash"),
+        )
+
+    def locate(p: Column) -> Column:
+        # Position of the first segment that is not purely numeric; it ends the core.
+        odd = F.array_position(F.transform(p["parts"], lambda x: ~x.rlike("^[0-9]+$")), F.lit(True))
+        return F.struct(p["parts"].alias("parts"), p["dash"].alias("dash"), odd.cast("int").alias("stop"))
+
+    def read(p: Column) -> Column:
+        tagged = p["stop"] > 0
+        odd = F.get(p["parts"], p["stop"] - 1)
+        digits = F.regexp_extract(odd, "^([0-9]*)", 1)
+        whole = F.when(tagged, F.slice(p["parts"], F.lit(1), p["stop"] - 1)).otherwise(p["parts"])
+        segments = F.when(tagged & (digits != ""), F.concat(whole, F.array(digits))).otherwise(whole)
+        upto = F.when(tagged, F.slice(p["parts"], F.lit(1), p["stop"])).otherwise(p["parts"])
+        return F.struct(
+            F.transform(segments, lambda x: x.try_cast("bigint")).alias("numbers"),
+            F.coalesce(p["dash"], F.when(tagged, F.regexp_extract(odd, r"^[0-9]*([\s\S]*)$", 1))).alias("tag"),
+            F.exists(upto, lambda x: x == "").alias("hole"),
+        )
+
+    def finish(v: Column) -> Column:
+        # An empty segment, an overflowing number or no number at all is no version.
+        bad = (
+            v["hole"] | (F.size(v["numbers"]) == 0) | (F.size(v["numbers"]) > WIDTH)
+            | F.exists(v["numbers"], lambda n: n.isNull())
+        )
+        padded = F.slice(
+            F.concat(v["numbers"], F.array_repeat(F.lit(0).cast("bigint"), WIDTH)), F.lit(1), F.lit(WIDTH)
+        )
+        rank = F.when(v["tag"].isNull(), 1).when(v["tag"].startswith("post"), 2).otherwise(0)
+        return F.when(
+            ~bad,
+            F.struct(
+                padded.alias("core"), rank.cast("int").alias("rank"),
+                F.coalesce(v["tag"], F.lit("")).alias("tag"), F.size(v["numbers"]).alias("width"),
+            ),
+        )
+
+    parsed = let(cleaned, lambda s: let(split(s), lambda p: let(locate(p), lambda q: let(read(q), finish))))
+    return F.when(text.isNotNull(), parsed)
+
 
 def sort_key(version: Column) -> Column:
-    """The comparable part of a version key."""
-    return F.struct(version["core"], version["rank"], version["tag"])
+    """The comparable part of a version key; NULL stays NULL."""
+    return F.when(version.isNotNull(), F.struct(version["core"], version["rank"], version["tag"]))
 
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1 / 0 / 1 of two version texts; NULL when either does not parse."""
-    ka, kb = version_key(a), version_key(b)
-    return F.when(ka.isNull() | kb.isNull(), None).when(
-        sort_key(ka) < sort_key(kb), -1
-    ).when(sort_key(ka) > sort_key(kb), 1).otherwise(0)
+    pair = F.struct(sort_key(version_key(a)).alias("a"), sort_key(version_key(b)).alias("b"))
+    return let(
+        pair,
+        lambda p: F.when(p["a"].isNull() | p["b"].isNull(), None)
+        .when(p["a"] < p["b"], -1).when(p["a"] > p["b"], 1).otherwise(0),
+    )
+
+
+OPERATORS = r"^(<=|>=|<|>|=|\^|~)"
+
+
+def requirement_clauses(requirement: Column) -> Column:
+    """A comma-separated requirement as ``array<struct<op, key>>``; parse it once, match it often."""
+    texts = F.filter(F.transform(F.split(requirement, ","), lambda c: F.trim(c)), lambda c: c != "")
+    return F.transform(
+        texts,
+        lambda c: F.struct(
+            F.regexp_extract(c, OPERATORS, 1).alias("op"),
+            version_key(F.trim(F.regexp_replace(c, OPERATORS, ""))).alias("key"),
+        ),
+    )
+
+
+def clauses_match(v: Column, clauses: Column) -> Column:
+    """Whether a version key meets every parsed clause; an unparseable target never matches."""
+    return F.forall(clauses, lambda c: F.coalesce(_clause(v, c["op"], c["key"]), F.lit(False)))
 
 
 def req_matches(version: Column, requirement: Column) -> Column:
     """Whether a version text meets every comma-separated clause of a requirement."""
-    v = version_key(version)
-    clauses = F.filter(
-        F.transform(F.split(requirement, ","), F.trim), lambda c: c != ""
-    )
-    return F.when(v.isNull(), None).otherwise(F.forall(clauses, lambda c: _clause(v, c)))
+    both = F.struct(version_key(version).alias("v"), requirement_clauses(requirement).alias("c"))
+    return let(both, lambda b: F.when(b["v"].isNotNull(), clauses_match(b["v"], b["c"])))
 
 
-def _clause(v: Column, clause: Column) -> Column:
-    op = F.regexp_extract(clause, r"^(<=|>=|<|>|=|\^|~)", 1)
-    t = version_key(F.trim(F.regexp_replace(clause, r"^(<=|>=|<|>|=|\^|~)", "")))
+def _clause(v: Column, op: Column, t: Column) -> Column:
     sv, st = sort_key(v), sort_key(t)
 
     def at(k: Column, i: int) -> Column:
@@ -91,15 +122,14 @@ def _clause(v: Column, clause: Column) -> Column:
         & F.when(at(t, 1) != 0, F.lit(True)).otherwise(at(v, 2) == at(t, 2))
     )
     tilde = (sv >= st) & same_major & ((t["width"] < 2) | same_minor)
-    return F.coalesce(
+    return (
         F.when(op == ">=", sv >= st)
         .when(op == ">", sv > st)
         .when(op == "<=", sv <= st)
         .when(op == "<", sv < st)
         .when(op == "=", sv == st)
         .when(op == "~", tilde)
-        .otherwise(caret),
-        F.lit(False),
+        .otherwise(caret)
     )
 
 

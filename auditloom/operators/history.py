@@ -306,13 +306,11 @@ def vendor_drift(files: DataFrame, touched: DataFrame, submodules: DataFrame) ->
         "repo", "path", F.regexp_extract("path", lib, 1).alias("dir"), F.regexp_extract("path", lib, 2).alias("name"),
         F.trim(F.regexp_extract("source", r"(?m)^\s*pragma\s+solidity\s+(.+?)\s*;", 1)).alias("pragma"),
     ).filter(~F.col("name").isin("forge-std", "ds-test", "forge-std-1"))
-    matches = F.flatten(F.array(*[
-        F.transform(
-            F.array(*[F.lit(p) for p in patterns]),
-            lambda p, no=no: F.struct((-F.length(p)).alias("n"), F.lit(no).alias("lib"), p.alias("p")),
-        )
-        for no, (_, patterns, _) in enumerate(KNOWN_LIBS)
-    ]))
+    # The longest matching pattern names the library.
+    matches = F.array(*[
+        F.struct(F.lit(-len(p)).alias("n"), F.lit(no).alias("lib"), F.lit(p).alias("p"))
+        for no, (_, patterns, _) in enumerate(KNOWN_LIBS) for p in patterns
+    ])
     best = F.array_min(F.filter(matches, lambda m: F.contains(F.lower("name"), m["p"])))
     known = src.withColumn("lib", best["lib"])
     labels = F.array(*[F.lit(l) for l, _, _ in KNOWN_LIBS])

@@ -120,7 +120,7 @@ def san_match(host: Column, sans: Column, subject: Column) -> Column:
     """A name equals the host or is a one-label wildcard; the CN counts only without SANs."""
     h = F.lower(host)
     cns = F.transform(
-        F.filter(F.transform(F.split(subject, ","), F.trim), lambda p: p.startswith("CN=")),
+        F.filter(F.transform(F.split(subject, ","), lambda p: F.trim(p)), lambda p: p.startswith("CN=")),
         lambda p: p.substr(F.lit(4), F.length(p)),
     )
     names = F.transform(F.when(F.size(F.coalesce(sans, F.array().cast("array<string>"))) == 0, cns).otherwise(sans), F.lower)

@@ -24,26 +24,36 @@ def sorted_packages(packages: DataFrame) -> DataFrame:
     return packages.select("repo", *COORDINATES).distinct().orderBy("repo", *COORDINATES)
 
 
-def is_affected(version: Column, advisory: dict[str, Column]) -> Column:
-    """Requirement lists, when given, replace versions and ranges."""
-    v = V.version_key(version)
-    sv = V.sort_key(v)
-    listed = F.size(advisory["patched"]) + F.size(advisory["unaffected"]) > 0
-    by_lists = ~(
-        F.exists(advisory["patched"], lambda r: V.req_matches(version, r))
-        | F.exists(advisory["unaffected"], lambda r: V.req_matches(version, r))
+def prepare_advisories(advisories: DataFrame) -> DataFrame:
+    """Advisories with every version and requirement parsed once."""
+    key = V.version_key
+    return advisories.select(
+        "id", "ecosystem", F.lower("name").alias("_name"), "score", "informational",
+        TX.once(F.struct(
+            F.transform("ranges", lambda r: F.struct(
+                V.sort_key(key(r["intro"])).alias("lo"), V.sort_key(key(r["end"])).alias("hi"), r["inclusive"].alias("inclusive"),
+            )).alias("ranges"),
+            F.transform("versions", lambda x: V.sort_key(key(x))).alias("versions"),
+            F.transform("patched", lambda r: V.requirement_clauses(r)).alias("patched"),
+            F.transform("unaffected", lambda r: V.requirement_clauses(r)).alias("unaffected"),
+        )).alias("spec"),
     )
-    explicit = F.exists(
-        advisory["versions"], lambda x: F.coalesce(V.sort_key(V.version_key(x)) == sv, F.lit(False))
+
+
+def is_affected(v: Column, spec: Column) -> Column:
+    """Whether a version key is hit; requirement lists, when given, replace versions and ranges."""
+    sv = V.sort_key(v)
+    listed = F.size(spec["patched"]) + F.size(spec["unaffected"]) > 0
+    safe = F.exists(spec["patched"], lambda c: V.clauses_match(v, c)) | F.exists(
+        spec["unaffected"], lambda c: V.clauses_match(v, c)
     )
+    explicit = F.exists(spec["versions"], lambda x: F.coalesce(x == sv, F.lit(False)))
 
     def inside(r: Column) -> Column:
-        lo, hi = V.version_key(r["intro"]), V.version_key(r["end"])
-        above = sv >= V.sort_key(lo)
-        below = F.when(r["inclusive"], sv <= V.sort_key(hi)).otherwise(sv < V.sort_key(hi))
-        return (lo.isNull() | above) & (hi.isNull() | below)
+        below = F.when(r["inclusive"], sv <= r["hi"]).otherwise(sv < r["hi"])
+        return (r["lo"].isNull() | (sv >= r["lo"])) & (r["hi"].isNull() | below)
 
-    return F.when(listed, by_lists).otherwise(explicit | F.exists(advisory["ranges"], inside))
+    return F.when(listed, ~safe).otherwise(explicit | F.exists(spec["ranges"], inside))
 
 
 def vulnerable_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -54,18 +64,12 @@ def vulnerable_packages(packages: DataFrame, advisories: DataFrame) -> DataFrame
     The hits then join back to all packages by equality, where a package in a
     third of all repositories is split by adaptive skew handling.
     """
-    key = F.lower("name").alias("_name")
-    pins = packages.select("ecosystem", key, "version").distinct().filter(
-        V.version_key(F.col("version")).isNotNull()
-    )
-    adv = advisories.select(
-        F.col("ecosystem"), key, "id", "score", "informational",
-        *[F.col(c) for c in ("ranges", "versions", "patched", "unaffected")],
-    )
-    parts = {c: F.col(c) for c in ("ranges", "versions", "patched", "unaffected")}
+    pins = packages.select("ecosystem", F.lower("name").alias("_name"), "version").distinct().withColumn(
+        "v", TX.once(V.version_key(F.col("version")))
+    ).filter(F.col("v").isNotNull())
     hits = (
-        pins.join(adv, ["ecosystem", "_name"])
-        .filter(is_affected(F.col("version"), parts))
+        pins.join(prepare_advisories(advisories), ["ecosystem", "_name"])
+        .filter(is_affected(F.col("v"), F.col("spec")))
         .groupBy("ecosystem", "_name", "version", "id")
         .agg(F.max("score").alias("score"), F.max("informational").alias("informational"))
     )

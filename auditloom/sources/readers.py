@@ -80,7 +80,8 @@ def normalize_rustsec(docs: DataFrame) -> DataFrame:
     field = lambda k: F.nullif(F.trim(F.regexp_extract("toml", rf"(?m)^\s*{k} = (.*)$", 1), F.lit('" ')), F.lit(""))
     listed = lambda k: F.filter(
         F.transform(
-            F.regexp_extract_all(F.regexp_extract("toml", rf"(?s){k} = \[(.*?)\]", 1), F.lit('"([^"]*)"'), F.lit(1)), F.trim
+            F.regexp_extract_all(F.regexp_extract("toml", rf"(?s){k} = \[(.*?)\]", 1), F.lit('"([^"]*)"'), F.lit(1)),
+            lambda v: F.trim(v),
         ),
         lambda v: v != "",
     )
