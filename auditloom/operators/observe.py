@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..dims import reference as REF
 from ..functions import scoring as S
+from ..functions import text as TX
+from ..functions import versions as V
 
 # Cookie names that carry a session, and version-bearing headers.
 SESSION_WORDS = ("session", "sess", "token", "auth", "sid", "jwt", "csrf", "xsrf", "remember", "login")
@@ -157,29 +159,49 @@ def ipv4_number(text: Column) -> Column:
 
 def ipv6_hex(text: Column) -> Column:
     """An IPv6 address as 32 hex digits, so ranges compare as strings."""
+
+    def groups(s: Column) -> Column:
+        return F.filter(F.split(s, ":"), lambda g: g != "")
+
+    def sides(parts: Column) -> Column:
+        right = F.when(F.size(parts) > 1, groups(F.get(parts, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.size(parts).alias("n"), groups(F.get(parts, F.lit(0))).alias("left"), right.alias("right")
+        )
+
+    def fill(p: Column) -> Column:
+        gap = 8 - F.size(p["left"]) - F.size(p["right"])
+        whole = F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), p["right"])
+        fits = F.when(p["n"] == 2, gap >= 1).otherwise((p["n"] == 1) & (F.size(p["left"]) == 8))
+        return F.when(fits, whole)
+
+    def join(full: Column) -> Column:
+        return F.when(
+            ~F.exists(full, lambda g: F.length(g) > 4),
+            F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""),
+        )
+
     t = F.lower(text)
-    sides = F.split(t, "::")
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left = groups(F.get(sides, F.lit(0)))
-    right = F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
-    gap = 8 - F.size(left) - F.size(right)
-    has_gap = F.size(sides) == 2
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    ok = t.rlike("^[0-9a-f:]+$") & F.contains(t, F.lit(":")) & (F.size(sides) <= 2) & (
-        (has_gap & (gap >= 1)) | (~has_gap & (F.size(left) == 8))
-    ) & ~F.exists(full, lambda g: F.length(g) > 4)
-    return F.when(ok, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(
+        t.rlike("^[0-9a-f:]+$") & F.contains(t, F.lit(":")),
+        V.let(F.split(t, "::"), lambda parts: V.let(sides(parts), lambda p: V.let(fill(p), join))),
+    )
 
 
 def parse_scope(entries: DataFrame) -> DataFrame:
     """Scope lines to ranges: ``kind`` v4, v6 or domain with ``lo``/``hi``; malformed lines go."""
-    line = F.trim(F.substring_index("entry", "#", 1))
-    addr = F.substring_index(line, "/", 1)
-    prefix = F.when(F.contains(line, F.lit("/")), F.regexp_extract(line, r"/(\d{1,3})$", 1).try_cast("int")).otherwise(F.lit(-1))
-    v4, v6 = ipv4_number(addr), ipv6_hex(addr)
-    p4 = F.when(prefix == -1, 32).otherwise(prefix)
+    lines = entries.select(TX.once(F.trim(F.substring_index("entry", "#", 1))).alias("line")).filter(F.col("line") != "")
+    line, addr = F.col("line"), F.substring_index("line", "/", 1)
+    cidr = F.contains(line, F.lit("/"))
+    prefix = F.when(cidr, F.regexp_extract(line, r"/(\d{1,3})$", 1).try_cast("int")).otherwise(F.lit(-1))
+    parsed = lines.select(
+        "line", cidr.alias("cidr"), F.lower(F.regexp_replace(addr, r"\.+$", "")).alias("domain"),
+        TX.once(F.struct(ipv4_number(addr).alias("v4"), ipv6_hex(addr).alias("v6"), prefix.alias("prefix"))).alias("a"),
+    ).select("line", "cidr", "domain", "a.*")
+    v4, v6 = F.col("v4"), F.col("v6")
+    p4 = F.when(F.col("prefix") == -1, 32).otherwise(F.col("prefix"))
     block = F.pow(F.lit(2.0), 32 - p4).cast("bigint")
-    p6 = F.when(prefix == -1, 128).otherwise(prefix)
+    p6 = F.when(F.col("prefix") == -1, 128).otherwise(F.col("prefix"))
     # Nibbles before the boundary stay; the one it cuts is masked; the rest is filled.
     whole = F.floor(p6 / 4).cast("int")
     cut = (p6 % 4).cast("int")
@@ -188,8 +210,7 @@ def parse_scope(entries: DataFrame) -> DataFrame:
     low = F.when(cut == 0, F.lit("")).otherwise(F.lower(F.conv((nibble - nibble % size).cast("string"), 10, 16)))
     high = F.when(cut == 0, F.lit("")).otherwise(F.lower(F.conv((nibble - nibble % size + size - 1).cast("string"), 10, 16)))
     head = F.substr(v6, F.lit(1), whole)
-    domain = F.lower(F.regexp_replace(addr, r"\.+$", ""))
-    rows = entries.filter(line != "").select(
+    rows = parsed.select(
         F.when(v4.isNotNull() & (p4 <= 32), F.struct(
             F.lit("v4").alias("kind"),
             F.lpad((v4 - v4 % block).cast("string"), 10, "0").alias("lo"),
@@ -197,8 +218,8 @@ def parse_scope(entries: DataFrame) -> DataFrame:
         .when(v6.isNotNull() & (p6 <= 128), F.struct(
             F.lit("v6").alias("kind"),
             F.rpad(F.concat(head, low), 32, "0").alias("lo"), F.rpad(F.concat(head, high), 32, "f").alias("hi")))
-        .when(v4.isNull() & v6.isNull() & ~F.contains(line, F.lit("/")), F.struct(
-            F.lit("domain").alias("kind"), domain.alias("lo"), domain.alias("hi"))).alias("s")
+        .when(v4.isNull() & v6.isNull() & ~F.col("cidr"), F.struct(
+            F.lit("domain").alias("kind"), F.col("domain").alias("lo"), F.col("domain").alias("hi"))).alias("s")
     )
     return rows.filter(F.col("s").isNotNull()).select("s.*").distinct()
 
@@ -207,25 +228,28 @@ def in_scope(hosts: DataFrame, scope: DataFrame) -> DataFrame:
     """Hosts with ``in_scope``; loopback always is, an empty scope allows nothing else.
 
     Domains expand to their suffixes and join by equality. Address ranges join
-    on the leading half of the address where a range is narrow enough, so the
-    range test runs inside a hash bucket instead of against every range.
+    on leading digits, so the range test runs inside a hash bucket instead of
+    against every range.
     """
-    host = F.lower(F.regexp_replace("host", r"\.+$", ""))
-    v4, v6 = ipv4_number(host), ipv6_hex(host)
-    labels = F.split(host, r"\.")
+    labels = F.split("h", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    distinct = hosts.select("host").distinct().select(
-        "host", host.alias("h"),
-        F.when(v4.isNotNull(), F.lpad(v4.cast("string"), 10, "0")).otherwise(v6).alias("addr"),
-        F.when(v4.isNotNull(), "v4").when(v6.isNotNull(), "v6").otherwise("domain").alias("kind"),
+    named = hosts.select("host").distinct().withColumn("h", F.lower(F.regexp_replace("host", r"\.+$", "")))
+    parsed = named.withColumn(
+        "a", TX.once(F.struct(ipv4_number(F.col("h")).alias("v4"), ipv6_hex(F.col("h")).alias("v6")))
+    )
+    distinct = parsed.select(
+        "host", "h",
+        F.when(F.col("a.v4").isNotNull(), F.lpad(F.col("a.v4").cast("string"), 10, "0")).otherwise(F.col("a.v6")).alias("addr"),
+        F.when(F.col("a.v4").isNotNull(), "v4").when(F.col("a.v6").isNotNull(), "v6").otherwise("domain").alias("kind"),
         suffixes.alias("suffixes"),
     )
     by_name = distinct.filter(F.col("kind") == "domain").select("host", F.explode("suffixes").alias("lo")).join(
         scope.filter(F.col("kind") == "domain").select("lo"), "lo", "left_semi"
     ).select("host")
-    # A range covering at most 65536 cells of the first digits is spread over them.
+    # A range inside one cell of leading digits joins on the cell, any other on
+    # the shorter prefix its two ends share.
     cells = {"v4": 5, "v6": 8}
     parts = [by_name]
     for kind, width in cells.items():
@@ -238,8 +262,6 @@ def in_scope(hosts: DataFrame, scope: DataFrame) -> DataFrame:
                 keyed, "cell"
             ).filter(F.col("addr").between(F.col("lo"), F.col("hi"))).select("host")
         )
-        # Wide ranges overlap by nesting only; after merging, at most one can
-        # hold an address: the one with the greatest start not above it.
         parts.append(_in_wide_range(addresses, ranges.filter(~narrow)))
     allowed = parts[0]
     for p in parts[1:]:
@@ -256,10 +278,10 @@ def in_scope(hosts: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def _in_wide_range(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Semi-join against CIDR blocks too wide to spread over cells.
+    """Addresses inside ranges that cross cells.
 
-    CIDR blocks either nest or are disjoint. A block is named by its prefix, so
-    an address expands to its own few wide prefixes and joins by equality.
+    Every address of a range starts with the digits its two ends share, so an
+    address expands to its own few short prefixes and joins by equality.
     """
     common = _common_prefix(F.col("lo"), F.col("hi"))
     keyed = ranges.withColumn("prefix", common)
