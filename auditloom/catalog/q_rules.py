@@ -101,13 +101,13 @@ def _small(spark, sf):
     _repo_absence_sql(_SMALL_REPOS, P.REPO_RULES[0][0], P.REPO_RULES[0][1], P.REPO_RULES[0][2], "Medium")
 ]).replace("FROM code_files)))", "FROM small)))").replace(B.split_sql("source") + " AS arr FROM code_files", B.split_sql("source") + " AS arr FROM small"))
 def r7(spark, sf):
-    return R.repo_absence(_small(spark, sf), *P.REPO_RULES[0]).select(*COLS)
+    return R.repo_absence(_small(spark, sf), P.REPO_RULES[:1]).select(*COLS)
 
 
 @query("r7_repo_absence_prose", _repo_absence_sql(_SMALL_REPOS, r" the ", r" der ", "prose_absence", "Low").replace(
     B.split_sql("source") + " AS arr FROM code_files", B.split_sql("source") + " AS arr FROM small"))
 def r7b(spark, sf):
-    return R.repo_absence(_small(spark, sf), r" the ", r" der ", "prose_absence", "Low", "x").select(*COLS)
+    return R.repo_absence(_small(spark, sf), [(r" the ", r" der ", "prose_absence", "Low", "x")]).select(*COLS)
 
 
 @query("r8_grouped_first_use", with_ctes(*B.CODE_LINES, body=f"""

@@ -14,6 +14,7 @@ from .base import q, query, ql, with_ctes
 from .q_invariants import DAY, SNAP, snapshots
 from .q_ops import SCANS
 from .q_rules import TEXT_PACK
+from .rule_sql import pack_sql
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -232,13 +233,17 @@ def ud3(spark, sf):
     return check_invariants(B.table(spark, sf, "events"), ["event_id"], {n: f() for n, f in plug.items()}, ["value"]).drop("state")
 
 
-@query("ud4_user_rule_files", with_ctes(B.FILES, B.LINES, body="SELECT repo, path AS file, line, 'user_contact' AS invariant_id FROM lines WHERE regexp_matches(text, '[a-z]@[a-z]') AND NOT regexp_matches(lower(path), '\\.(md|txt)$')"))
+_KINDS = ("Python", "JavaScript", "Go", "Shell", "ContainerManifest", "Terraform", "Config", "Other")
+_USER_RULE = R.Rule("user_contact", _KINDS, "Low", "[a-z0-9]@[a-z0-9]", "contact")
+
+
+@query("ud4_user_rule_files", pack_sql([_USER_RULE], "repo, file, line, invariant_id").replace(B.CODE_FILES, B.FILES.replace("files AS", "code_files AS", 1)))
 def ud4(spark, sf):
     from ..sources.readers import RULE_ROW, read_rules
 
     path = scratch_path(spark, "rules")
-    kinds = ["Python", "JavaScript", "Go", "Shell", "ContainerManifest", "Terraform", "Config", "Other"]
-    row = [("user_contact", kinds, "Low", "[a-z]@[a-z]", "contact", None, 0, 0, None, None, None, None, None, None)]
+    r = _USER_RULE
+    row = [(r.rule_id, list(r.kinds), r.severity, r.pattern, r.message, None, 0, 0, None, None, None, None, None, None)]
     spark.createDataFrame(row, RULE_ROW).write.json(path)
     return R.scan_files(B.files(spark, sf), read_rules(spark, path)).select("repo", "file", "line", "invariant_id")
 

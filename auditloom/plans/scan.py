@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..dims import rule_packs as P
+from ..session import cut_lineage
 from ..operators import corpus, findings as FD, flow, rules as R, secrets
 
 ALLOW_MARKER = "audit:allow"
@@ -15,28 +16,36 @@ ALLOW_MARKER = "audit:allow"
 BASE = 1 << 40
 
 
+INFRASTRUCTURE = ("GithubWorkflow", "Dockerfile", "ContainerManifest", "Terraform", "Config")
+
+
 def detect(files: DataFrame) -> DataFrame:
-    """Raw findings of every general rule family."""
+    """Raw findings of every general rule family.
+
+    All rule packs share one pass over the corpus, as do all languages of a
+    flow model. Files of infrastructure kinds, a small part of any corpus, are
+    written aside once for the families that only read those.
+    """
+    infra = cut_lineage(
+        files.filter(corpus.file_kind(F.col("path")).isin(*INFRASTRUCTURE)).select("repo", "path", "source"), "infra"
+    )
     creds = secrets.secret_scan(files).select(
         "repo", "file", "line", "invariant_id",
         F.when(F.col("invariant_id") == "gen_private_key_committed", "Critical").otherwise("High").alias("severity"),
         F.lit("Credential committed to the repository").alias("message"), "snippet",
         F.lit(0).cast("long").alias("ord"),
     )
-    pack = P.CODE_PACK + P.WEBCONFIG_PACK + P.WEBSEC_LINE_PACK + P.WEBSEC_FILE_PACK + P.WEBSEC_FUNCTION_PACK
-    actions = R.unpinned_actions(files).select(
+    actions = R.unpinned_actions(infra).select(
         "repo", F.col("path").alias("file"), "line", F.lit("gen_ci_unpinned_action").alias("invariant_id"),
         F.lit("Low").alias("severity"),
         F.concat(F.lit("Third-party action `"), "action", F.lit("` is pinned to mutable ref `"), "ref", F.lit("`")).alias("message"),
         F.concat_ws("@", "action", "ref").alias("snippet"), F.lit(0).cast("long").alias("ord"),
     )
     families = [
-        creds, flow.value_flow(files), flow.model_output_flow(files), R.scan_files(files, pack),
-        R.scan_files(files, P.CI_FILE_PACK), R.restrict_to_indented_block(files, P.RUN_BLOCK_OPENER, P.CI_RUN_PACK),
-        actions, R.scan_files(files, P.CONTAINER_PACK), R.docker_base_and_user(files),
-        R.scan_files(files, P.IAC_PACK), R.open_ingress(files, "Terraform"), R.open_ingress(files, "CloudFormation"),
-        R.check_then_use(files),
-        *[R.repo_absence(files, *r) for r in P.REPO_RULES],
+        creds, flow.value_flow(files), flow.model_output_flow(files), R.scan_files(files, P.ALL_PACKS),
+        R.restrict_to_indented_block(infra, P.RUN_BLOCK_OPENER, P.CI_RUN_PACK),
+        actions, R.docker_base_and_user(infra), R.open_ingress(infra, "Terraform"),
+        R.open_ingress(infra, "CloudFormation"), R.check_then_use(files), R.repo_absence(files, P.REPO_RULES),
     ]
     return FD.union_findings(*[
         f.withColumn("ord", F.col("ord") + i * BASE) for i, f in enumerate(families)
