@@ -18,12 +18,14 @@ _BT = r"`(?:[^`\\]++|\\.)*+(?:`|\\?$)"
 
 def strip_hash_comment(line: Column) -> Column:
     """Cut a ``#`` comment that is outside quotes."""
-    return F.regexp_replace(line, f"({_DQ}|{_SQ})|#.*$", "$1")
+    cut = F.regexp_replace(line, f"({_DQ}|{_SQ})|#.*$", "$1")
+    return F.when(F.contains(line, F.lit("#")), cut).otherwise(line)
 
 
 def strip_slash_comment(line: Column) -> Column:
     """Cut ``//`` and ``/* */`` comments outside quotes and template literals."""
-    return F.regexp_replace(line, rf"({_DQ}|{_SQ}|{_BT})|//.*$|/\*.*?(?:\*/|$)", "$1")
+    cut = F.regexp_replace(line, rf"({_DQ}|{_SQ}|{_BT})|//.*$|/\*.*?(?:\*/|$)", "$1")
+    return F.when(F.contains(line, F.lit("/")), cut).otherwise(line)
 
 
 def code_only(line: Column) -> Column:
@@ -37,8 +39,14 @@ def code_only(line: Column) -> Column:
 
 
 def split_lines(source: Column) -> Column:
-    """Lines of a text; a trailing newline does not start another line."""
-    return F.split(F.regexp_replace(source, r"\r?\n$", ""), r"\r?\n")
+    """Lines of a text; a trailing newline does not start another line.
+
+    Plain text functions do the common work: only a text with carriage returns
+    is rewritten, and a one-character split needs no regular expression.
+    """
+    unix = F.when(F.contains(source, F.lit("\r\n")), F.replace(source, F.lit("\r\n"), F.lit("\n"))).otherwise(source)
+    body = F.when(unix.endswith("\n"), F.substr(unix, F.lit(1), F.length(unix) - 1)).otherwise(unix)
+    return F.split(body, "\n")
 
 
 def code_lines(source: Column, kind: Column) -> Column:

@@ -144,9 +144,16 @@ def accept(findings: DataFrame, acceptances: DataFrame, today: str) -> DataFrame
     Acceptances are grouped to one row per rule before the join, so a finding
     is never multiplied and needs no second shuffle to pick the first match.
     """
-    live = acceptances.filter(F.to_date("until") >= F.lit(today).cast("date")).groupBy("id").agg(
+    # Of several entries with the same conditions only the first can ever win,
+    # so a rule keeps one option per distinct (path, text).
+    distinct = (
+        acceptances.filter(F.to_date("until") >= F.lit(today).cast("date"))
+        .groupBy("id", "path", F.col("match").alias("text"))
+        .agg(F.min(F.struct("pos", "owner", "until")).alias("first"))
+    )
+    live = distinct.groupBy("id").agg(
         F.array_sort(
-            F.collect_list(F.struct("pos", "path", F.col("match").alias("text"), "owner", "until"))
+            F.collect_list(F.struct("first.pos", "path", "text", "first.owner", "first.until"))
         ).alias("options")
     )
     joined = findings.join(live, findings["invariant_id"] == live["id"], "left")

@@ -99,7 +99,7 @@ def adjacent_swap(a: Column, b: Column) -> Column:
 
 def one_edit_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= 1) & (a != b) & (
-        (F.levenshtein(a, b) == 1) | adjacent_swap(a, b)
+        (F.levenshtein(a, b, 1) == 1) | adjacent_swap(a, b)
     )
 
 
@@ -112,16 +112,14 @@ def typosquats(packages: DataFrame, popular: dict[str, list[str]] = REF.POPULAR)
     names = packages.groupBy("ecosystem", "name").agg(
         F.min(F.struct("repo", "source_file", "version")).alias("first")
     )
-    n = F.replace(F.lower("name"), F.lit("_"), F.lit("-"))
+    names = names.withColumn("folded", TX.once(F.replace(F.lower("name"), F.lit("_"), F.lit("-"))))
+    n = F.col("folded")
 
     def target(words: list[str]) -> Column:
-        listed = F.array(*[F.lit(w) for w in words])
-        folded = lambda p: F.replace(p, F.lit("_"), F.lit("-"))
-        renumbered = lambda p: n.startswith(folded(p)) & n.substr(
-            F.length(folded(p)) + 1, F.length(n)
-        ).rlike("^[0-9]*$")
-        near = F.filter(listed, lambda p: ~renumbered(p) & one_edit_apart(n, folded(p)))
-        return F.when(~F.array_contains(listed, n), F.get(near, F.lit(0)))
+        listed = F.array(*[F.struct(F.lit(w).alias("name"), F.lit(w.replace("_", "-")).alias("folded")) for w in words])
+        renumbered = lambda p: n.startswith(p) & n.substr(F.length(p) + 1, F.length(n)).rlike("^[0-9]*$")
+        near = F.filter(listed, lambda p: one_edit_apart(n, p["folded"]) & ~renumbered(p["folded"]))
+        return F.when(~n.isin(*words), F.get(near, F.lit(0))["name"])
 
     hit = F.lit(None).cast("string")
     for eco, words in popular.items():

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(app: str = "auditloom", cores: str | int = "*") -> SparkSession:
@@ -62,7 +62,13 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     Unlike an executor-local checkpoint this survives lost executors, keeps the
     columnar layout and lets later steps see real sizes.
     """
+    return cut_counted(df, label)[0]
+
+
+def cut_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` with the row count, observed while the rows are written."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import invariants as INV
 from ..operators import ops
-from ..session import scratch_path
+from ..session import cut_counted, cut_lineage, scratch_path
 from ..sources.writers import upsert_findings
 
 SINK_TYPES = INV.SINKS
@@ -105,15 +105,13 @@ def throttle_from_last_sent(alerts: DataFrame, identity: Sequence[str], seconds:
     left. A round handles all identities at once; there are as many rounds as
     the busiest identity has sending times.
     """
-    from ..session import cut_lineage
-
     keys = list(identity)
-    left = cut_lineage(alerts.select(*keys, ts).distinct(), "alerts")
+    left, n = cut_counted(alerts.select(*keys, ts).distinct(), "alerts")
     sent = None
-    while not left.isEmpty():
+    while n:
         now = cut_lineage(left.groupBy(*keys).agg(F.min(ts).alias(ts)), "sent")
         sent = now if sent is None else sent.unionByName(now)
-        left = cut_lineage(
+        left, n = cut_counted(
             left.join(now.withColumnRenamed(ts, "_sent"), keys)
             .filter(F.col(ts) >= F.col("_sent") + F.expr(f"interval {seconds} seconds")).drop("_sent"),
             "alerts",
