@@ -186,24 +186,19 @@ def r17b(spark, sf):
 
 # ---- graphs -----------------------------------------------------------------------
 
-# Two edges per customer, with cycles; the graph grows with the table.
-EDGES = """n AS (SELECT count(*) AS m FROM customer), edges AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % m AS dst FROM customer, n WHERE c_custkey % 3 > 0
-  UNION SELECT c_custkey, (c_custkey + 1) % m FROM customer, n WHERE c_custkey % 5 = 0)"""
+# Orders link their customer to another node; the graph has cycles and grows with the table.
+EDGES = """n AS (SELECT count(*) AS m FROM customer), edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey % m AS dst FROM orders, n)"""
 
 
 def edges(spark, sf):
-    c, k = B.table(spark, sf, "customer"), F.col("c_custkey")
-    m = c.agg(F.count("*")).scalar()
-    with_m = c.select("c_custkey", m.alias("m"))
-    a = with_m.filter(k % 3 > 0).select(k.alias("src"), ((k * 7 + 3) % F.col("m")).alias("dst"))
-    b = with_m.filter(k % 5 == 0).select(k.alias("src"), ((k + 1) % F.col("m")).alias("dst"))
-    return a.unionByName(b).distinct()
+    m = B.table(spark, sf, "customer").agg(F.count("*")).scalar()
+    return B.table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % m).alias("dst")).distinct()
 
 
 @query("g1_reachable", with_ctes(EDGES, body="").replace("WITH ", "WITH RECURSIVE ") + """
-, walk(node) AS (SELECT src FROM edges WHERE src % 97 = 1 UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT DISTINCT node FROM walk""")
+, seeds AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0), walk(node) AS (SELECT node FROM seeds UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT DISTINCT node FROM walk""")
 def g1(spark, sf):
-    seeds = B.table(spark, sf, "customer").filter(F.col("c_custkey") % 97 == 1).filter((F.col("c_custkey") % 3 > 0) | (F.col("c_custkey") % 5 == 0)).select(F.col("c_custkey").alias("root"))
+    seeds = B.table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("root"))
     return G.reachable_set(edges(spark, sf), seeds).select("node")
 
 

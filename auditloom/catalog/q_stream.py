@@ -174,7 +174,7 @@ def _source_single(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@query("st9_incremental_scan", None)
+@query("st9_incremental_scan", pack_sql(TEXT_PACK, "repo, file, line, invariant_id").replace(B.CODE_FILES, B.FILES.replace("files AS", "code_files AS", 1)))
 def st9(spark, sf):
     path = scratch_path(spark, "files")
     B.files(spark, sf).write.parquet(path)

@@ -7,10 +7,13 @@ quoted runs in a loop instead of recursing; a one-line 100 kB file is safe.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .literals import required_literals
+
 _DQ = r'"(?:[^"\\]++|\\.)*+(?:"|\\?$)'
 _SQ = r"'(?:[^'\\]++|\\.)*+(?:'|\\?$)"
 _BT = r"`(?:[^`\\]++|\\.)*+(?:`|\\?$)"
@@ -66,6 +69,24 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for ``body``; a plain reference would be evaluated per use."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def any_word(low: Column, words) -> Column:
+    """Whether a lower-cased text contains one of the words."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
+def search(text: Column, pattern: str) -> Column:
+    """``rlike`` behind a substring test that every match passes."""
+    words = required_literals(pattern)
+    if not words:
+        return text.rlike(pattern)
+    return let(F.lower(text), lambda low: any_word(low, words)) & text.rlike(pattern)
+
+
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits per UTF-8 byte; 0 for the empty string."""
     n = F.octet_length(value)

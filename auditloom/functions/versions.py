@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 #: Components kept in the key. Spark orders [1,2] before [1,2,0], so keys are padded.
 WIDTH = 12
 
 
-def let(value: Column, body) -> Column:
-    """Bind a value once for ``body``; a plain reference would be evaluated per use."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def version_key(text: Column) -> Column:
     """``struct(core array<bigint>, rank int, tag string, width int)``; NULL if unparseable.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import scoring as S
+from ..functions import text as TX
 from . import corpus
 from .keyed import first_by
 
@@ -120,7 +120,7 @@ def diff_points(diff: Column) -> Column:
 
 def file_areas(files: DataFrame, areas: dict[str, str] = AREAS) -> DataFrame:
     """Security areas a file's content touches, one row per (file, area)."""
-    found = F.array_compact(F.array(*[F.when(F.col("source").rlike(p), F.lit(a)) for a, p in areas.items()]))
+    found = F.array_compact(F.array(*[F.when(TX.search(F.col("source"), p), F.lit(a)) for a, p in areas.items()]))
     return files.select("repo", "path", F.explode(found).alias("area"))
 
 

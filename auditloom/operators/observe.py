@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..dims import reference as REF
 from ..functions import scoring as S
 from ..functions import text as TX
-from ..functions import versions as V
 
 # Cookie names that carry a session, and version-bearing headers.
 SESSION_WORDS = ("session", "sess", "token", "auth", "sid", "jwt", "csrf", "xsrf", "remember", "login")
@@ -184,7 +183,7 @@ def ipv6_hex(text: Column) -> Column:
     t = F.lower(text)
     return F.when(
         t.rlike("^[0-9a-f:]+$") & F.contains(t, F.lit(":")),
-        V.let(F.split(t, "::"), lambda parts: V.let(sides(parts), lambda p: V.let(fill(p), join))),
+        TX.let(F.split(t, "::"), lambda parts: TX.let(sides(parts), lambda p: TX.let(fill(p), join))),
     )
 
 

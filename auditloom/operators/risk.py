@@ -441,7 +441,7 @@ def entry_points(files: DataFrame, routes: Sequence[str] = REF.THREAT_ROUTE) ->
 def threat_tokens(files: DataFrame, tokens: dict[str, str] = REF.THREAT_TOKENS) -> DataFrame:
     """Distinct stores, outbound calls and secret sources, each at first sight."""
     lines = corpus.explode_lines(
-        files.filter(reduce(lambda a, b: a | b, [F.col("source").rlike(p) for p in tokens.values()]))
+        files.filter(reduce(lambda a, b: a | b, [TX.search(F.col("source"), p) for p in tokens.values()]))
     )
     found = lines.select(
         "repo", "path", "line",
@@ -462,7 +462,7 @@ def threat_tokens(files: DataFrame, tokens: dict[str, str] = REF.THREAT_TOKENS)
 
 def threat_model(files: DataFrame, flags: dict[str, str] = REF.THREAT_FLAGS, tokens: dict[str, str] = REF.THREAT_TOKENS, routes: Sequence[str] = REF.THREAT_ROUTE) -> DataFrame:
     """STRIDE rows per repository, from routes, stores and five presence flags."""
-    present = files.groupBy("repo").agg(*[F.bool_or(F.col("source").rlike(p)).alias(k) for k, p in flags.items()])
+    present = files.groupBy("repo").agg(*[F.bool_or(TX.search(F.col("source"), p)).alias(k) for k, p in flags.items()])
     eps = entry_points(files, routes).groupBy("repo").agg(F.count("*").alias("n_routes"))
     toks = threat_tokens(files, tokens).groupBy("repo").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("data_store", "outbound", "secret_source")]

@@ -22,19 +22,25 @@ ASSIGNMENT = (
     r"""["']?\s*[:=]\s*["']([^"'\s]{8,})["']"""
 )
 MIN_ENTROPY = 3.0
+# One of these words is in every text the shapes above can match.
+SHAPE_WORDS = (
+    "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "_live_", "aiza", "eyj", "private key",
+    "password", "passwd", "secret", "token", "key", "credential",
+)
 KNOWN_PATTERN = "(" + "|".join(KNOWN_FORMATS.values()) + ")"
 
 
 def secret_scan(files: DataFrame, min_entropy: float = MIN_ENTROPY, skip_docs: bool = True) -> DataFrame:
     """One row per credential on a line, with its kind and the raw value.
 
-    A file that has none of the shapes is dropped before it is split.
+    A file with none of the words is dropped before it is split.
     """
     shapes = f"{KNOWN_PATTERN}|{PRIVATE_KEY_HEADER}|(?i:{ASSIGNMENT[4:]})"
-    scoped = files.filter(F.col("source").rlike(shapes))
+    worded = lambda c: TX.let(F.lower(c), lambda low: TX.any_word(low, SHAPE_WORDS))
+    scoped = files.filter(worded(F.col("source")))
     if skip_docs:
         scoped = scoped.filter(corpus.file_kind(F.col("path")) != "Skip")
-    lines = corpus.explode_lines(scoped).filter(F.col("text").rlike(shapes))
+    lines = corpus.explode_lines(scoped).filter(worded(F.col("text")) & F.col("text").rlike(shapes))
     known = F.transform(
         F.regexp_extract_all("text", F.lit(KNOWN_PATTERN), F.lit(1)),
         lambda v: F.struct(F.lit("gen_hardcoded_secret").alias("invariant_id"), v.alias("value")),
