@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import findings as FD, sca
+from ..session import cut_lineage
 from ..sources.lockfiles import npm_entries, read_lockfiles
 
 
@@ -19,7 +20,8 @@ def _as_findings(df: DataFrame, rule: str | Column, severity: str | Column, file
 
 
 def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
-    packages = read_lockfiles(files)
+    # Lockfiles are parsed once; advisories and look-alike names both read the packages.
+    packages = cut_lineage(read_lockfiles(files), "packages")
     vulnerable = sca.vulnerable_packages(packages, advisories)
     manifests = sca.npm_manifest_deps(files)
     entries = npm_entries(files).select("repo", sca.folder(F.col("path")).alias("dir"), "name", "resolved")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..dims import reference as REF
 from ..functions import scoring as S
+from ..session import cut_lineage
 from ..operators import corpus, findings as FD, risk as RK
 
 
@@ -26,7 +27,8 @@ def release_check(
     spark = files.sparkSession
     RK.require_valid_acceptances(acceptances)
     exposure, steps = RK.exposure_table(spark), RK.chain_steps(spark)
-    judged = RK.accept(FD.drop_fixture_paths(findings), acceptances, today)
+    # Five tables are derived from the judged findings; the scan behind them runs once.
+    judged = cut_lineage(RK.accept(FD.drop_fixture_paths(findings), acceptances, today), "judged")
     still = judged.filter(F.col("state") == "open")
     counts = FD.rule_counts(still)
     taken = FD.rule_counts(judged.filter(F.col("state") == "accepted"), exclude_info=False)
