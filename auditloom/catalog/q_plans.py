@@ -34,6 +34,13 @@ def plan_scan(spark, sf):
     return SC.scan(B.code_files(spark, sf), "low").select("repo", "file", "line", "invariant_id", "severity", "snippet")
 
 
+@query("plan_scan_summary")
+def plan_scan_summary(spark, sf):
+    """A whole scan, rated and counted per repository and exploitability."""
+    found = SC.scan(B.code_files(spark, sf), "low")
+    return FD.severity_stats(RK.rate(found, RK.exposure_table(spark)), ["repo", "exploitability"])
+
+
 @query("plan_release_check")
 def plan_release_check(spark, sf):
     files = B.code_files(spark, sf)

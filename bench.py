@@ -11,7 +11,7 @@ from auditloom.catalog import REGISTRY
 from auditloom.session import local_session
 
 HEADLINE = (
-    "plan_secret_exposure", "plan_scan",
+    "plan_secret_exposure", "plan_scan_summary",
     "r1_line_rules", "r1_pack_code", "r2_pack_webconfig", "r5_pack_websec_functions", "r7_repo_absence_rules",
     "r9_taint_flow", "r11_secret_scan", "r21_repo_signals", "r22_threat_model",
     "w1_dedup_findings", "a1_severity_stats", "j4_accept", "j5_attack_chains", "a6_checklist", "f13_exploitability",

@@ -35,5 +35,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_entry_contract(spark):
-    assert entry_module.entry(spark).columns == ["repo", "exploitability", "critical", "high", "total"]
+    df = entry_module.entry(spark)
+    assert df.columns == ["repo", "exploitability", "critical", "high", "medium", "low", "info", "total"]
+    assert df.count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
