@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing
-from .base import query, table
+from . import chat, media, mixing, quality
+from .base import REGISTRY, query, table
+
+__all__ = ["REGISTRY"]
 
 # ---- 2 chat formatting -------------------------------------------------------------
 
@@ -60,3 +62,12 @@ def op6_source_mix(spark, sf):
 def op7_media_columns(spark, sf):
     """Every text stored as an image and read back."""
     return media.text_media(table(spark, sf, "documents"))
+
+
+# ---- 5 quality classifier ----------------------------------------------------------
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf):
+    """Quality score of every document."""
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
