@@ -25,16 +25,17 @@ _C = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD
 
 
 def features(texts: pa.Array):
-    """(feature ids, text of each): a text's words, and its runs of 3 and 4 characters.
+    """Hashed features: words, pairs of neighbouring words, and runs of 3 and 4 characters.
 
-    Yields slices (first text, texts, ids, first id of each text) with ids grouped by kind in ``ids``: a list of
-    (ids, starts) pairs, one for each kind.
+    Yields (from, to, kinds) per slice of texts; a kind is (ids, where each text begins in them, items in a run).
+    A pair is hashed by exclusive or, so a word said twice is the same feature whatever the word.
     """
     shift = U(64 - BITS)
     for a, b in slices(texts, 1 << 20):
         data, offsets = as_bytes(texts.slice(a, b - a))
         starts, ends, first = word_spans(data, offsets)
-        kinds = [((range_hashes(data, starts, ends) >> shift).astype(np.int64), first)]
+        words = range_hashes(data, starts, ends)
+        kinds = [((words >> shift).astype(np.int64), first, 1), ((mix_fast(words[1:] ^ words[:-1]) >> shift).astype(np.int64), first, 2)]
         heads = (data & 0xC0) != 0x80  # bytes that begin a character
         at = np.concatenate(([0], np.cumsum(heads)))[offsets]
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U)
@@ -64,8 +65,8 @@ def margins(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     for a, b, kinds in features(texts):
         total, count = np.zeros(b - a), np.zeros(b - a, np.int64)
         for kind in kinds:
-            ids, first = kind[:2]
-            lo, hi = first[:-1], first[1:] - (kind[2] - 1 if len(kind) == 3 else 0)  # no run leaves its text
+            ids, first, n = kind
+            lo, hi = first[:-1], first[1:] - (n - 1)  # no run leaves its text
             total += _sums(table[ids], lo, hi)
             count += np.maximum(hi - lo, 0)
         out[a:b] += np.where(count > 0, total / np.maximum(count, 1), 0.0)
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         table, bias = fit(list(rows["text"]), rows["quality"].to_numpy(np.int64))
         return pd.DataFrame({"table": [table.tobytes()], "bias": [bias]})
 
-    found = training_rows(docs, labels, sample).groupBy(F.lit(1)).applyInPandas(run, "table binary, bias double").collect()
+    found = training_rows(docs, labels, sample).groupBy().applyInPandas(run, "table binary, bias double").collect()
     if not found:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(found[0]["table"], np.float32), found[0]["bias"]
