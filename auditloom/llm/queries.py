@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, quality
+from . import chat, media, mixing, quality, substring_dedup
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -71,3 +71,24 @@ def op7_media_columns(spark, sf):
 def op5_quality_classifier(spark, sf):
     """Quality score of every document."""
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# ---- 9 substring dedup -------------------------------------------------------------
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (h) WHERE doc_id > lo),
+l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(coalesce(gone, []), i)] AS kept FROM w LEFT JOIN l ON w.doc_id = l.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
+def op9_substring_dedup(spark, sf):
+    """Every document without the 50-word windows that an earlier one has."""
+    return substring_dedup.digests(substring_dedup.dedup_substrings(table(spark, sf, "documents")))
