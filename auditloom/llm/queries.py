@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, quality, substring_dedup
+from . import chat, media, mixing, ngram_join, quality, substring_dedup
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -92,3 +92,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 def op9_substring_dedup(spark, sf):
     """Every document without the 50-word windows that an earlier one has."""
     return substring_dedup.digests(substring_dedup.dedup_substrings(table(spark, sf, "documents")))
+
+
+# ---- 8 n-gram Jaccard join ---------------------------------------------------------
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark, sf):
+    """Class, copies and links of every document by runs of five words."""
+    found = ngram_join.similar_documents(table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_links")
