@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, ngram_join, quality, substring_dedup
+from . import chat, line_dedup, media, mixing, ngram_join, quality, substring_dedup
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -102,3 +102,12 @@ def op8_ngram_join(spark, sf):
     """Class, copies and links of every document by runs of five words."""
     found = ngram_join.similar_documents(table(spark, sf, "documents"))
     return found.select("doc_id", "class_id", "copy_id", "n_links")
+
+
+# ---- 1 line dedup ------------------------------------------------------------------
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark, sf):
+    """Every document without lines that occur before, exactly or nearly."""
+    return line_dedup.line_digests(table(spark, sf, "documents").select("doc_id", "text"))
