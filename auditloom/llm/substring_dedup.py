@@ -22,7 +22,9 @@ from .kernel import Grams, U, as_bytes, mix, range_hashes, ranges, slices, word_
 WINDOW = 50
 ANCHOR = 8
 #: Segments a shard holds on average; an anchor with more than HOT of them is settled by window digests.
-SHARD, HOT = 1000, 200
+SHARD, HOT = 1000, 2000
+#: Shared windows of one anchor that are looked up together.
+KNOWN = 20_000
 _OTHER = U(0xA5A5A5A5A5A5A5A5)
 
 
@@ -188,25 +190,61 @@ def _segment_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, f"anchor long, digest long, doc_id {kind}, words string")
 
 
+def _windows_of(batch: pa.RecordBatch, window: int):
+    """Per slice of rows (anchor, digest, doc_id, words, ...): rows, row of each window, its place in the row, both digests."""
+    for a, b in slices(batch.column(3), 1 << 20):
+        data, offsets = as_bytes(batch.column(3).slice(a, b - a))
+        starts, ends, first = word_spans(data, offsets)
+        hashes = range_hashes(data, starts, ends)
+        count = np.maximum(np.diff(first) - window + 1, 0)
+        s = ranges(first[:-1], count)
+        row = np.repeat(np.arange(b - a), count)
+        yield batch.slice(a, b - a), row, s - first[row], *(Grams(h).runs(s, s + window).view(np.int64) for h in (hashes, mix(hashes ^ _OTHER)))
+
+
 def _window_digests(rows: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, anchor, digest, doc_id, at) of every window of segment texts."""
+    """(anchor, w1, w2, lo, hi): windows of segment texts with the least and largest document of each batch."""
 
     def batches(it):
         for batch in it:
-            for a, b in slices(batch.column(3), 1 << 20):
-                part = batch.slice(a, b - a)
-                data, offsets = as_bytes(part.column(3))
-                starts, ends, first = word_spans(data, offsets)
-                hashes = range_hashes(data, starts, ends)
-                count = np.maximum(np.diff(first) - window + 1, 0)
-                s = ranges(first[:-1], count)
-                row = pa.array(np.repeat(np.arange(b - a), count))
-                at = s - np.repeat(first[:-1], count)
-                w = [Grams(h).runs(s, s + window).view(np.int64) for h in (hashes, mix(hashes ^ _OTHER))]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), *(part.column(i).take(row) for i in range(3)), pa.array(at.astype(np.int32))], ["w1", "w2", "anchor", "digest", "doc_id", "at"])
+            for part, row, _, w1, w2 in _windows_of(batch, window):
+                seen = pd.DataFrame({"anchor": part.column(0).to_numpy()[row], "w1": w1, "w2": w2, "doc": part.column(2).to_numpy()[row]})
+                found = seen.groupby(["anchor", "w1", "w2"], sort=False)["doc"].agg(["min", "max"]).reset_index()
+                yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in zip(found, [pa.int64()] * 3 + [part.schema.field(2).type] * 2)], ["anchor", "w1", "w2", "lo", "hi"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"w1 long, w2 long, anchor long, digest long, doc_id {kind}, at int")
+    return rows.mapInArrow(batches, f"anchor long, w1 long, w2 long, lo {kind}, hi {kind}")
+
+
+def _known_windows(rows: DataFrame, window: int) -> DataFrame:
+    """Spans of segments (anchor, digest, doc_id, words, known) whose windows are among ``known`` with a smaller document."""
+
+    def batches(it):
+        for batch in it:
+            out = []
+            for part, row, at, w1, w2 in _windows_of(batch, window):
+                for r in range(len(part)):
+                    x, y = np.searchsorted(row, (r, r + 1))
+                    known = {(k["w1"], k["w2"]): k["lo"] for k in part.column(4)[r].as_py()}
+                    doc = part.column(2)[r].as_py()
+                    hit = [a for a, k in zip(at[x:y], zip(w1[x:y].tolist(), w2[x:y].tolist())) if known.get(k, doc) < doc]
+                    if hit:
+                        out += [(part.column(0)[r].as_py(), part.column(1)[r].as_py(), s, n) for s, n in _spans(np.array(hit) + window - 1, window)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["anchor", "digest", "at", "n"])
+
+    return rows.mapInArrow(batches, _SPAN)
+
+
+def _hot_spans(texts: DataFrame, window: int) -> DataFrame:
+    """What shards do, for anchors with many unlike segments: by digests of whole windows."""
+    part = lambda n: F.pmod(F.col("w1"), n)
+    known = cut_lineage(_window_digests(texts, window).groupBy("anchor", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").drop("hi"), "segments")
+    parts = known.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / KNOWN).cast("long").alias("parts"))
+    known = known.join(parts, "anchor").groupBy("anchor", part(F.col("parts")).alias("part")).agg(F.collect_list(F.struct("w1", "w2", "lo")).alias("known"))
+    asked = texts.join(parts, "anchor").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = asked.join(cut_lineage(known, "segments"), ["anchor", "part"])
+    return _known_windows(rows.select("anchor", "digest", "doc_id", "words", "known"), window)
 
 
 def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -230,9 +268,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, s
     few = texts.filter(F.col("many") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, n // shard + 1))))
     match = lambda rows: _match_shard(rows, window)
     spans = few.select("shard", "anchor", "digest", "doc_id", "words").groupBy("shard").applyInPandas(match, _SPAN)
-    every = _window_digests(texts.filter(F.col("many") > hot).select("anchor", "digest", "doc_id", "words"), window)
-    least = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-    late = every.join(least, ["w1", "w2"]).filter("doc_id > lo").select("anchor", "digest", "at", F.lit(window).alias("n"))
+    late = _hot_spans(texts.filter(F.col("many") > hot).select("anchor", "digest", "doc_id", "words"), window)
     spans = cut_lineage(spans.unionByName(late), "segments")
 
     again = rows.join(first.filter("first.doc_id < hi").select("anchor", "digest", F.col("first.doc_id").alias("lo")), ["anchor", "digest"])
