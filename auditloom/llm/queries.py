@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, media, mixing, ngram_join, quality, substring_dedup
+from . import ann, chat, line_dedup, media, mixing, ngram_join, quality, substring_dedup
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -111,3 +111,12 @@ def op8_ngram_join(spark, sf):
 def op1_line_dedup(spark, sf):
     """Every document without lines that occur before, exactly or nearly."""
     return line_dedup.line_digests(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# ---- 10 approximate nearest neighbours ---------------------------------------------
+
+
+@query("op10_nearest_vectors")
+def op10_nearest_vectors(spark, sf):
+    """The five nearest vectors of every fiftieth one."""
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
