@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, media, mixing, ngram_join, quality, substring_dedup
+from . import ann, chat, line_dedup, lm_score, media, mixing, ngram_join, pieces, quality, substring_dedup
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -120,3 +120,21 @@ def op1_line_dedup(spark, sf):
 def op10_nearest_vectors(spark, sf):
     """The five nearest vectors of every fiftieth one."""
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# ---- 3 LM scoring ------------------------------------------------------------------
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf):
+    """Pseudo-likelihood of every document."""
+    return lm_score.score_documents(table(spark, sf, "documents"))
+
+
+# ---- 4 SentencePiece encoding and decoding -----------------------------------------
+
+
+@query("op4_piece_codes")
+def op4_piece_codes(spark, sf):
+    """Every document encoded, and decoded again from its ids."""
+    return pieces.code_digests(pieces.encode_documents(table(spark, sf, "documents")))
