@@ -81,7 +81,10 @@ def _bmp(data: bytes) -> np.ndarray:
 
 def decode(data: bytes) -> np.ndarray:
     """The samples of a Netpbm (P1 to P6) or uncompressed BMP file: (h, w) grey or (h, w, 3) colour, 8 bits."""
-    return _bmp(data) if data[:2] == b"BM" else _netpbm(data)
+    image = _bmp(data) if data[:2] == b"BM" else _netpbm(data)
+    if not image.size:
+        raise ValueError("no samples")
+    return image
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -174,7 +177,7 @@ def text_media(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in it:
-            rows = [_row((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in batch.column(1).cast(pa.binary())]
+            rows = [_row(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds))], names)
 
     return docs.select("doc_id", "text").mapInArrow(
