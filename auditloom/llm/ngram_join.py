@@ -237,7 +237,7 @@ def similar_documents(docs: DataFrame, n: int = N, similarity: float = SIMILARIT
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of similar documents: the one with the least id, then the least text hash.
 
-    Rows without words and rows with null ids stay. Rows equal in id and text that stay become one.
+    Rows without words and rows with null ids stay. Rows equal in id and text are one document and share their fate.
     """
     found = similar_documents(docs, **how)
     group = F.coalesce("class_id", "copy_id")
