@@ -75,7 +75,7 @@ _DEBT = r"(?i)(?://|/\*|#|\*)\s*(TODO|FIXME|HACK|the|de|der)\b[:\s]*(.*)"
 
 @query("r20_tech_debt", with_ctes(B.FILES, B.LINES, body=f"""
 SELECT repo, path, line, upper(regexp_extract(text, {q(_DEBT)}, 1)) AS type,
-  substr(trim(regexp_extract(text, {q(_DEBT)}, 2)), 1, 120) AS note
+  trim(regexp_extract(text, {q(_DEBT)}, 2)) AS note
 FROM lines WHERE regexp_matches(text, {q(_DEBT)})"""))
 def r20(spark, sf):
     return C.tech_debt(B.files(spark, sf), _DEBT)

@@ -95,7 +95,7 @@ m AS (SELECT *, coalesce(nullif(title, ''), replace(rule, '_', ' '), 'security f
 @query("p11_normalize_scan_row", with_ctes(_RAW, _NORM, body="""
 SELECT scan_id, sev AS severity, t2 AS title, rule AS invariant_id, coalesce(nullif(message, ''), 'Security issue detected') AS description,
   f2 AS file, l2 AS line, CASE WHEN evidence = 'proven' THEN 'proven' ELSE 'lead' END AS evidence, CASE WHEN exploitability = 'LIKELY' THEN exploitability END AS exploitability,
-  coalesce(nullif(fix, ''), nullif(recommendation, ''), 'Review this finding and apply the relevant invariant guidance.') AS recommendation, substr(snippet, 1, 2000) AS snippet,
+  coalesce(nullif(fix, ''), nullif(recommendation, ''), 'Review this finding and apply the relevant invariant guidance.') AS recommendation, snippet,
   sha256(sev || chr(0) || coalesce(rule, t2) || chr(0) || coalesce(f2, '') || chr(0) || coalesce(CAST(l2 AS VARCHAR), '')) AS fingerprint FROM m"""))
 def p11(spark, sf):
     return FD.normalize_scan_row(_raw(spark, sf))

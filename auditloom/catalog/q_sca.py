@@ -33,10 +33,15 @@ KEYED = f"""kv AS (SELECT p_partkey, ver, list_transform(list_filter(list_transf
 key AS (SELECT p_partkey, ver, list_transform(range(1, 5), lambda i: coalesce(core[i], 0)) AS core, CASE WHEN tag IS NULL THEN 1 WHEN starts_with(tag, 'post') THEN 2 ELSE 0 END AS rank, coalesce(tag, '') AS tag FROM kv)"""
 
 
+def _four(core):
+    """The first four components, missing ones as zeros."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.get(core, i), F.lit(0)).cast("string")), ".")
+
+
 @query("f6_version_key", with_ctes(VERS, KEYED, body="SELECT p_partkey, ver, CAST(rank AS INT) AS rank, tag, array_to_string(core, '.') AS core FROM key"))
 def f6(spark, sf):
     v = B.table(spark, sf, "part").select("p_partkey", _ver().alias("ver")).withColumn("k", V.version_key(F.col("ver")))
-    return v.select("p_partkey", "ver", "k.rank", "k.tag", F.array_join(F.slice("k.core", 1, 4).cast("array<string>"), ".").alias("core"))
+    return v.select("p_partkey", "ver", "k.rank", "k.tag", _four("k.core").alias("core"))
 
 
 @query("f6_version_order", with_ctes(VERS, KEYED, body="""

@@ -46,7 +46,7 @@ def title_of(invariant_id: Column) -> Column:
         F.regexp_replace(invariant_id, "^(evm|sol|move|sor|gen|sca|rt)_", ""),
         F.lit("_"), F.lit(" "),
     )
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10**6))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
 
 
 def exploitability_score(vector: Column, prereq: Column, interaction: Column, proven: Column) -> Column:

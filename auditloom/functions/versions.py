@@ -6,14 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from .text import let
 
-#: Components kept in the key. Spark orders [1,2] before [1,2,0], so keys are padded.
-WIDTH = 12
-
 
 def version_key(text: Column) -> Column:
     """``struct(core array<bigint>, rank int, tag string, width int)``; NULL if unparseable.
 
-    Order: padded numeric core, then rank (tag 0 < release 1 < post 2), then tag.
+    Order: numeric core of any length, then rank (tag 0 < release 1 < post 2), then tag. The core has no
+    trailing zeros, as a missing component counts as zero and arrays are ordered item by item.
     """
     cleaned = F.split_part(
         F.regexp_replace(F.regexp_replace(F.trim(text), "^v+", ""), "^=+", ""), F.lit("+"), F.lit(1)
@@ -46,17 +44,15 @@ def version_key(text: Column) -> Column:
     def finish(v: Column) -> Column:
         # An empty segment, an overflowing number or no number at all is no version.
         bad = (
-            v["hole"] | (F.size(v["numbers"]) == 0) | (F.size(v["numbers"]) > WIDTH)
-            | F.exists(v["numbers"], lambda n: n.isNull())
-        )
-        padded = F.slice(
-            F.concat(v["numbers"], F.array_repeat(F.lit(0).cast("bigint"), WIDTH)), F.lit(1), F.lit(WIDTH)
+            v["hole"] | (F.size(v["numbers"]) == 0) | F.exists(v["numbers"], lambda n: n.isNull())
         )
+        last = F.array_max(F.transform(v["numbers"], lambda n, i: F.when(n != 0, i + 1)))
+        core = F.slice(v["numbers"], F.lit(1), F.coalesce(last, F.lit(0)))
         rank = F.when(v["tag"].isNull(), 1).when(v["tag"].startswith("post"), 2).otherwise(0)
         return F.when(
             ~bad,
             F.struct(
-                padded.alias("core"), rank.cast("int").alias("rank"),
+                core.alias("core"), rank.cast("int").alias("rank"),
                 F.coalesce(v["tag"], F.lit("")).alias("tag"), F.size(v["numbers"]).alias("width"),
             ),
         )
@@ -110,7 +106,7 @@ def _clause(v: Column, op: Column, t: Column) -> Column:
     sv, st = sort_key(v), sort_key(t)
 
     def at(k: Column, i: int) -> Column:
-        return F.get(k["core"], F.lit(i))
+        return F.coalesce(F.get(k["core"], F.lit(i)), F.lit(0))
 
     same_major = at(v, 0) == at(t, 0)
     same_minor = at(v, 1) == at(t, 1)

@@ -147,13 +147,14 @@ def file_inventory(files: DataFrame) -> DataFrame:
 DEBT_MARKERS = r"(?i)(?://|/\*|#|\*)\s*(TODO|FIXME|HACK|XXX|BUG|WORKAROUND|UNSAFE|DO NOT|@audit(?:-\w+)?)\b[:\s]*(.*)"
 
 
-def tech_debt(files: DataFrame, pattern: str = DEBT_MARKERS) -> DataFrame:
-    """Debt comments with their text (first 120 characters)."""
+def tech_debt(files: DataFrame, pattern: str = DEBT_MARKERS, max_chars: int | None = None) -> DataFrame:
+    """Debt comments with their text, whole or cut to ``max_chars`` for display."""
     lines = explode_lines(files.filter(F.col("source").rlike(pattern)))
+    note = F.trim(F.regexp_extract("text", pattern, 2))
     return lines.filter(F.col("text").rlike(pattern)).select(
         "repo", "path", "line",
         F.upper(F.regexp_extract("text", pattern, 1)).alias("type"),
-        F.substring(F.trim(F.regexp_extract("text", pattern, 2)), 1, 120).alias("note"),
+        (note if max_chars is None else F.substring(note, 1, max_chars)).alias("note"),
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring as S
-from .keyed import descending, first_by
+from .keyed import first_by
 
 IDENTITY = ["repo", "invariant_id", "file", "line"]
 
@@ -74,8 +74,8 @@ def restore_snippets(findings: DataFrame, lines: DataFrame) -> DataFrame:
     ).select(*findings.columns)
 
 
-def normalize_scan_row(raw: DataFrame) -> DataFrame:
-    """Coerce raw report rows to the stored shape."""
+def normalize_scan_row(raw: DataFrame, max_snippet: int | None = None) -> DataFrame:
+    """Coerce raw report rows to the stored shape; snippets stay whole or are cut to ``max_snippet``."""
     sev = F.lower(F.coalesce("severity", F.lit("low")))
     sev = F.when(sev.isin("critical", "high", "medium", "low", "info"), sev).otherwise("low")
     loc = r"^(.*):(\d+)$"
@@ -103,7 +103,7 @@ def normalize_scan_row(raw: DataFrame) -> DataFrame:
             F.nullif(F.col("fix"), F.lit("")), F.nullif(F.col("recommendation"), F.lit("")),
             F.lit("Review this finding and apply the relevant invariant guidance."),
         ).alias("recommendation"),
-        F.substring("snippet", 1, 2000).alias("snippet"),
+        (F.col("snippet") if max_snippet is None else F.substring("snippet", 1, max_snippet)).alias("snippet"),
         S.fingerprint(sev, F.coalesce(rule, title), file, line).alias("fingerprint"),
     )
 

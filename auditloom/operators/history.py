@@ -286,8 +286,10 @@ def contributor_shares(commits: DataFrame, commit_files: DataFrame) -> DataFrame
     return per.select("author", "lines_added", F.round(F.col("lines_added") / total, 6).alias("share"))
 
 
-def blame(items: DataFrame, blame_rows: DataFrame, max_files: int = 20) -> DataFrame:
-    """Author and date for debt items of the first ``max_files`` files of a repository."""
+def blame(items: DataFrame, blame_rows: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Author and date for debt items, of all files or the first ``max_files`` of a repository."""
+    if max_files is None:
+        return items.join(blame_rows, ["repo", "path", "line"], "left")
     firsts = items.select("repo", "path").distinct().withColumn(
         "rn", F.row_number().over(Window.partitionBy("repo").orderBy("path"))
     ).filter(F.col("rn") <= max_files).drop("rn")

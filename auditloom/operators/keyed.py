@@ -23,9 +23,11 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def descending(value: Column) -> Column:
-    """A numeric ordering key reversed, NULL last."""
-    return F.coalesce(-value.cast("double"), F.lit(float("inf")))
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL is a value like any other; ``right`` gives its other columns."""
+    named = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def carry_forward(
@@ -49,7 +51,7 @@ def carry_forward(
         .over(per_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    joined = work.join(carried, [*keys, "_chunk"])
+    joined = join_keys(work, carried, [*keys, "_chunk"])
     prev = F.coalesce(
         F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
         F.col("_carried"),
@@ -74,7 +76,7 @@ def running_total(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        work.join(before, [*keys, "_chunk"])
+        join_keys(work, before, [*keys, "_chunk"])
         .withColumn(
             name,
             F.col("_before")

@@ -58,7 +58,7 @@ def cookie_rules(observations: DataFrame) -> DataFrame:
         "host", "url", F.col("final_url").startswith("https://").alias("https"),
         F.explode(F.filter("headers", lambda h: F.lower(h["name"]) == "set-cookie")).alias("h"),
     )
-    attrs = F.transform(F.slice(F.split("h.value", ";"), 2, 1000), lambda a: F.lower(F.trim(a)))
+    attrs = F.transform(F.slice(F.split("h.value", ";"), F.lit(2), F.size(F.split("h.value", ";"))), lambda a: F.lower(F.trim(a)))
     name = F.trim(F.regexp_extract("h.value", "^([^=]*)", 1))
     session = F.lower(name).rlike("|".join(SESSION_WORDS))
     missing = F.array_compact(F.array(

@@ -171,7 +171,7 @@ def missing_integrity(files: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
     )
     blocks = files.filter(L.file_name(F.col("path")) == "Cargo.lock").select(
-        "repo", "path", F.slice(F.split("source", r"\[\[package\]\]"), 2, 10**9).alias("b")
+        "repo", "path", F.slice(F.split("source", r"\[\[package\]\]"), F.lit(2), F.size(F.split("source", r"\[\[package\]\]"))).alias("b")
     )
     registry = lambda b: F.contains(b, F.lit('source = "registry+'))
     cargo = blocks.select(

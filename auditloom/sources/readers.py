@@ -122,7 +122,7 @@ def read_commits(spark: SparkSession, path: str, src_dir: str = "") -> tuple[Dat
         F.split("value", "\n").alias("lines"),
     )
     commits = rec.select("sha", "short_sha", "date", "author", "subject", "is_merge")
-    rows = rec.select("sha", F.explode(F.slice("lines", 2, 10**9)).alias("l")).filter(F.col("l").rlike(r"^(\d+|-)\t(\d+|-)\t"))
+    rows = rec.select("sha", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("l")).filter(F.col("l").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     cell = F.split("l", "\t")
     number = lambda i: F.coalesce(F.get(cell, F.lit(i)).try_cast("bigint"), F.lit(0))
     p = F.get(cell, F.lit(2))
@@ -159,17 +159,15 @@ RULE_ROW = """
 """
 
 
-def read_rules(spark: SparkSession, path: str, limit: int = 10_000):
+def read_rules(spark: SparkSession, path: str):
     """A user's rule file as rules for the scan operator.
 
-    Rules are code, so they come to the driver; a file with more rows than
-    ``limit`` is refused rather than cut.
+    Rules are code: they become expressions of the plan, so they come to the driver. Long
+    lists run as several packs (``rules.packs_of``).
     """
     from ..operators.rules import Rule
 
-    rows = spark.read.schema(RULE_ROW).json(path).take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules in {path}")
+    rows = spark.read.schema(RULE_ROW).json(path).collect()
     optional = ("unless", "near_has", "near_lacks", "file_has", "file_lacks", "func_has", "func_lacks")
     return tuple(
         Rule(
