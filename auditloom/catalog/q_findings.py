@@ -126,7 +126,7 @@ def u1(spark, sf):
     )
 
 
-_HALVES = "a AS (SELECT DISTINCT invariant_id, file, line FROM findings WHERE ts < '2024-01-18'), b AS (SELECT DISTINCT invariant_id, file, line FROM findings WHERE ts >= '2024-01-12')"
+_HALVES = "a AS (SELECT DISTINCT repo, invariant_id, file, line FROM findings WHERE ts < '2024-01-18'), b AS (SELECT DISTINCT repo, invariant_id, file, line FROM findings WHERE ts >= '2024-01-12')"
 
 
 def _halves(spark, sf):
@@ -145,9 +145,9 @@ def u3(spark, sf):
 
 
 @query("j17_golden_diff", fsql("""
-SELECT d.file, d.invariant_id, d.severity, d.line, CASE WHEN moved THEN 'moved' WHEN na > ne THEN 'added' ELSE 'removed' END AS change, na - ne AS delta
-FROM d JOIN (SELECT file, invariant_id, severity, sum(na) = sum(ne) AND sum(na) > 0 AS moved FROM d GROUP BY ALL) g USING (file, invariant_id, severity)""",
-"x AS (SELECT file, invariant_id, severity, line, count(*) FILTER (WHERE ts >= '2024-01-12') AS na, count(*) FILTER (WHERE ts < '2024-01-18') AS ne FROM findings GROUP BY ALL)",
+SELECT d.repo, d.file, d.invariant_id, d.severity, d.line, CASE WHEN moved THEN 'moved' WHEN na > ne THEN 'added' ELSE 'removed' END AS change, na - ne AS delta
+FROM d JOIN (SELECT repo, file, invariant_id, severity, sum(na) = sum(ne) AND sum(na) > 0 AS moved FROM d GROUP BY ALL) g USING (repo, file, invariant_id, severity)""",
+"x AS (SELECT repo, file, invariant_id, severity, line, count(*) FILTER (WHERE ts >= '2024-01-12') AS na, count(*) FILTER (WHERE ts < '2024-01-18') AS ne FROM findings GROUP BY ALL)",
 "d AS (SELECT * FROM x WHERE na <> ne)"))
 def j17(spark, sf):
     expected, actual = _halves(spark, sf)

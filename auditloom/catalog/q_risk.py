@@ -220,7 +220,8 @@ _CTL = "ctl AS (SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})"
 , n AS (SELECT repo, pathway, CAST(count(*) AS BIGINT) AS native_findings, count(DISTINCT ref) AS rules_hit FROM findings JOIN ctl ON ref = invariant_id AND kind = 'native' GROUP BY ALL),
 s AS (SELECT pathway, count(*) FILTER (WHERE kind = 'native') AS native_rules, count(*) FILTER (WHERE kind = 'hosted') AS hosted_subdomains,
   count(*) FILTER (WHERE kind = 'hosted' AND ref IN (SELECT lang FROM documents)) AS hosted_installed, count(*) FILTER (WHERE kind = 'assess') AS manual_controls FROM ctl GROUP BY pathway)
-SELECT repo, pathway, native_findings, rules_hit, native_rules, hosted_subdomains, hosted_installed, manual_controls FROM n JOIN s USING (pathway)""", _CTL))
+SELECT repo, pathway, coalesce(native_findings, 0) AS native_findings, coalesce(rules_hit, 0) AS rules_hit, native_rules, hosted_subdomains, hosted_installed, manual_controls
+FROM (SELECT DISTINCT repo FROM findings) CROSS JOIN s LEFT JOIN n USING (repo, pathway)""", _CTL))
 def j9(spark, sf):
     ctl = spark.createDataFrame(CONTROLS, "pathway string, kind string, ref string")
     skills = B.table(spark, sf, "documents").select(F.col("lang").alias("subdomain"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scoring as S
-from .keyed import first_by
+from .keyed import first_by, join_keys
 
 IDENTITY = ["repo", "invariant_id", "file", "line"]
 
@@ -134,7 +134,7 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def identity(findings: DataFrame) -> DataFrame:
-    return findings.select("invariant_id", "file", "line").distinct()
+    return findings.select(*IDENTITY).distinct()
 
 
 def new_and_fixed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -154,16 +154,16 @@ def golden_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
     A rule whose count in a file is unchanged but whose lines differ has moved.
     """
-    key = ["file", "invariant_id", "severity", "line"]
+    key = ["repo", "file", "invariant_id", "severity", "line"]
     side = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
     both = side(actual, "n_actual").join(side(expected, "n_expected"), key, "full_outer").na.fill(
         0, ["n_actual", "n_expected"]
     )
     diff = both.filter(F.col("n_actual") != F.col("n_expected"))
-    net = diff.groupBy("file", "invariant_id", "severity").agg(
+    net = diff.groupBy("repo", "file", "invariant_id", "severity").agg(
         F.sum("n_actual").alias("a"), F.sum("n_expected").alias("e")
     ).withColumn("moved", (F.col("a") == F.col("e")) & (F.col("a") > 0))
-    return diff.join(net, ["file", "invariant_id", "severity"]).select(
+    return join_keys(diff, net, ["repo", "file", "invariant_id", "severity"]).select(
         *key,
         F.when(F.col("moved"), "moved")
         .when(F.col("n_actual") > F.col("n_expected"), "added")

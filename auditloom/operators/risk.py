@@ -255,48 +255,48 @@ def checklist(
             return F.struct(F.lit(status).alias("status"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
 
         applies = F.lit(True) if it.scope == "any" else F.col(it.scope)
-        na = out("N/A", "nothing in the repository this applies to")
+        na = out("N/A", "out of scope here")
         if it.kind == "detectors":
             hits, acc = tally("counts", it.ids), tally("accepted", it.ids)
             return (
                 F.when(~applies, na)
                 .when(F.size(hits) > 0, out("FAIL", F.array_join(hits, ", ")))
-                .when(F.size(acc) > 0, out("ACCEPTED", F.concat(F.lit("under risk acceptance: "), F.array_join(acc, ", "))))
-                .otherwise(out("PASS", f"{len(it.ids)} detector(s) ran, no findings"))
+                .when(F.size(acc) > 0, out("ACCEPTED", F.concat(F.lit("risk taken for "), F.array_join(acc, ", "))))
+                .otherwise(out("PASS", f"clean for all {len(it.ids)} rules"))
             )
         if it.kind == "probe":
             if not probe_loaded:
-                return out("NEEDS-TOOL", "load a probe report")
+                return out("NEEDS-TOOL", "no probe results given")
             hits = tally("counts", it.ids)
             return F.when(F.size(hits) > 0, out("FAIL", F.array_join(hits, ", "))).otherwise(
-                out("PASS", "probe observed no issue")
+                out("PASS", "nothing seen by the probe")
             )
         if it.kind == "tool":
             if not symbolic_loaded:
-                return F.when(~applies, na).otherwise(out("NEEDS-TOOL", "load a symbolic report"))
+                return F.when(~applies, na).otherwise(out("NEEDS-TOOL", "no symbolic results given"))
             n = lambda k: F.coalesce(F.col("counts")[it.ids[k]], F.lit(0)) if k < len(it.ids) else F.lit(0)
             return (
                 F.when(~applies, na)
-                .when(n(0) > 0, out("FAIL", F.concat(n(0).cast("string"), F.lit(" proven counterexample(s)"))))
-                .when(n(1) > 0, out("PARTIAL", F.concat(n(1).cast("string"), F.lit(" check(s) undecided"))))
-                .otherwise(out("PASS", "every symbolic check passed"))
+                .when(n(0) > 0, out("FAIL", F.concat(n(0).cast("string"), F.lit(" refuted"))))
+                .when(n(1) > 0, out("PARTIAL", F.concat(n(1).cast("string"), F.lit(" left open"))))
+                .otherwise(out("PASS", "all symbolic results hold"))
             )
         if it.kind == "signal":
             s = F.col("signals")[it.ids[0]]
             shown = F.array_join(s["evidence"], ", ")
             return (
-                F.when(s["present"] & s["wired"], out("PASS", F.concat(F.lit(f"{it.ids[0]} present and run in CI ("), shown, F.lit(")"))))
-                .when(s["present"], out("PARTIAL", F.concat(F.lit(f"{it.ids[0]} present ("), shown, F.lit(") but no CI workflow runs it"))))
-                .otherwise(out("MISSING", f"no {it.ids[0]} found in the repository"))
+                F.when(s["present"] & s["wired"], out("PASS", F.concat(F.lit(f"{it.ids[0]} wired into CI: "), shown)))
+                .when(s["present"], out("PARTIAL", F.concat(F.lit(f"{it.ids[0]} not wired into CI: "), shown)))
+                .otherwise(out("MISSING", f"{it.ids[0]} absent"))
             )
         if it.kind == "chains":
             return F.when(F.col("chains").isNotNull(), out("FAIL", F.array_join("chains", ", "))).otherwise(
-                out("PASS", "no known attack chain is completed by the findings")
+                out("PASS", "no chain is complete")
             )
         if it.kind == "exposure":
             n = F.coalesce("likely", F.lit(0))
-            return F.when(n > 0, out("FAIL", F.concat(n.cast("string"), F.lit(" finding(s) rated LIKELY")))).otherwise(
-                out("PASS", "no finding rated LIKELY")
+            return F.when(n > 0, out("FAIL", F.concat(n.cast("string"), F.lit(" rated LIKELY")))).otherwise(
+                out("PASS", "none rated LIKELY")
             )
         return out("ASSESS", it.note)
 
@@ -330,10 +330,13 @@ def ready(items: DataFrame) -> DataFrame:
 
 # ---- pathways ---------------------------------------------------------------------
 
-def pathway_assessment(findings: DataFrame, controls: DataFrame, skills: DataFrame) -> DataFrame:
-    """Per pathway and repository: native findings, hosted skills, manual controls.
+def pathway_assessment(
+    findings: DataFrame, controls: DataFrame, skills: DataFrame, repos: DataFrame | None = None
+) -> DataFrame:
+    """Every pathway for every repository: native findings, hosted skills, manual controls.
 
-    ``controls(pathway, kind, ref)`` has kinds native, hosted and assess.
+    ``controls(pathway, kind, ref)`` has kinds native, hosted and assess. ``repos(repo)`` adds
+    repositories that have no findings. A repository without hits on a pathway has zeros.
     """
     counts = findings.groupBy("repo", F.col("invariant_id").alias("ref")).agg(F.count("*").alias("n"))
     native = controls.filter(F.col("kind") == "native").join(counts, "ref").groupBy("repo", "pathway").agg(
@@ -350,7 +353,14 @@ def pathway_assessment(findings: DataFrame, controls: DataFrame, skills: DataFra
             F.count_if(F.col("kind") == "assess").alias("manual_controls"),
         )
     )
-    return native.join(static, "pathway")
+    # The control list is short; each repository row carries it and spreads out on its own.
+    listed = static.agg(F.collect_list(F.struct(*static.columns)).alias("p")).scalar()
+    known = findings.select("repo") if repos is None else findings.select("repo").unionByName(repos.select("repo"))
+    every = known.distinct().select("repo", F.inline(listed))
+    named = native.select(F.col("repo").alias("_repo"), F.col("pathway").alias("_pathway"), "native_findings", "rules_hit")
+    rows = every.join(named, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("pathway") == F.col("_pathway")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return rows.select("repo", "pathway", zero("native_findings"), zero("rules_hit"), *[c for c in static.columns if c != "pathway"])
 
 
 # ---- repository signals and threat model -------------------------------------------

@@ -20,7 +20,11 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.regexp_extract("path", "^(?:file:)?/*" + base.lstrip("/").replace(".", r"\.") + "/(.*)$", 1)
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    # Listed paths carry scheme and host as the qualified root does; only slashes after the scheme vary.
+    scheme, _, rest = whole.partition(":")
+    rel = F.regexp_extract("path", rf"^\Q{scheme}\E:/*\Q{rest.lstrip('/')}\E/([\s\S]*)$", 1)
     folders = "|".join(d.replace(".", r"\.") for d in SKIPPED_FOLDERS)
     kept = raw.select(rel.alias("rel"), "content").filter(~F.col("rel").rlike(f"(^|/)({folders})/"))
     return kept.select(
@@ -30,9 +34,16 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     ).filter(F.col("source").isNotNull())
 
 
-def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of saved reports; a report that did not run is refused."""
-    doc = spark.read.schema(schemas.REPORT).option("multiLine", True).json(path).filter(F.col("ran"))
+def read_findings_json(spark: SparkSession, path: str, kind: str = "scan") -> DataFrame:
+    """Findings of saved reports of one kind: scan, probe or symbolic.
+
+    Only symbolic reports say whether they ran; one that did not stops the read, as its
+    silence would look like a clean result.
+    """
+    doc = spark.read.schema(schemas.REPORT).option("multiLine", True).json(path)
+    if kind == "symbolic":
+        failed = F.raise_error(F.concat(F.lit("symbolic report did not run: "), F.coalesce("repo", F.lit("?"))))
+        doc = doc.filter(F.when(F.coalesce("ran", F.lit(False)), True).otherwise(failed.cast("boolean")))
     return doc.select("repo", F.posexplode("findings").alias("ord", "f")).select(
         "repo", F.col("ord").cast("long").alias("ord"), "f.*"
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scoring as S
+from ..operators.keyed import first_by
 
 
 def write_ndjson(findings: DataFrame, path: str) -> None:
@@ -75,14 +78,26 @@ def write_sarif_runs(findings: DataFrame, taxonomy: DataFrame, path: str) -> Non
         table.write.mode("overwrite").partitionBy("repo").json(f"{path}/{name}")
 
 
-def upsert_findings(scan_rows: DataFrame, target: str) -> None:
+def _drop_partitions(spark: SparkSession, target: str, names: Sequence[str]) -> None:
+    """Delete partition folders with the file system that holds the target."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(target, name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def upsert_findings(scan_rows: DataFrame, target: str, scans: Sequence | None = None) -> None:
     """Replace the findings of the scans in ``scan_rows``; other scans stay.
 
-    Unique on (scan, fingerprint). Dynamic partition overwrite swaps whole scan
-    partitions at commit.
+    Unique on (scan, fingerprint), the lowest row of each. Dynamic partition overwrite swaps whole scan
+    partitions at commit. ``scans`` names the scans that ran: one without rows found
+    nothing, and its old partition is deleted.
     """
+    if scans is not None:
+        ran = {r["scan_id"] for r in scan_rows.select("scan_id").distinct().collect()}  # at most one row per scan that ran
+        _drop_partitions(scan_rows.sparkSession, target, [f"scan_id={s}" for s in scans if s not in ran])
     (
-        scan_rows.dropDuplicates(["scan_id", "fingerprint"])
+        first_by(scan_rows, ["scan_id", "fingerprint"], [])
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("scan_id").parquet(target)
     )

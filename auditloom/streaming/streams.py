@@ -126,14 +126,16 @@ def validate_sinks(sinks: DataFrame) -> DataFrame:
 def route_alerts(alerts: DataFrame, sinks: DataFrame) -> DataFrame:
     """One row per (alert, sink) whose severity filter admits it; no filter admits all.
 
-    ``sinks(sink, type, severities)`` with NULL or empty severities for "all".
-    Alerts join on severity equality, so the sink list never multiplies rows
-    beyond what it asks for.
+    ``sinks(sink, type, severities)`` with NULL or empty severities for "all", whatever an
+    alert's severity is, NULL included. An alert asks twice, for its severity and for
+    sinks without a filter, so both are one equi-join.
     """
-    every = F.array(*[F.lit(s) for s in ("Info", "Low", "Medium", "High", "Critical")])
-    wanted = F.when(F.coalesce(F.size("severities"), F.lit(0)) <= 0, every).otherwise(F.col("severities"))
-    rows = sinks.select("sink", "type", F.explode(wanted).alias("severity"))
-    return alerts.join(rows, "severity")
+    anything = F.struct(F.lit(True).alias("every"), F.lit("").alias("severity"))
+    named = F.transform(F.array_distinct("severities"), lambda s: F.struct(F.lit(False).alias("every"), s.alias("severity")))
+    wanted = F.when(F.coalesce(F.size("severities"), F.lit(0)) <= 0, F.array(anything)).otherwise(named)
+    rows = sinks.select("sink", "type", F.explode(wanted).alias("_asks"))
+    own = F.struct(F.lit(False).alias("every"), F.coalesce("severity", F.lit("")).alias("severity"))
+    return alerts.withColumn("_asks", F.explode(F.array(anything, own))).join(rows, "_asks").drop("_asks")
 
 
 def deliver(stream: DataFrame, sinks: DataFrame, send: Callable[[DataFrame, int], None], label: str = "alerts") -> None:

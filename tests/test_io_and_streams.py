@@ -21,12 +21,38 @@ def test_read_corpus_drops_binaries_and_skipped_folders(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("one", "src/a.py", "x = 1\n"), ("two", "d.txt", "é")]
 
 
-def test_reports_that_did_not_run_are_refused(spark, tmp_path):
+def test_reports_by_kind(spark, tmp_path):
     f = {"invariant_id": "a", "severity": "High", "file": "x", "line": 1}
     for i, ran in enumerate((True, False)):
         (tmp_path / f"{i}.json").write_text(json.dumps({"repo": f"r{i}", "ran": ran, "findings": [f, f]}))
-    rows = RD.read_findings_json(spark, str(tmp_path)).collect()
+    rows = RD.read_findings_json(spark, str(tmp_path / "0.json"), "symbolic").collect()
     assert [(r["repo"], r["ord"]) for r in rows] == [("r0", 0), ("r0", 1)]
+    with pytest.raises(Exception, match="did not run: r1"):
+        RD.read_findings_json(spark, str(tmp_path), "symbolic").collect()
+    (tmp_path / "2.json").write_text(json.dumps({"repo": "r2", "findings": [f]}))
+    assert RD.read_findings_json(spark, str(tmp_path / "2.json")).count() == 1
+
+
+def test_corpus_root_with_odd_characters(spark, tmp_path):
+    p = tmp_path / "a+b (c).d" / "one" / "x.py"
+    p.parent.mkdir(parents=True)
+    p.write_bytes(b"1")
+    assert [tuple(r) for r in RD.read_corpus(spark, str(tmp_path / "a+b (c).d") + "/").collect()] == [("one", "x.py", "1")]
+
+
+def test_scan_without_findings_clears_its_old_ones(spark, tmp_path):
+    target = str(tmp_path / "t")
+    mk = lambda rows: spark.createDataFrame(rows, "scan_id string, fingerprint string, severity string")
+    WR.upsert_findings(mk([("a", "1", "High"), ("b", "1", "Low"), ("b", "1", "High")]), target)
+    WR.upsert_findings(mk([("c", "1", "High")]), target, scans=["a", "c", "new"])
+    assert sorted(map(tuple, spark.read.parquet(target).select("scan_id", "fingerprint", "severity").collect())) == [("b", "1", "High"), ("c", "1", "High")]
+
+
+def test_every_alert_reaches_sinks_without_a_filter(spark):
+    alerts = spark.createDataFrame([(1, "high"), (2, None), (3, "High")], "ord int, severity string")
+    sinks = spark.createDataFrame([("all", "file", None), ("none", "file", []), ("some", "slack", ["High", "High"])], "sink string, type string, severities array<string>")
+    got = sorted((r["ord"], r["sink"]) for r in ST.route_alerts(alerts, sinks).collect())
+    assert got == [(1, "all"), (1, "none"), (2, "all"), (2, "none"), (3, "all"), (3, "none"), (3, "some")]
 
 
 def test_commit_log(spark, tmp_path):
