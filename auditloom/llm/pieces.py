@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .base import text_key
+from .kernel import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk. Texts up to this length are one chunk.
 CHUNK = 1 << 15
 SPACE = "▁"
 NONE = -1
-_MEMO = 1_000_000
-_LONG_UNIT = 48
+#: Units that a worker remembers, and the longest one that is encoded among others.
+_MEMO, _SHORT = 150_000, 24
+#: Units walked at once, and bytes of text encoded at once: what a worker holds besides the memo.
+_BATCH, _SLICE = 4096, 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -53,11 +58,101 @@ class Pieces:
         # No piece leads from another character to a space mark: what such marks part is independent.
         self.units = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
         # Nor does any piece hold a line feed, if it has none itself: it parts units too.
-        feed = "" if any("\n" in t for t in self.ids) else "\n"
+        self.feed = feed = "" if any("\n" in t for t in self.ids) else "\n"
         self.unit_re = re.compile(f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+|\n+") if self.units else re.compile("(?s).+")
         self.merges: dict[int, tuple] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self._table()
+
+    def _table(self) -> None:
+        """Open-addressed table of pieces by the hash of their characters, and a direct-mapped cache of pairs."""
+        self.size = 1 << (4 * len(self.ids)).bit_length()
+        self.keys, self.values = np.zeros(self.size, np.uint64), np.full(self.size, NONE, np.int32)
+        hashes = np.zeros(len(self.ids), np.uint64)
+        for k, t in enumerate(self.ids):
+            h = 0
+            for c in t:
+                h = (h * int(_MIX) + ord(c) + 1) % (1 << 64)
+            hashes[k] = h
+        self.shift, self.probes = np.uint64(64 - (self.size.bit_length() - 1)), 1
+        for h, slot, i in zip(hashes.tolist(), ((hashes * _MIX) >> self.shift).tolist(), self.ids.values()):
+            n = 1
+            while self.values[slot] != NONE:
+                slot, n = (slot + 1) % self.size, n + 1
+            self.keys[slot], self.values[slot], self.probes = h, i, max(self.probes, n)
+        self.unknown = self.lib.vocab_size()
+        self.pair_keys, self.pair_open = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece of each hash, or NONE."""
+        slot = ((hashes * _MIX) >> self.shift).astype(np.int64)
+        out = np.where(self.keys[slot] == hashes, self.values[slot], NONE)
+        left = np.flatnonzero((out == NONE) & (self.values[slot] != NONE))
+        for _ in range(1, self.probes):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) % self.size
+            hit = self.keys[slot[left]] == hashes[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (self.values[slot[left]] != NONE)]
+        return out
+
+    def _open(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``open`` for many pairs; ``unknown`` stands for any character without a piece."""
+        keys = (before.astype(np.int64) + 1) << 20 | piece
+        slot = ((keys.astype(np.uint64) * _MIX) >> np.uint64(44)).astype(np.int64)
+        for key in np.unique(keys[self.pair_keys[slot] != keys]).tolist():
+            b, p = (key >> 20) - 1, key & 0xFFFFF
+            at = int((key * int(_MIX)) % (1 << 64)) >> 44
+            self.pair_keys[at], self.pair_open[at] = key, self.open(-2 if b == self.unknown else b, -2 if p == self.unknown else p)
+        # Two keys of one call may share a slot: the one that lost it is asked for by itself.
+        out, lost = self.pair_open[slot], np.flatnonzero(self.pair_keys[slot] != keys)
+        for x in lost.tolist():
+            b, p = int(before[x]), int(piece[x])
+            out[x] = self.open(-2 if b == self.unknown else b, -2 if p == self.unknown else p)
+        return out
+
+    def encode_units(self, units: list[str]) -> None:
+        """Fill the memo with units of at most ``_SHORT`` characters, all of them walked at once, place by place."""
+        for lo, hi in ((0, 8), (8, 14), (14, _SHORT)):
+            some = [u for u in units if lo < len(u) <= hi]
+            for at in range(0, len(some), _BATCH):
+                self._encode_padded(some[at : at + _BATCH], hi)
+
+    def _encode_padded(self, units: list[str], width: int) -> None:
+        codes = np.frombuffer("".join(u.ljust(width, "\x00") for u in units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = codes.reshape(len(units), width).astype(np.uint64) + np.uint64(1)
+        size = np.array([len(u) for u in units])
+        hashes, found = np.zeros((len(units), width + 1), np.uint64), []
+        for n in range(1, min(width, self.longest) + 1):
+            hashes = hashes[:, :-1] * _MIX + codes[:, n - 1 :]
+            found.append(self._find(hashes.reshape(-1)).reshape(hashes.shape))
+        found[0] = np.where(found[0] == NONE, self.unknown, found[0])
+        last = np.full((len(units), width + 1), -2, np.int32)  # -2: not reached
+        last[:, 0] = NONE
+        start = np.zeros((len(units), width + 1), np.int8)
+        for e in range(1, width + 1):
+            todo = np.flatnonzero(size >= e)
+            for n in range(min(e, len(found)), 0, -1):
+                piece, before = found[n - 1][todo, e - n], last[todo, e - n]
+                may = np.flatnonzero((piece != NONE) & (before != -2))
+                if not len(may):
+                    continue
+                may = may[self._open(before[may], piece[may])]
+                last[todo[may], e], start[todo[may], e] = piece[may], e - n
+                keep = np.ones(len(todo), bool)
+                keep[may] = False
+                todo = todo[keep]
+        for unit, n, pieces, starts in zip(units, size.tolist(), last.tolist(), start.tolist()):
+            out = []
+            while n:
+                s = starts[n]
+                out.append(pieces[n])
+                if pieces[n] == self.unknown:
+                    out[-1:] = [self.byte[b] for b in reversed(unit[s:n].encode())]
+                n = s
+            self.memo[unit] = tuple(out[::-1])
 
     def steps(self, piece: int) -> tuple[bool, list[float], list[str], list[str]]:
         """How a piece's characters merge by themselves: whether to the piece, each merge's score, and the outer parts between merges."""
@@ -138,19 +233,28 @@ class Pieces:
 
     def encode(self, chars: str, before: int = NONE, first_end: int = 1) -> list[int]:
         """The ids of marked text, whose first piece follows ``before``."""
-        out, memo, head = [], self.memo, before != NONE or first_end > 1
-        for unit in self.unit_re.findall(chars):
-            if head or len(unit) > _LONG_UNIT:
-                # A text that begins within a unit has its own start; all others begin afresh.
-                out += self.walk(unit, before, first_end) if head else self.walk(unit)
-                head = False
-                continue
-            ids = memo.get(unit)
-            if ids is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                ids = memo[unit] = self.walk(unit)
-            out += ids
+        return self.encode_many([(chars, before, first_end)])[0]
+
+    def encode_many(self, texts: list[tuple[str, int, int]]) -> list[list[int]]:
+        """The ids of each (marked text, piece before it, least end of its first piece)."""
+        units = [self.unit_re.findall(t) for t, _, _ in texts]
+        heads: list[list[int]] = []
+        for own, (_, before, first_end) in zip(units, texts):
+            # A text that begins within a unit has its own start; all other units begin afresh.
+            heads.append(self.walk(own.pop(0), before, first_end) if own and (before != NONE or first_end > 1) else [])
+        memo = self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        new = [u for u in set(chain.from_iterable(units)) if u not in memo]
+        if len(new) >= 2000:
+            self.encode_units(new)
+        else:
+            memo.update({u: tuple(self.walk(u)) for u in new if len(u) <= _SHORT})
+        long = {u: self.walk(u) for u in new if len(u) > _SHORT}
+        out = []
+        for head, own in zip(heads, units):
+            parts = map(memo.get, own) if not long else (memo.get(u) or long[u] for u in own)
+            out.append(head + list(chain.from_iterable(parts)))
         return out
 
     def decode(self, ids) -> str:
@@ -161,7 +265,10 @@ class Pieces:
     # ---- chunks ----
 
     def starts_unit(self, text: str, at: int) -> bool:
-        return self.units and (at == 0 or text[at : at + 1] == SPACE and text[at - 1] != SPACE)
+        """Is what follows a place independent of what is before it."""
+        if not self.units or at == 0:
+            return at == 0
+        return text[at : at + 1] == SPACE != text[at - 1] or text[at - 1] == self.feed
 
     def entries(self, text: str, at: int) -> list[tuple[int, int]]:
         """Possible states at a border: (characters since the last piece's end, that piece)."""
@@ -183,11 +290,10 @@ class Pieces:
         ``text`` reaches back far enough for pieces across ``lo``. Where a unit begins inside the chunk, all entries
         meet in one state, so only the stretch before it is walked once per entry.
         """
-        meet = next((m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[lo - 1 if lo else 0 : hi])), None) if self.units else None
-        meet = None if meet is None else meet + (lo - 1 if lo else 0)
+        meet = next((at for at in range(lo + 1, hi) if self.starts_unit(text, at)), None)
         out = {}
-        if meet is not None and meet > lo:
-            last_unit = max(m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[meet - 1 : hi])) + meet - 1
+        if meet is not None:
+            last_unit = next(at for at in range(hi - 1, lo, -1) if self.starts_unit(text, at))
             tail = self.exits(text, last_unit, hi, self.paths(text[last_unit:hi], NONE))
             for back, piece in self.entries(text, lo):
                 if meet - lo + back in self.paths(text[lo - back : meet], piece, back + 1):
@@ -303,11 +409,12 @@ def _encode_giants(rows: DataFrame, proto: bytes, chunk: int) -> DataFrame:
     def backtrace(it):
         pieces = _pieces(proto)
         for batch in it:
-            out = []
-            for row in batch.to_pylist():
-                text, lo, hi = view(row)
-                out.append(pieces.encode(text[lo - row["back"] : hi - row["short"]], row["before"], row["back"] + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array(out)], ["key", "n", "ids"])
+            for a, b in slices(batch.column(2), _SLICE):
+                part, out = batch.slice(a, b - a), []
+                for row in part.to_pylist():
+                    text, lo, hi = view(row)
+                    out.append((text[lo - row["back"] : hi - row["short"]], row["before"], row["back"] + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _list_array(pieces.encode_many(out))], ["key", "n", "ids"])
 
     parts = chunks.join(path, ["key", "n"]).mapInArrow(backtrace, "key struct<a:bigint,b:bigint>, n int, ids array<int>")
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("parts"))
@@ -327,9 +434,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
     def batches(it):
         pieces = _pieces(proto)
         for batch in it:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), _list_array([pieces.encode(mark(t or "")) for t in part.column(1).to_pylist()])], ["doc_id", "ids"])
+            for a, b in slices(batch.column(1), _SLICE):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(pieces.encode_many([(mark(t), NONE, 1) for t in part.column(1).to_pylist()]))], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
