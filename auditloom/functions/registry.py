@@ -35,7 +35,7 @@ def detector(check: Callable[[str, str], Iterator[tuple[str, str, int, str]]]) -
         def eval(self, source: str, path: str):
             yield from check(source, path)
 
-    return F.udtf(Detector, returnType=DETECTOR_RETURN)
+    return F.udtf(Detector, returnType=DETECTOR_RETURN, useArrow=True)
 
 
 def run_detector(files: DataFrame, udtf: UserDefinedTableFunction, name: str = "pluggable_detector") -> DataFrame:

@@ -78,8 +78,8 @@ def write_sarif_runs(findings: DataFrame, taxonomy: DataFrame, path: str) -> Non
         table.write.mode("overwrite").partitionBy("repo").json(f"{path}/{name}")
 
 
-def _drop_partitions(spark: SparkSession, target: str, names: Sequence[str]) -> None:
-    """Delete partition folders with the file system that holds the target."""
+def drop_folders(spark: SparkSession, target: str, names: Sequence[str]) -> None:
+    """Delete folders below ``target`` with the file system that holds it; missing ones do not matter."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(target, name)
@@ -95,7 +95,7 @@ def upsert_findings(scan_rows: DataFrame, target: str, scans: Sequence | None =
     """
     if scans is not None:
         ran = {r["scan_id"] for r in scan_rows.select("scan_id").distinct().collect()}  # at most one row per scan that ran
-        _drop_partitions(scan_rows.sparkSession, target, [f"scan_id={s}" for s in scans if s not in ran])
+        drop_folders(scan_rows.sparkSession, target, [f"scan_id={s}" for s in scans if s not in ran])
     (
         first_by(scan_rows, ["scan_id", "fingerprint"], [])
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -16,31 +16,45 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import invariants as INV
 from ..operators import ops
 from ..session import cut_counted, cut_lineage, scratch_path
-from ..sources.writers import upsert_findings
+from ..sources.writers import drop_folders, upsert_findings
 
 SINK_TYPES = INV.SINKS
 
 
 # ---- running a stream to completion --------------------------------------------------
 
-def run_to_table(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+#: Drain what is there, then stop. Others pass what ``DataStreamWriter.trigger`` takes.
+DRAIN = {"availableNow": True}
+
+
+def _log(spark: SparkSession, label: str, out: str | None, checkpoint: str | None) -> str:
+    """Where a stream keeps its place: as told, else beside its output, so the next call goes on from there."""
+    return checkpoint or (f"{out}-log" if out else scratch_path(spark, label + "-log"))
+
+
+def run_to_table(
+    stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
+) -> DataFrame:
     """Drain what is available into an append table and read it back."""
     spark = stream.sparkSession
     out = path or scratch_path(spark, label)
     query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", scratch_path(spark, label + "-log")).start(out)
+        stream.writeStream.format("parquet").outputMode("append").trigger(**(trigger or DRAIN))
+        .option("checkpointLocation", _log(spark, label, path, checkpoint)).start(out)
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
-    """Drain what is available through a per-batch function."""
+def run_batches(
+    stream: DataFrame, label: str, step: Callable[[DataFrame, int], None], checkpoint: str | None = None,
+    out: str | None = None, trigger: dict | None = None,
+) -> None:
+    """Drain what is available through a per-batch function; batch numbers go on with the checkpoint."""
     spark = stream.sparkSession
     query: StreamingQuery = (
-        stream.writeStream.foreachBatch(step).trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, label + "-log")).start()
+        stream.writeStream.foreachBatch(step).trigger(**(trigger or DRAIN))
+        .option("checkpointLocation", _log(spark, label, out, checkpoint)).start()
     )
     query.awaitTermination()
 
@@ -138,12 +152,12 @@ def route_alerts(alerts: DataFrame, sinks: DataFrame) -> DataFrame:
     return alerts.withColumn("_asks", F.explode(F.array(anything, own))).join(rows, "_asks").drop("_asks")
 
 
-def deliver(stream: DataFrame, sinks: DataFrame, send: Callable[[DataFrame, int], None], label: str = "alerts") -> None:
+def deliver(stream: DataFrame, sinks: DataFrame, send: Callable[[DataFrame, int], None], label: str = "alerts", checkpoint: str | None = None) -> None:
     """Fan a stream out per batch; an unknown sink type stops before anything is sent."""
     bad = validate_sinks(sinks).limit(1).take(1)
     if bad:
         raise ValueError(f"unknown sink type: {bad[0]['type']}")
-    run_batches(stream, label, lambda batch, no: send(route_alerts(batch, sinks), no))
+    run_batches(stream, label, lambda batch, no: send(route_alerts(batch, sinks), no), checkpoint)
 
 
 # ---- per-key history ------------------------------------------------------------------
@@ -152,7 +166,8 @@ class BatchState:
     """The last value per key after each batch, one folder per batch.
 
     Replaying a batch reads the same earlier folder and overwrites its own, so
-    a restart gives the same rows.
+    a restart gives the same rows. Only the last two folders stay: a batch
+    can be replayed until the next one is done.
     """
 
     def __init__(self, stream: DataFrame, path: str, keys: Sequence[str], column: str, value: str):
@@ -167,71 +182,73 @@ class BatchState:
 
     def save(self, batch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        drop_folders(self.spark, self.path, [f"batch={batch - 2}"])
 
 
 def _history_step(state: BatchState, order: Sequence[str], value: str, out: str, judge: Callable[[DataFrame], DataFrame], chunk: Column):
-    from ..operators.keyed import carry_forward
+    from ..operators.keyed import carry_forward, join_keys
 
     keys = state.keys
 
     def step(batch: DataFrame, no: int) -> None:
         old = state.before(no)
         walked = carry_forward(batch, keys, order, chunk, F.col(value), "prev")
-        seeded = walked.join(old.withColumnRenamed(state.value, "_seed"), keys, "left").withColumn(
+        seeded = join_keys(walked, old.withColumnRenamed(state.value, "_seed"), keys, "left").withColumn(
             "prev", F.coalesce("prev", "_seed")
         ).drop("_seed")
         judge(seeded).write.mode("overwrite").parquet(f"{out}/batch={no}")
         latest = batch.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
             F.max_by(value, F.struct(*order)).alias("_new")
         )
-        merged = old.join(latest, keys, "full_outer").select(
-            *keys, F.coalesce("_new", state.value).alias(state.value)
-        )
-        state.save(no, merged)
+        both = old.withColumn("_age", F.lit(0)).unionByName(latest.select(*keys, F.col("_new").alias(state.value), F.lit(1).alias("_age")))
+        state.save(no, both.groupBy(*keys).agg(F.max_by(state.value, "_age").alias(state.value)))
 
     return step
 
 
-def stream_monotonic(stream: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, chunk: Column) -> None:
-    """Append rows whose value fell below the key's previous value; state lives beside the output."""
+def stream_monotonic(stream: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, chunk: Column, checkpoint: str | None = None) -> None:
+    """Append rows whose value fell below the key's previous value; state and place live beside the output."""
     state = BatchState(stream, out + "-state", keys, value, "last_value")
     judge = lambda df: df.filter(F.col(value) < F.col("prev"))
-    run_batches(stream, "monotonic", _history_step(state, order, value, out, judge, chunk))
+    run_batches(stream, "monotonic", _history_step(state, order, value, out, judge, chunk), checkpoint, out)
 
 
 def stream_authorised_change(
     stream: DataFrame, keys: Sequence[str], order: Sequence[str], guarded: str, out: str, chunk: Column,
-    owner: str = "owner", caller: str = "caller", fn: str = "fn",
+    owner: str = "owner", caller: str = "caller", fn: str = "fn", checkpoint: str | None = None,
 ) -> None:
     state = BatchState(stream, out + "-state", keys, owner, "last_owner")
     judge = lambda df: df.filter(
         (F.col(fn) == guarded) & (F.col(owner) != F.col("prev")) & (F.col(caller) != F.col("prev"))
     )
-    run_batches(stream, "authorised", _history_step(state, order, owner, out, judge, chunk))
+    run_batches(stream, "authorised", _history_step(state, order, owner, out, judge, chunk), checkpoint, out)
 
 
 # ---- scan operations -------------------------------------------------------------------
 
-def stream_expire_leases(stream: DataFrame, out: str, lease: str = "10 minutes", max_attempts: int = 3, ts: str = "claimed_at") -> None:
+def stream_expire_leases(stream: DataFrame, out: str, lease: str = "10 minutes", max_attempts: int = 3, ts: str = "claimed_at", checkpoint: str | None = None) -> None:
     """Judge leases against the newest event time of each batch."""
 
     def step(batch: DataFrame, no: int) -> None:
         now = batch.agg(F.max("seen_at")).scalar()
         ops.expire_leases(batch, now, lease, max_attempts).write.mode("overwrite").parquet(f"{out}/batch={no}")
 
-    run_batches(stream, "leases", step)
+    run_batches(stream, "leases", step, checkpoint, out)
 
 
 def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str | None = None) -> None:
-    """New files through a scan with an idempotent sink: a replayed batch replaces its partition."""
+    """New files through a scan with an idempotent sink: a replayed batch replaces its partition.
+
+    Scans are numbered by batch; the place is kept beside the target, so the numbers go on.
+    """
 
     def step(batch: DataFrame, no: int) -> None:
-        upsert_findings(scan(batch).withColumn("scan_id", F.lit(no).cast("long")), target)
+        upsert_findings(scan(batch).withColumn("scan_id", F.lit(no).cast("long")), target, [no])
 
-    run_batches(files, "scan", step, checkpoint)
+    run_batches(files, "scan", step, checkpoint, target)
 
 
-def late_findings(stream: DataFrame, delay: str, out: str, ts: str = "ts") -> None:
+def late_findings(stream: DataFrame, delay: str, out: str, ts: str = "ts", checkpoint: str | None = None) -> None:
     """Rows older than everything already seen minus ``delay`` go to ``out/late``, others to ``out/ontime``."""
     spark = stream.sparkSession
     marks = f"{out}-marks"
@@ -247,4 +264,4 @@ def late_findings(stream: DataFrame, delay: str, out: str, ts: str = "ts") -> No
         judged.filter("not _late").drop("_late").write.mode("overwrite").parquet(f"{out}/ontime/batch={no}")
         batch.agg(F.greatest(F.max(ts), high).alias("high")).write.mode("overwrite").parquet(f"{marks}/batch={no}")
 
-    run_batches(stream, "late", step)
+    run_batches(stream, "late", step, checkpoint, out)

@@ -48,6 +48,34 @@ def test_scan_without_findings_clears_its_old_ones(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).select("scan_id", "fingerprint", "severity").collect())) == [("b", "1", "High"), ("c", "1", "High")]
 
 
+def test_stateful_streams_go_on_where_they_stopped(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, t int, v int"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: ST.stream_monotonic(spark.readStream.schema(schema).parquet(source), ["k"], ["t"], "v", out, F.floor(F.col("t") / 10))
+    put([("a", 1, 5), (None, 1, 9)])
+    run()
+    put([("a", 2, 3), (None, 2, 8), ("b", 1, 1)])
+    run()
+    run()
+    put([("b", 2, 0), ("a", 3, 4)])
+    run()
+    got = sorted((str(r["k"]), r["t"], r["prev"]) for r in spark.read.parquet(out).collect())
+    assert got == [("None", 2, 9), ("a", 2, 5), ("b", 2, 1)]
+    assert len([p for p in (tmp_path / "out-state").iterdir()]) == 2
+
+
+def test_incremental_scans_number_on(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "t")
+    put = lambda rows: spark.createDataFrame(rows, "fingerprint string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: ST.incremental_scan(spark.readStream.schema("fingerprint string").parquet(source), lambda b: b, target)
+    put([("x",)])
+    run()
+    put([("x",), ("y",)])
+    run()
+    assert sorted(map(tuple, spark.read.parquet(target).select("scan_id", "fingerprint").collect())) == [(0, "x"), (1, "x"), (1, "y")]
+
+
 def test_every_alert_reaches_sinks_without_a_filter(spark):
     alerts = spark.createDataFrame([(1, "high"), (2, None), (3, "High")], "ord int, severity string")
     sinks = spark.createDataFrame([("all", "file", None), ("none", "file", []), ("some", "slack", ["High", "High"])], "sink string, type string, severities array<string>")
