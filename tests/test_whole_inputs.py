@@ -43,3 +43,21 @@ def test_null_keys_and_times_are_kept(spark):
     assert sorted((str(r["k"]), r["t"] or 0, r["prev"]) for r in prev) == [("None", 1, None), ("None", 2, 10), ("a", 0, None), ("a", 3, 5)]
     total = keyed.running_total(df, ["k"], ["t"], F.floor(F.col("t") / 10), F.coalesce("v", F.lit(0)), "s").collect()
     assert sorted((str(r["k"]), r["t"] or 0, r["s"]) for r in total) == [("None", 1, 10), ("None", 2, 10), ("a", 0, 5), ("a", 3, 12)]
+
+
+def test_every_pathway_is_assessed(spark):
+    from auditloom.operators import risk
+
+    found = spark.createDataFrame([("r", "a"), ("r", "a"), (None, "b")], "repo string, invariant_id string")
+    controls = spark.createDataFrame([("p", "native", "a"), ("q", "native", "z"), ("q", "assess", "m")], "pathway string, kind string, ref string")
+    skills = spark.createDataFrame([], "subdomain string")
+    repos = spark.createDataFrame([("quiet",)], "repo string")
+    got = sorted((str(r["repo"]), r["pathway"], r["native_findings"], r["manual_controls"]) for r in risk.pathway_assessment(found, controls, skills, repos).collect())
+    assert got == [("None", "p", 0, 0), ("None", "q", 0, 1), ("quiet", "p", 0, 0), ("quiet", "q", 0, 1), ("r", "p", 2, 0), ("r", "q", 0, 1)]
+
+
+def test_findings_of_two_repositories_stay_apart(spark):
+    one = spark.createDataFrame([("r1", "x", "a.py", 1), ("r2", "x", "a.py", 1)], "repo string, invariant_id string, file string, line int")
+    two = one.filter("repo = 'r2'")
+    assert [tuple(r) for r in findings.new_and_fixed(one, two).collect()] == [("r1", "x", "a.py", 1, "fixed")]
+    assert findings.common_findings(one, two).count() == 1
