@@ -129,12 +129,15 @@ class Pieces:
             hashes = hashes[:, :-1] * _MIX + codes[:, n - 1 :]
             found.append(self._find(hashes.reshape(-1)).reshape(hashes.shape))
         found[0] = np.where(found[0] == NONE, self.unknown, found[0])
+        any_piece = [(f != NONE).any(axis=0).tolist() for f in found]
         last = np.full((len(units), width + 1), -2, np.int32)  # -2: not reached
         last[:, 0] = NONE
         start = np.zeros((len(units), width + 1), np.int8)
         for e in range(1, width + 1):
             todo = np.flatnonzero(size >= e)
             for n in range(min(e, len(found)), 0, -1):
+                if not any_piece[n - 1][e - n]:
+                    continue
                 piece, before = found[n - 1][todo, e - n], last[todo, e - n]
                 may = np.flatnonzero((piece != NONE) & (before != -2))
                 if not len(may):
@@ -233,9 +236,9 @@ class Pieces:
 
     def encode(self, chars: str, before: int = NONE, first_end: int = 1) -> list[int]:
         """The ids of marked text, whose first piece follows ``before``."""
-        return self.encode_many([(chars, before, first_end)])[0]
+        return self.encode_many([(chars, before, first_end)])[0].tolist()
 
-    def encode_many(self, texts: list[tuple[str, int, int]]) -> list[list[int]]:
+    def encode_many(self, texts: list[tuple[str, int, int]]) -> list[np.ndarray]:
         """The ids of each (marked text, piece before it, least end of its first piece)."""
         units = [self.unit_re.findall(t) for t, _, _ in texts]
         heads: list[list[int]] = []
@@ -254,7 +257,7 @@ class Pieces:
         out = []
         for head, own in zip(heads, units):
             parts = map(memo.get, own) if not long else (memo.get(u) or long[u] for u in own)
-            out.append(head + list(chain.from_iterable(parts)))
+            out.append(np.fromiter(chain(head, chain.from_iterable(parts)), np.int32))
         return out
 
     def decode(self, ids) -> str:
@@ -355,9 +358,9 @@ def mark(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def _list_array(parts: list) -> pa.Array:
+def _list_array(parts: list[np.ndarray]) -> pa.Array:
     sizes = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    flat = np.fromiter((i for p in parts for i in p), np.int32, int(sizes[-1]))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
 
 
