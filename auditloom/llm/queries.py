@@ -110,7 +110,7 @@ def op8_ngram_join(spark, sf):
 @query("op1_line_dedup")
 def op1_line_dedup(spark, sf):
     """Every document without lines that occur before, exactly or nearly."""
-    return line_dedup.line_digests(table(spark, sf, "documents").select("doc_id", "text"))
+    return line_dedup.line_digests(table(spark, sf, "documents").select("doc_id", "text"), bits=None)
 
 
 # ---- 10 approximate nearest neighbours ---------------------------------------------
