@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators."""
+"""Registered queries of the operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, lm_score, media, mixing, ngram_join, pieces, quality, substring_dedup
+from . import align, ann, chat, line_dedup, lm_score, manifest, media, mixing, ngram_join, pieces, quality, substring_dedup, url_rules
 from .base import REGISTRY, query, table
 
 __all__ = ["REGISTRY"]
@@ -138,3 +138,106 @@ def op3_lm_score(spark, sf):
 def op4_piece_codes(spark, sf):
     """Every document encoded, and decoded again from its ids."""
     return pieces.code_digests(pieces.encode_documents(table(spark, sf, "documents")))
+
+
+# ---- 11 URL filters ----------------------------------------------------------------
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _att(tag: str, name: str) -> str:
+    value = f"""regexp_extract({tag}, '(?is)[\\s"''/]{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)"""
+    return f"""trim(replace(trim({value}, '"'''), '&amp;', '&'))"""
+
+
+def _parts(source: str, column: str, more: str) -> str:
+    """host, path and key of a url column, as a query."""
+    at = f"strpos({column}, '://')"
+    rest = f"CASE WHEN {at} > 0 THEN substr({column}, {at} + 3) ELSE '' END"
+    host = f"translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
+    key = f"""CASE WHEN {at} > 0 THEN translate(substr({column}, 1, {at} + 2), '{_UPPER}', '{_LOWER}') || {host}
+      || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END END"""
+    return f"""SELECT {more}, {host} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, {key} AS key
+      FROM (SELECT *, coalesce({rest}, '') AS rest, regexp_extract(coalesce({rest}, ''), '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM {source})"""
+
+
+_FITS = "(u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)"
+# Targets with dot segments stand for themselves here; the given pages have none.
+OP11_SQL = f"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(map(str, url_rules.RULES))}),
+urls AS ({_parts("pages", "url", "page_id, url, html")}),
+tags AS (SELECT url, key, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:link|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM urls WHERE key IS NOT NULL),
+targets AS (SELECT url, key AS u, CASE
+  WHEN lower(tag) LIKE '<link%' AND regexp_matches(lower({_att("tag", "rel")}), '(^|\\s)canonical(\\s|$)') THEN {_att("tag", "href")}
+  WHEN lower(tag) LIKE '<meta%' AND lower({_att("tag", "http-equiv")}) = 'refresh' THEN trim(regexp_extract({_att("tag", "content")}, '(?is)[;,]\\s*(?:url\\s*=)?\\s*["'']?([^"'']*)', 1)) END AS t FROM tags),
+full_ AS (SELECT u, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
+  WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^:]*://[^/?#]*') || t WHEN starts_with(t, '?') THEN regexp_extract(url, '^[^?#]*') || t
+  WHEN t <> '' AND NOT starts_with(t, '#') THEN regexp_extract(url, '^[^:]*://[^/?#]*') || coalesce(nullif(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*/)', 1), ''), '/') || t END AS target FROM targets),
+links AS (SELECT u, key AS v FROM ({_parts("full_", "target", "u")}) WHERE key <> u),
+nodes AS (SELECT u AS url FROM links UNION SELECT v FROM links),
+blocked(k) AS (
+  SELECT url FROM (SELECT u.url, r.v, row_number() OVER (PARTITION BY u.url ORDER BY length(r.h) + length(r.p) DESC) AS i FROM ({_parts("nodes", "url", "url")}) u JOIN rules r ON {_FITS}) WHERE i = 1 AND v = 'block'
+  UNION SELECT l.b FROM blocked JOIN (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links) l ON l.a = blocked.k),
+judged AS (SELECT u.url, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY u.url ORDER BY length(r.h) + length(r.p) DESC) AS i FROM (SELECT DISTINCT url, host, path FROM urls) u JOIN rules r ON {_FITS})
+SELECT page_id, host, path, rule, coalesce(j.v, CASE WHEN b.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN (FROM judged WHERE i = 1) j ON urls.url = j.url LEFT JOIN (SELECT DISTINCT k FROM blocked) b ON b.k = urls.key
+"""
+
+
+@query("op11_url_verdicts", OP11_SQL)
+def op11_url_verdicts(spark, sf):
+    """Every page's rule and verdict."""
+    judged = url_rules.judge(table(spark, sf, "pages"), url_rules.rules_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# ---- 12 cross-tokenizer alignment --------------------------------------------------
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf):
+    """How the tokens of two tokenizers meet in every text."""
+    return align.align(table(spark, sf, "documents"), written=False).withColumnRenamed("groups", "groups_sha256")
+
+
+# ---- 13 Merkle dataset manifest ----------------------------------------------------
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_NEXT = "sha256(array_to_string(list_concat(hs[1:pos % 3], [h], hs[pos % 3 + 2:]), '')), proof || array_to_string(list_concat(hs[1:pos % 3], hs[pos % 3 + 2:]), '')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, first: str) -> str:
+    """All levels of the trees whose lowest is ``first``."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, pos, h, n FROM {first}
+  UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 3, n)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+docs AS (SELECT doc_id, source, {_leaf("text")} AS h, {_leaf("replace(text, chr(10), '')")} AS bare,
+  xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS hit
+  FROM documents, crc),
+leaves AS (SELECT *, coalesce('1' || source, '0') AS g, row_number() OVER () AS id,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM docs),
+{_tree("up", "leaves")},
+subs AS (SELECT '' AS g, g AS sub, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+{_tree("over_", "subs")},
+runs AS (SELECT g, lvl, pos // 3 AS p, list(h ORDER BY pos) AS hs FROM (FROM up UNION ALL FROM over_) WHERE n > 1 GROUP BY g, lvl, pos // 3),
+walk AS (SELECT id, g, 0 AS lvl, pos, CASE WHEN hit THEN bare ELSE h END AS h, '' AS proof FROM leaves
+  UNION ALL SELECT id, w.g, w.lvl + 1, pos // 3, {_NEXT} FROM walk w JOIN runs r ON r.g = w.g AND r.lvl = w.lvl AND r.p = w.pos // 3),
+crossed AS (SELECT id, '' AS g, 0 AS lvl, s.pos, w.h, proof FROM (SELECT id, g, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM walk GROUP BY id, g) w JOIN subs s ON s.sub = w.g
+  UNION ALL SELECT id, w.g, w.lvl + 1, pos // 3, {_NEXT} FROM crossed w JOIN runs r ON r.g = w.g AND r.lvl = w.lvl AND r.p = w.pos // 3),
+ends AS (SELECT id, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM crossed GROUP BY id)
+SELECT doc_id, l.h AS leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM leaves l JOIN ends e USING (id) JOIN subs s ON s.sub = l.g, (SELECT h AS root FROM over_ WHERE n = 1)
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark, sf):
+    """Every document's leaf and proof, and what the proof says after tampering."""
+    return manifest.document_manifest(table(spark, sf, "documents"))

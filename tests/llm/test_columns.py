@@ -160,14 +160,14 @@ def test_vector_search_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if q.sql))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, rel = REGISTRY[name].run(spark, SF), con.sql(REGISTRY[name].sql)
     assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
 
 
 def test_registry_has_all_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
