@@ -26,6 +26,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,8 +35,8 @@ from ..session import cut_lineage
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: A text of more characters is encoded in pieces of at least this many.
 PIECE = 1 << 15
-#: Bytes of a fragment, fragments composed by one task at a time, bytes of text in a block.
-RANGE, FAN, BLOCK = 1 << 13, 16, 4 << 20
+#: Bytes of a fragment, fragments composed by one task at a time, bytes of text in a block, and encoded at once.
+RANGE, FAN, BLOCK, AT_ONCE = 1 << 13, 16, 4 << 20, 1 << 19
 #: Ids fit 16 bits on either side: a pair is a * 2 ** 16 + b.
 SIDE = 16
 # The public byte-level pre-tokenizer's pattern; its file names it only by kind ("ByteLevel", use_regex).
@@ -309,13 +310,17 @@ def _short(paths: tuple[str, str], written: bool, block: int):
     def run(batches):
         a, b, out = byte_level(paths[0]), piece_level(paths[1]), _Blocks(schema, 0, written)
         for batch in batches:
-            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = size = 0
-            for i, r in enumerate(raw):
-                size += len(r or b"")
-                if size >= block or i == len(raw) - 1:
-                    yield out.batch(ids[at : i + 1], align_texts([_text(x) for x in raw[at : i + 1]], a, b))
-                    at, size = i + 1, 0
+            first = start = size = taken = 0
+            found: list = []
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                size, taken = size + n, taken + n
+                last = i == batch.num_rows - 1
+                if taken >= AT_ONCE or last:
+                    found += align_texts([_text(x) for x in batch.column(1).slice(start, i + 1 - start).to_pylist()], a, b)
+                    start, taken = i + 1, 0
+                    if size >= block or last:
+                        yield out.batch(batch.column(0).slice(first, i + 1 - first).to_pylist(), found)
+                        first, size, found = i + 1, 0, []
     return run
 
 
@@ -388,7 +393,8 @@ def _long(texts: DataFrame, paths, written: bool, piece: int, size: int, fan: in
         fragments = fragments.groupBy("row", key.alias("k")).applyInArrow(_compose_rows, fragments.schema)
         if last:
             break
-    return fragments.join(texts.select("row", "id"), "row").drop("row").mapInArrow(_finish(written), _ROW)
+    # Written first: a task would else hold two Python workers, one for either step.
+    return cut_lineage(fragments, "align").join(texts.select("row", "id"), "row").drop("row").mapInArrow(_finish(written), _ROW)
 
 
 def aligned_blocks(
