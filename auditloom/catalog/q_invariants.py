@@ -224,7 +224,7 @@ def call_edges(spark, sf):
 
 
 @query("g2_transitive_mutations", with_ctes(_CALL, body="").replace("WITH ", "WITH RECURSIVE ") + """
-, ce AS (SELECT g || ':' || src AS src, g || ':' || dst AS dst FROM cedge), r(root, node) AS (SELECT DISTINCT src, src FROM ce WHERE src LIKE '%:3' UNION SELECT r.root, e.dst FROM r JOIN ce e ON e.src = r.node)
+, ce AS (SELECT g || ':' || src AS src, g || ':' || dst AS dst FROM cedge), r(root, node) AS (SELECT DISTINCT src, src FROM ce UNION SELECT DISTINCT dst, dst FROM ce UNION SELECT r.root, e.dst FROM r JOIN ce e ON e.src = r.node)
 SELECT DISTINCT root AS "function", 'var' || (length(node) % 3) || right(node, 1) AS variable FROM r WHERE right(node, 1) IN ('1', '5')""")
 def g2(spark, sf):
     name = lambda c: F.concat(F.col("g").cast("string"), F.lit(":"), F.col(c).cast("string"))
@@ -232,16 +232,16 @@ def g2(spark, sf):
     nodes = e.select(F.col("src").alias("function")).unionByName(e.select(F.col("dst").alias("function"))).distinct()
     muts = nodes.filter(F.substring("function", -1, 1).isin("1", "5")).select(
         "function", F.concat(F.lit("var"), (F.length("function") % 3).cast("string"), F.substring("function", -1, 1)).alias("variable"))
-    return G.transitive_mutations(e, muts, nodes.filter(F.col("function").endswith(":3")))
+    return G.transitive_mutations(e, muts, nodes)
 
 
 @query("g3_transitive_dependents", with_ctes(_CALL, body="").replace("WITH ", "WITH RECURSIVE ") + """
-, ce AS (SELECT g || ':' || src AS src, g || ':' || dst AS dst FROM cedge), r(root, node) AS (SELECT DISTINCT src, src FROM ce WHERE src LIKE '%:2' UNION SELECT r.root, e.dst FROM r JOIN ce e ON e.src = r.node)
+, ce AS (SELECT g || ':' || src AS src, g || ':' || dst AS dst FROM cedge), r(root, node) AS (SELECT DISTINCT src, src FROM ce UNION SELECT r.root, e.dst FROM r JOIN ce e ON e.src = r.node)
 SELECT DISTINCT root AS variable, node AS dependent FROM r WHERE root <> node""")
 def g3(spark, sf):
     name = lambda c: F.concat(F.col("g").cast("string"), F.lit(":"), F.col(c).cast("string"))
     e = call_edges(spark, sf).select(name("src").alias("src"), name("dst").alias("dst"))
-    return G.transitive_dependents(e, e.filter(F.col("src").endswith(":2")).select(F.col("src").alias("variable")))
+    return G.transitive_dependents(e, e.select(F.col("src").alias("variable")))
 
 
 # Dominators by definition: unreachable from the entry once the candidate is taken out.
@@ -252,19 +252,19 @@ doms AS (SELECT n.g, n.node, d.node AS dom FROM live n JOIN live d ON d.g = n.g
 """
 
 
-def _dominators(spark, sf):
+def _flow_graphs(spark, sf):
     e = call_edges(spark, sf).withColumnRenamed("g", "graph")
-    return e, G.dominators(e, e.select("graph", F.lit(1).cast("long").alias("entry")).distinct())
+    return e, e.select("graph", F.lit(1).cast("long").alias("entry")).distinct()
 
 
 @query("g4_dominators", _DOM + "SELECT g AS graph, node, dom FROM doms")
 def g4(spark, sf):
-    return _dominators(spark, sf)[1]
+    return G.dominators(*_flow_graphs(spark, sf))
 
 
 @query("g5_loops", _DOM + "SELECT DISTINCT e.g AS graph, e.src, e.dst FROM cedge e JOIN doms d ON d.g = e.g AND d.node = e.src AND d.dom = e.dst")
 def g5(spark, sf):
-    return G.loops(*_dominators(spark, sf))
+    return G.loops(*_flow_graphs(spark, sf))
 
 
 # Assignments and uses: line items of an order as statements of a function.

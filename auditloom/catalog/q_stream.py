@@ -9,6 +9,7 @@ from ..functions import registry as REG
 from ..operators import corpus as C, rules as R
 from ..session import scratch_path
 from ..streaming import streams as ST
+from ..streaming.stateful import keyed_store, throttle_stream
 from . import base as B
 from .base import q, query, ql, with_ctes
 from .q_invariants import DAY, SNAP, snapshots
@@ -28,13 +29,18 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _slice():
+    """Slices of eight days; what is earlier or has no time is in the first, what is later in the last."""
+    return F.coalesce(F.least(F.greatest(F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")) / 8), F.lit(0)), F.lit(3)), F.lit(0))
+
+
+
 def _source(spark: SparkSession, sf: str) -> str:
     """The table split by day into files, so a stream sees several batches in order."""
     path = scratch_path(spark, "events")
     e = B.table(spark, sf, "events")
-    days = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")) / 8)
     for d in range(4):
-        e.filter(days == d if d < 3 else days >= 3).write.mode("append").parquet(path)
+        e.filter(_slice() == d).write.mode("append").parquet(path)
     return path
 
 
@@ -63,10 +69,16 @@ def st2(spark, sf):
     return ST.run_to_table(s, "st2").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "invariant", "violations")
 
 
-@query("st3_throttle_alerts", """SELECT DISTINCT event_type, user_id FROM events""")
+@query("st3_throttle_alerts", """
+WITH RECURSIVE s(event_type, k, ts) AS (SELECT event_type, user_id % 20, min(ts) FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT s.event_type, s.k, (SELECT min(e.ts) FROM events e WHERE e.event_type = s.event_type AND e.user_id % 20 = s.k AND e.ts >= s.ts + INTERVAL 172800 SECOND) FROM s WHERE s.ts IS NOT NULL)
+SELECT event_type, k, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts FROM s WHERE ts IS NOT NULL""")
 def st3(spark, sf):
-    s = ST.throttle_alerts(events(spark, sf), ["event_type", "user_id"], 40 * 86400, spread=["event_id"])
-    return ST.run_to_table(s, "st3").select("event_type", "user_id")
+    slices = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(_source_single(spark, sf))
+    alerts = slices.select("event_type", (F.col("user_id") % 20).alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    with keyed_store(spark):
+        sent = ST.run_to_table(throttle_stream(alerts, ["event_type", "k"], 172800), "st3")
+    return sent.select("event_type", "k", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
 
 
 @query("st3_throttle_from_last_sent", """
@@ -147,29 +159,27 @@ def st7b(spark, sf):
 
 
 @query("st8_stream_expire_leases", with_ctes(SCANS, body="""
-, b AS (SELECT *, least(floor(date_diff('day', DATE '2024-01-01', CAST(created_at AS DATE)) / 8), 3) AS batch FROM scans), m AS (SELECT batch, max(created_at) AS now FROM b GROUP BY 1)
-SELECT scan_id, next_status FROM (SELECT scan_id, CASE WHEN status = 'processing' AND claimed_at < now - INTERVAL 10 MINUTE THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS next_status FROM b JOIN m USING (batch)) WHERE next_status <> 'processing'"""))
+SELECT scan_id, CASE WHEN status = 'processing' AND claimed_at + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)
+  THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS next_status FROM scans WHERE claimed_at IS NOT NULL"""))
 def st8(spark, sf):
-    # Each eight-day slice is one batch, judged at its own newest event.
+    # No scan has a second event: what ends a lease is the stream's time alone.
     k, t = F.col("event_id"), F.col("event_type")
-    out = scratch_path(spark, "st8")
     src = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(_source_single(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
     s = src.select(
         k.alias("scan_id"), F.when(t == "view", "complete").when(t == "error", "failed").when(t == "click", "processing").otherwise("queued").alias("status"),
         (k % 5).alias("attempts"), F.col("ts").alias("claimed_at"), F.col("ts").alias("seen_at"))
-    ST.stream_expire_leases(s, out)
-    return spark.read.parquet(out).filter("next_status <> 'processing'").select("scan_id", "next_status")
+    changes = ST.stream_expire_leases(s, scratch_path(spark, "st8"))
+    return changes.groupBy("scan_id").agg(F.max_by("next_status", "at").alias("next_status"))
 
 
 def _source_single(spark: SparkSession, sf: str) -> str:
     """The same slices, one file each and in time order."""
     path = scratch_path(spark, "slices")
     e = B.table(spark, sf, "events")
-    days = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")) / 8)
     import time
 
     for d in range(4):
-        e.filter(days == d if d < 3 else days >= 3).coalesce(1).write.mode("append").parquet(path)
+        e.filter(_slice() == d).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)  # file sources order by modification time, to the second
     return path
 
@@ -195,9 +205,8 @@ def st10(spark, sf):
 
     path = scratch_path(spark, "shuffled")
     e = B.table(spark, sf, "events")
-    days = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")) / 8)
     for d in (0, 2, 1, 3):  # the second slice arrives after the third
-        e.filter(days == d if d < 3 else days >= 3).coalesce(1).write.mode("append").parquet(path)
+        e.filter(_slice() == d).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
     s = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch_path(spark, "st10")

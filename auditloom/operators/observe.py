@@ -247,21 +247,7 @@ def in_scope(hosts: DataFrame, scope: DataFrame) -> DataFrame:
     by_name = distinct.filter(F.col("kind") == "domain").select("host", F.explode("suffixes").alias("lo")).join(
         scope.filter(F.col("kind") == "domain").select("lo"), "lo", "left_semi"
     ).select("host")
-    # A range inside one cell of leading digits joins on the cell, any other on
-    # the shorter prefix its two ends share.
-    cells = {"v4": 5, "v6": 8}
-    parts = [by_name]
-    for kind, width in cells.items():
-        addresses = distinct.filter(F.col("kind") == kind).select("host", "addr")
-        ranges = scope.filter(F.col("kind") == kind).select("lo", "hi")
-        narrow = F.substring("lo", 1, width) == F.substring("hi", 1, width)
-        keyed = ranges.filter(narrow).withColumn("cell", F.substring("lo", 1, width))
-        parts.append(
-            addresses.withColumn("cell", F.substring("addr", 1, width)).join(
-                keyed, "cell"
-            ).filter(F.col("addr").between(F.col("lo"), F.col("hi"))).select("host")
-        )
-        parts.append(_in_wide_range(addresses, ranges.filter(~narrow)))
+    parts = [by_name, *(_in_ranges(distinct, scope, kind) for kind in ("v4", "v6"))]
     allowed = parts[0]
     for p in parts[1:]:
         allowed = allowed.unionByName(p)
@@ -276,23 +262,34 @@ def in_scope(hosts: DataFrame, scope: DataFrame) -> DataFrame:
     return hosts.join(verdict, "host")
 
 
-def _in_wide_range(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Addresses inside ranges that cross cells.
+def _bits(kind: str, address: str) -> Column:
+    """An address's 32 or 128 bits as text, from its ten decimal or 32 hexadecimal digits."""
+    if kind == "v4":
+        return F.lpad(F.conv(F.col(address), 10, 2), 32, "0")
+    halves = [F.lpad(F.conv(F.substring(address, at, 16), 16, 2), 64, "0") for at in (1, 17)]
+    return F.concat(*halves)
 
-    Every address of a range starts with the digits its two ends share, so an
-    address expands to its own few short prefixes and joins by equality.
-    """
-    common = _common_prefix(F.col("lo"), F.col("hi"))
-    keyed = ranges.withColumn("prefix", common)
-    spread = addresses.withColumn(
-        "prefix",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.substr("addr", F.lit(1), n))),
-    )
-    return spread.join(keyed, "prefix").filter(F.col("addr").between(F.col("lo"), F.col("hi"))).select("host")
 
+def _in_ranges(hosts: DataFrame, scope: DataFrame, kind: str) -> DataFrame:
+    """The hosts (host) of one kind whose address lies in a range of ``scope`` (kind, lo, hi).
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    same = F.filter(
-        F.sequence(F.lit(1), F.lit(8)), lambda n: F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n)
-    )
-    return F.substr(a, F.lit(1), F.coalesce(F.array_max(same), F.lit(0)))
+    A range from an address and a prefix length is one aligned block, the bits that its two ends share. An address
+    lies in it if it begins with these bits: it asks once for each block length that occurs, by equality, so no key
+    gathers more than the addresses of its own block. Lengths are at most 129 small numbers.
+    """
+    ranges = scope.filter(F.col("kind") == kind).select(_bits(kind, "lo").alias("a"), _bits(kind, "hi").alias("b"))
+    width = 32 if kind == "v4" else 128
+    shared = F.array_max(F.filter(
+        F.sequence(F.lit(0), F.lit(width)), lambda n: F.substr(F.col("a"), F.lit(1), n) == F.substr(F.col("b"), F.lit(1), n)
+    ))
+    blocks = ranges.select(F.substr(F.col("a"), F.lit(1), shared).alias("block")).distinct()
+    lengths = sorted(r[0] for r in blocks.select(F.char_length("block")).distinct().collect())
+    if not lengths:
+        return hosts.select("host").filter(F.lit(False))
+    bits = hosts.filter(F.col("kind") == kind).select("host", _bits(kind, "addr").alias("bits"))
+    asked = bits.select("host", F.explode(F.array(*[F.substring("bits", 1, n) for n in lengths])).alias("block"))
+    # A block that holds all addresses is no key: it is one for everybody.
+    whole = F.col("block") == ""
+    if lengths[0] == 0:
+        return asked.filter(whole).select("host")
+    return asked.join(blocks, "block", "left_semi").select("host")

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import invariants as INV
-from ..operators import ops
 from ..session import cut_counted, cut_lineage, scratch_path
 from ..sources.writers import drop_folders, upsert_findings
+from .stateful import keyed_store, lease_changes
 
 SINK_TYPES = INV.SINKS
 
@@ -114,23 +114,29 @@ def throttle_alerts(alerts: DataFrame, identity: Sequence[str], seconds: int = 3
 def throttle_from_last_sent(alerts: DataFrame, identity: Sequence[str], seconds: int, ts: str = "ts") -> DataFrame:
     """Exact throttle over a finished table: send, then stay quiet for ``seconds``.
 
-    Sending times follow each other, so this walks rounds: the first unsent
-    alert of every identity is sent and its quiet period removed, until none is
-    left. A round handles all identities at once; there are as many rounds as
-    the busiest identity has sending times.
+    Each alert's successor is the first one of its identity that may be sent after it. Successors form a forest, and
+    what is sent is the path from an identity's first alert. The path is marked by doubling: the marked alerts'
+    successors 1, 2, 4, ... further on are marked too, so there are as many rounds as the logarithm of the busiest
+    identity's sendings. Successors come from time chunks, so a busy identity is never sorted whole. Rows without a
+    time are not sent; null identities are identities.
     """
-    keys = list(identity)
-    left, n = cut_counted(alerts.select(*keys, ts).distinct(), "alerts")
-    sent = None
-    while n:
-        now = cut_lineage(left.groupBy(*keys).agg(F.min(ts).alias(ts)), "sent")
-        sent = now if sent is None else sent.unionByName(now)
-        left, n = cut_counted(
-            left.join(now.withColumnRenamed(ts, "_sent"), keys)
-            .filter(F.col(ts) >= F.col("_sent") + F.expr(f"interval {seconds} seconds")).drop("_sent"),
-            "alerts",
-        )
-    return sent if sent is not None else alerts.select(*keys, ts).limit(0)
+    from ..operators.keyed import carry_forward, join_keys
+
+    keys, at = list(identity), [*identity, ts]
+    times = cut_lineage(alerts.select(*at).filter(F.col(ts).isNotNull()).distinct(), "alerts")
+    # Walking backwards in time, the last alert passed is the next one in time; an alert at the very end of a period counts.
+    back = -F.unix_micros(ts)
+    points = times.select(*keys, back.alias("_back"), F.lit(0).alias("_asks"), F.col(ts).alias("_at"))
+    asks = times.select(*keys, (back - seconds * 1_000_000).alias("_back"), F.lit(1).alias("_asks"), F.col(ts).alias("_at"))
+    walked = carry_forward(points.unionByName(asks), keys, ["_back", "_asks"], F.floor(F.col("_back") / 3_600_000_000), F.when(F.col("_asks") == 0, F.col("_at")), "_next")
+    onward = cut_lineage(walked.filter("_asks = 1 and _next is not null").select(*keys, F.col("_at").alias(ts), "_next"), "onward")
+    sent, far = cut_lineage(times.groupBy(*keys).agg(F.min(ts).alias(ts)), "sent"), 1
+    while far:
+        reached = join_keys(sent, onward, at).select(*keys, F.col("_next").alias(ts))
+        sent = cut_lineage(sent.unionByName(reached), "sent")
+        over = onward.select(*keys, F.col(ts).alias("_next"), F.col("_next").alias("_over"))
+        onward, far = cut_counted(join_keys(onward, over, [*keys, "_next"]).select(*at, F.col("_over").alias("_next")), "onward")
+    return sent
 
 
 def validate_sinks(sinks: DataFrame) -> DataFrame:
@@ -226,14 +232,13 @@ def stream_authorised_change(
 
 # ---- scan operations -------------------------------------------------------------------
 
-def stream_expire_leases(stream: DataFrame, out: str, lease: str = "10 minutes", max_attempts: int = 3, ts: str = "claimed_at", checkpoint: str | None = None) -> None:
-    """Judge leases against the newest event time of each batch."""
+def stream_expire_leases(stream: DataFrame, out: str, lease_ms: int = 600_000, max_attempts: int = 3, watermark: str = "1 minute", checkpoint: str | None = None) -> DataFrame:
+    """Every change of status, leases that ran out in silence included; see :func:`stateful.lease_changes`.
 
-    def step(batch: DataFrame, no: int) -> None:
-        now = batch.agg(F.max("seen_at")).scalar()
-        ops.expire_leases(batch, now, lease, max_attempts).write.mode("overwrite").parquet(f"{out}/batch={no}")
-
-    run_batches(stream, "leases", step, checkpoint, out)
+    The place is kept beside the output, so a later call goes on with the leases that still run.
+    """
+    with keyed_store(stream.sparkSession):
+        return run_to_table(lease_changes(stream, lease_ms, max_attempts, watermark), "leases", out, checkpoint)
 
 
 def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str | None = None) -> None:
