@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .keyed import carry_forward, neighbours, running_total
+from ..session import cut_lineage
+from .keyed import carry_forward, neighbours, running_max
 
 SINKS = ("stdout", "file", "webhook", "slack", "discord", "pagerduty", "prometheus")
 
@@ -89,31 +90,54 @@ def privileged_unguarded(mutations: DataFrame) -> DataFrame:
     })
 
 
+def call_frames(events: DataFrame, block: int = 100_000) -> DataFrame:
+    """(trace_id, address, b_seq, e_seq, reverted) of every call that ends, from ``events(trace_id, seq, kind, address, reverted)``.
+
+    Brackets are matched in two steps. Inside a block of ``block`` sequence numbers, begins and ends of one level
+    alternate, so a begin closes with the next row of its level. What a block leaves open are ends of earlier begins and begins of
+    later ends; the levels of these are set off by the blocks before (one number a block), and then they
+    alternate too: at most one end and one begin a block and level. Ends without a begin and begins without an end are no frames.
+    """
+    step = F.when(F.col("kind") == "begin", 1).otherwise(-1)
+    rows = events.filter(F.col("kind").isin("begin", "end")).select("trace_id", "seq", "kind", "address", "reverted", F.floor(F.col("seq") / block).alias("block"))
+    inside = Window.partitionBy("trace_id", "block")
+    after = F.sum(step).over(inside.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("level", after + (F.col("kind") == "end").cast("int"))
+    alone = Window.partitionBy("trace_id", "block", "level").orderBy("seq")
+    rows = cut_lineage(_closed(rows, alone), "brackets")
+    left = rows.filter("open")
+    offsets = left.groupBy("trace_id", "block").agg(F.sum(step).alias("net"))
+    earlier = Window.partitionBy("trace_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select("trace_id", "block", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("offset"))
+    left = left.drop("e_seq", "ended", "open").join(offsets, ["trace_id", "block"]).withColumn("level", F.col("level") + F.col("offset"))
+    across = _closed(left, Window.partitionBy("trace_id", "level").orderBy("seq"))
+    frames = [r.filter("e_seq is not null").select("trace_id", "address", F.col("seq").alias("b_seq"), "e_seq", F.col("ended").alias("reverted")) for r in (rows, across)]
+    return frames[0].unionByName(frames[1])
+
+
+def _closed(rows: DataFrame, level: Window) -> DataFrame:
+    """Begins with the end that follows on their level, and which rows stay open."""
+    follows = F.lead(F.struct("kind", "seq", "reverted")).over(level)
+    before = F.lag("kind").over(level)
+    begin = F.col("kind") == "begin"
+    rows = rows.withColumn("_next", follows).withColumn("_before", before)
+    ends = begin & (F.col("_next.kind") == "end")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("_next", "_before")],
+        F.when(ends, F.col("_next.seq")).alias("e_seq"), F.when(ends, F.col("_next.reverted")).alias("ended"),
+        F.when(begin, ~F.coalesce(ends, F.lit(False))).otherwise(F.coalesce(F.col("_before") == "end", F.lit(True))).alias("open"),
+    ).filter(begin | F.col("open"))
+
+
 def reentrant_traces(events: DataFrame, block: int = 100_000) -> DataFrame:
     """Traces where a frame re-enters an open address, succeeds, and the address is written later.
 
-    Frames pair up by call depth: within one depth, begins and ends alternate,
-    so the k-th begin closes with the k-th end. Depth is a running sum that is
-    cut into sequence blocks, which keeps a single huge trace parallel. An
-    address is open when an earlier frame of it is still unfinished, that is
-    when its running count of open frames is above zero.
+    Frames nest, so an address is open at a begin if a frame of it that began before ends after: a running
+    maximum of ends, by blocks. The events are read twice, for frames and for writes.
     """
-    step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "end", -1).otherwise(0)
-    chunk = F.floor(F.col("seq") / block)
-    walked = running_total(events, ["trace_id"], ["seq"], chunk, step, "depth_after")
-    begins = walked.filter(F.col("kind") == "begin").select(
-        "trace_id", F.col("seq").alias("b_seq"), "address", F.col("depth_after").alias("depth")
-    )
-    ends = walked.filter(F.col("kind") == "end").select(
-        "trace_id", F.col("seq").alias("e_seq"), "reverted", (F.col("depth_after") + 1).alias("depth")
-    )
-    frames = _number(begins, "b_seq", block).join(_number(ends, "e_seq", block), ["trace_id", "depth", "k"])
-    # Open count per address: +1 at begin, -1 at end, over the frames' own times.
-    marks = frames.select("trace_id", "address", F.col("b_seq").alias("t"), F.lit(1).alias("d"), "b_seq", "e_seq", "reverted").unionByName(
-        frames.select("trace_id", "address", F.col("e_seq").alias("t"), F.lit(-1).alias("d"), "b_seq", "e_seq", "reverted")
-    )
-    open_now = running_total(marks, ["trace_id", "address"], ["t"], F.floor(F.col("t") / block), F.col("d"), "open_after")
-    reentries = open_now.filter((F.col("d") == 1) & (F.col("open_after") >= 2) & ~F.col("reverted")).groupBy("trace_id", "address").agg(
+    frames = cut_lineage(call_frames(events, block), "frames")
+    seen = running_max(frames, ["trace_id", "address"], ["b_seq"], F.floor(F.col("b_seq") / block), F.col("e_seq"), "open_until")
+    reentries = seen.filter((F.col("open_until") > F.col("b_seq")) & ~F.col("reverted")).groupBy("trace_id", "address").agg(
         F.min("e_seq").alias("first_end")
     )
     writes = events.filter(F.col("kind") == "write").groupBy("trace_id", "address").agg(F.max("seq").alias("last_write"))
@@ -122,11 +146,6 @@ def reentrant_traces(events: DataFrame, block: int = 100_000) -> DataFrame:
     )
 
 
-def _number(df: DataFrame, seq: str, block: int) -> DataFrame:
-    """Ordinal of each row within (trace, depth), without sorting a whole trace together."""
-    return running_total(df, ["trace_id", "depth"], [seq], F.floor(F.col(seq) / block), F.lit(1), "k")
-
-
 def followed_by_within(events: DataFrame, keys: Sequence[str], seq: str, a: Column, b: Column, n: int) -> DataFrame:
     """Rows A with a row B among the next n rows of the same gap-free sequence."""
     marked = events.withColumn("_a", a).withColumn("_b", b)

@@ -86,6 +86,19 @@ def running_total(
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, name: str
+) -> DataFrame:
+    """Greatest value of the same key before each row, chunked like carry_forward; NULL for a key's first row."""
+    work = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    tops = work.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_top"))
+    per_key = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*keys, "_chunk", F.max("_top").over(per_key).alias("_before"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_keys(work, before, [*keys, "_chunk"])
+    return joined.withColumn(name, F.greatest(F.max("_value").over(inside), F.col("_before"))).drop("_chunk", "_value", "_before")
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], seq: str, before: int, after: int, block: int = 4096
 ) -> tuple[DataFrame, Column, Window]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import findings as FD, sca
 from ..session import cut_lineage
-from ..sources.lockfiles import npm_entries, read_lockfiles
+from ..sources.lockfiles import file_name, npm_entries, read_lockfiles
 
 
 def _as_findings(df: DataFrame, rule: str | Column, severity: str | Column, file: str, message: Column, line=1) -> DataFrame:
@@ -20,6 +20,10 @@ def _as_findings(df: DataFrame, rule: str | Column, severity: str | Column, file
 
 
 def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    # The corpus is read once: what dependency checks look at is a small part of it.
+    name = file_name(F.col("path"))
+    looked_at = name.isin(*sca.MANIFESTS, *{l for locks in sca.MANIFESTS.values() for l in locks}, "npm-shrinkwrap.json", ".npmrc", "pip.conf", "pip.ini")
+    files = cut_lineage(files.filter(looked_at | name.rlike(r"^requirements.*\.txt$") | name.isin("Cargo.lock", "poetry.lock", "Pipfile.lock", "go.sum")), "manifests")
     # Lockfiles are parsed once; advisories and look-alike names both read the packages.
     packages = cut_lineage(read_lockfiles(files), "packages")
     vulnerable = sca.vulnerable_packages(packages, advisories)

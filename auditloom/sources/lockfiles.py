@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -36,88 +35,105 @@ def npm_entries(files: DataFrame) -> DataFrame:
     ).select("repo", "path", "key", npm_package_name(F.col("key")).alias("name"), "e.*")
 
 
+_PACKAGE = "array<struct<name:string,version:string>>"
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())])))
 def _v1_tree(sources: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Flatten the nested ``dependencies`` of npm v1 lockfiles."""
+    """Flatten the nested ``dependencies`` of npm v1 lockfiles; null for null and for what is no tree."""
     import json
 
-    def flatten(tree) -> list[dict]:
-        out, todo = [], [tree]
+    def flatten(source: str | None) -> list[dict] | None:
+        if source is None:
+            return None
+        try:
+            tree = json.loads(source)
+        except (ValueError, RecursionError):
+            return None
+        out, todo = [], [tree.get("dependencies") if isinstance(tree, dict) else None]
         while todo:
-            for name, entry in (todo.pop() or {}).items():
+            branch = todo.pop()
+            for name, entry in branch.items() if isinstance(branch, dict) else ():
                 if isinstance(entry, dict):
                     if isinstance(entry.get("version"), str):
                         out.append({"name": name, "version": entry["version"]})
-                    if isinstance(entry.get("dependencies"), dict):
-                        todo.append(entry["dependencies"])
+                    todo.append(entry.get("dependencies"))
         return out
 
     for batch in sources:
-        yield batch.map(lambda s: flatten(json.loads(s).get("dependencies")))
+        yield batch.map(flatten, na_action=None)
 
 
-def _pairs(files: DataFrame, source: Column, ecosystem: str, pattern: str, name=1, version=2) -> DataFrame:
-    names = F.regexp_extract_all(source, F.lit(pattern), F.lit(name))
-    versions = F.regexp_extract_all(source, F.lit(pattern), F.lit(version))
-    return files.select(
-        "repo", "path", F.lit(ecosystem).alias("ecosystem"),
-        F.inline(F.arrays_zip(names.alias("name"), versions.alias("version"))),
-    )
+def _pairs(source: Column, pattern: str) -> Column:
+    """(name, version) of every match of a pattern with these two groups."""
+    names, versions = (F.regexp_extract_all(source, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    return F.arrays_zip(names.alias("name"), versions.alias("version"))
 
 
-def read_lockfiles(files: DataFrame) -> DataFrame:
-    """packages(repo, ecosystem, name, version, source_file) from every known format."""
-    scoped = files.filter(~F.col("path").rlike(SKIPPED)).withColumn("_name", file_name(F.col("path")))
-    named = lambda *n: scoped.filter(F.col("_name").isin(*n))
-    src = F.col("source")
-    block = r'\[\[package\]\]\nname = "([^"]+)"\nversion = "([^"]+)"'
+def _package(name: Column, version: Column) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"))
 
-    cargo = _pairs(named("Cargo.lock"), src, "crates.io", block)
-    poetry = _pairs(named("poetry.lock"), src, "PyPI", block)
 
-    npm = npm_entries(scoped).filter(F.col("version").isNotNull()).select(
-        "repo", "path", F.lit("npm").alias("ecosystem"), "name", "version"
-    )
-    v1 = named("package-lock.json", "npm-shrinkwrap.json").filter(
-        F.get_json_object("source", "$.packages").isNull() & F.get_json_object("source", "$.dependencies").isNotNull()
-    ).select("repo", "path", F.lit("npm").alias("ecosystem"), F.inline(_v1_tree("source")))
+def parse_lockfiles(files: DataFrame) -> DataFrame:
+    """One row per lockfile: repo, path, ecosystem, packages (name, version as written) and reason.
 
-    yarn_blocks = named("yarn.lock").select("repo", "path", F.explode(F.split("source", r"\n\s*\n")).alias("b"))
-    header, pinned = r'(?m)^"?(@?[^@"\n#]+)@[^\n]*:$', r'\n\s+version[\s:]+"?([^"\n]+)"?'
-    yarn = yarn_blocks.filter(F.col("b").rlike(header) & F.col("b").rlike(pinned)).select(
-        "repo", "path", F.lit("npm").alias("ecosystem"),
-        F.trim(F.regexp_extract("b", header, 1)).alias("name"),
-        F.trim(F.regexp_extract("b", pinned, 1)).alias("version"),
-    )
+    One pass: every file picks its parser by its name, and only that one runs. Only the nested trees of npm's first format go
+    through Python; other rows hand it null. ``reason`` says why a file could not be read: `not JSON`, or `no
+    lockfile` for JSON of another shape. Such files have no packages and stop nothing.
+    """
+    scoped = files.filter(~F.col("path").rlike(SKIPPED)).select("repo", "path", "source", file_name(F.col("path")).alias("_name"))
+    src, name = F.col("source"), F.col("_name")
+    npm = name.isin("package-lock.json", "npm-shrinkwrap.json")
+    is_json = npm | (name == "Pipfile.lock")
+    known = is_json | name.isin("Cargo.lock", "poetry.lock", "yarn.lock", "go.sum") | name.rlike(r"^requirements.*\.txt$")
+    valid = F.try_parse_json(F.when(is_json, src))
+    old = npm & F.try_variant_get(valid, "$.packages", "variant").isNull() & F.try_variant_get(valid, "$.dependencies", "variant").isNotNull()
+    rows = scoped.filter(known).withColumn("_json", valid.isNotNull()).withColumn("_old", F.coalesce(old, F.lit(False)))
+    rows = rows.withColumn("_tree", _v1_tree(F.when(F.col("_old"), src)))
+    rows = rows.withColumn("_npm", F.from_json(F.when(npm & F.col("_json"), src), NPM_LOCK)["packages"]).withColumn("_pip", F.from_json(F.when((name == "Pipfile.lock") & F.col("_json"), src), PIPFILE_LOCK))
 
-    pip_doc = named("Pipfile.lock").withColumn("doc", F.from_json("source", PIPFILE_LOCK))
-    pipfile = reduce(
-        DataFrame.unionByName,
-        [
-            pip_doc.select("repo", "path", F.explode(f"doc.{s}").alias("name", "e"))
-            .filter(F.col("e.version").isNotNull())
-            .select("repo", "path", F.lit("PyPI").alias("ecosystem"), "name",
-                    F.regexp_replace("e.version", "^(==)+", "").alias("version"))
-            for s in ("default", "develop")
-        ],
+    entries = F.filter(F.map_entries("_npm"), lambda e: (e["key"] != "") & e["value"]["version"].isNotNull())
+    npm_rows = F.transform(entries, lambda e: _package(npm_package_name(e["key"]), e["value"]["version"]))
+    block = r'\[\[package\]\]\nname = "([^"]+)"\nversion = "([^"]+)"'
+    header, pinned = r'(?m)^"?(@?[^@"\n#]+)@[^\n]*:$', r'\n\s+version[\s:]+"?([^"\n]+)"?'
+    yarn = F.transform(
+        F.filter(F.split(src, r"\n\s*\n"), lambda b: b.rlike(header) & b.rlike(pinned)),
+        lambda b: _package(F.trim(F.regexp_extract(b, header, 1)), F.trim(F.regexp_extract(b, pinned, 1))),
     )
-
-    # The "/go.mod" line repeats the module line and is not matched.
-    gosum = _pairs(named("go.sum"), src, "Go", r"(?m)^(\S+)\s+v([^\s/]+)\s+h1:")
-
+    none = F.array().cast(_PACKAGE)
+    pip = F.concat(*[
+        F.coalesce(F.transform(
+            F.filter(F.map_entries(F.col("_pip")[s]), lambda e: e["value"]["version"].isNotNull()),
+            lambda e: _package(e["key"], F.regexp_replace(e["value"]["version"], "^(==)+", "")),
+        ), none) for s in ("default", "develop")
+    ])
     req = r"^\s*([A-Za-z0-9_.\-\[\]]+)\s*==\s*([A-Za-z0-9_.+!\-]+)"
-    lines = scoped.filter(F.col("_name").rlike(r"^requirements.*\.txt$")).select(
-        "repo", "path", F.explode(F.split("source", r"\r?\n")).alias("l")
-    ).withColumn("l", F.trim(F.substring_index("l", "#", 1)))
-    requirements = lines.filter(F.col("l").rlike(req)).select(
-        "repo", "path", F.lit("PyPI").alias("ecosystem"),
-        F.substring_index(F.regexp_extract("l", req, 1), "[", 1).alias("name"),
-        F.regexp_extract("l", req, 2).alias("version"),
+    required = F.transform(
+        F.filter(F.transform(F.split(src, r"\r?\n"), lambda x: F.trim(F.substring_index(x, "#", 1))), lambda x: x.rlike(req)),
+        lambda x: _package(F.substring_index(F.regexp_extract(x, req, 1), "[", 1), F.regexp_extract(x, req, 2)),
+    )
+    packages = (
+        F.when(npm, F.when(F.col("_old"), F.col("_tree")).otherwise(npm_rows)).when(name.isin("Cargo.lock", "poetry.lock"), _pairs(src, block))
+        .when(name == "yarn.lock", yarn).when(name == "Pipfile.lock", pip)
+        # The "/go.mod" line repeats the module line and is not matched.
+        .when(name == "go.sum", _pairs(src, r"(?m)^(\S+)\s+v([^\s/]+)\s+h1:")).otherwise(required)
     )
+    ecosystem = F.when(npm | (name == "yarn.lock"), "npm").when(name == "Cargo.lock", "crates.io").when(name == "go.sum", "Go").otherwise("PyPI")
+    shaped = F.when(npm, F.coalesce(F.col("_npm").isNotNull() | (F.col("_tree").isNotNull()), F.lit(False))).otherwise(F.col("_pip").isNotNull())
+    reason = F.when(is_json & ~F.col("_json"), "not JSON").when(is_json & ~shaped, "no lockfile")
+    return rows.select("repo", "path", ecosystem.alias("ecosystem"), F.coalesce(packages, none).alias("packages"), reason.alias("reason"))
 
-    rows = reduce(DataFrame.unionByName, [cargo, poetry, npm, v1, yarn, pipfile, gosum, requirements])
+
+def read_lockfiles(files: DataFrame) -> DataFrame:
+    """packages(repo, ecosystem, name, version, source_file) from every known format; the files are read once."""
+    rows = parse_lockfiles(files).select("repo", "path", "ecosystem", F.inline("packages"))
     return rows.select(
         "repo", "ecosystem",
         V.normalize_package_name(F.col("ecosystem"), F.col("name")).alias("name"),
         F.trim("version").alias("version"), F.col("path").alias("source_file"),
     )
+
+
+def rejected_lockfiles(files: DataFrame) -> DataFrame:
+    """(repo, path, reason) of the lockfiles that could not be read."""
+    return parse_lockfiles(files).filter("reason is not null").select("repo", "path", "reason")
