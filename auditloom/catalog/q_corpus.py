@@ -10,6 +10,18 @@ from . import base as B
 from .base import q, query, with_ctes
 
 
+@query("s1_read_corpus", with_ctes(B.FILES, body="SELECT coalesce(repo, '_') AS repo, path, md5(coalesce(source, '')) AS content FROM files WHERE NOT path LIKE 'de/%'"))
+def s1(spark, sf):
+    """Every file written to a folder tree and read back; one language lies below a folder that holds no source."""
+    from ..session import scratch_path
+    from ..sources import readers as RD, tree
+
+    root = scratch_path(spark, "tree")
+    files = B.files(spark, sf)
+    tree.write_tree(files.withColumn("path", F.when(F.col("path").startswith("de/"), F.concat(F.lit("lib/node_modules/"), "path")).otherwise(F.col("path"))), root)
+    return RD.read_corpus(spark, root).select("repo", "path", F.md5("source").alias("content"))
+
+
 @query("s2_explode_lines", with_ctes(B.FILES, B.LINES, body="SELECT repo, path, line, text FROM lines"))
 def s2(spark, sf):
     return C.explode_lines(B.files(spark, sf))

@@ -255,6 +255,17 @@ def a30(spark, sf):
     return r.select("invariant_id", "files", "repos", (close("approx_files", "files") & close("approx_repos", "repos")).alias("sketch_close"))
 
 
+@query("a30_sketches_by_day", fsql("SELECT invariant_id, count(DISTINCT file) AS files, count(DISTINCT repo) AS repos, true AS close FROM findings WHERE ts IS NOT NULL GROUP BY 1"))
+def a30b(spark, sf):
+    from ..session import cut_lineage
+
+    f = B.findings(spark, sf).filter("ts is not null")
+    merged = FD.sketched_cardinality(cut_lineage(FD.rule_sketches(f, F.col("ts").cast("date")), "sketches"))
+    exact = f.groupBy("invariant_id").agg(F.countDistinct("file").alias("files"), F.countDistinct("repo").alias("repos"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(b) * 0.03, F.lit(1))
+    return exact.join(merged, "invariant_id").select("invariant_id", "files", "repos", (close("approx_files", "files") & close("approx_repos", "repos")).alias("close"))
+
+
 # ---- runs and the ledger ---------------------------------------------------------
 
 _KR = "CASE kind WHEN 'FINDING' THEN 1 ELSE 0 END"
@@ -434,3 +445,49 @@ def s10(spark, sf):
     path = scratch_path(spark, "ndjson")
     WR.write_ndjson(B.findings(spark, sf).drop("ts"), path)
     return spark.read.schema(schemas.FINDING).json(path).select("ord", "invariant_id", "line")
+
+
+# ---- readers: given tables written out and read back -----------------------------------------
+
+
+@query("s3_read_findings_json", fsql("""
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ord) - 1 AS ord, invariant_id, severity, file, line, evidence FROM findings"""))
+def s3(spark, sf):
+    from ..session import scratch_path
+    from ..sources import readers as RD, tree
+
+    path = scratch_path(spark, "reports")
+    f = B.findings(spark, sf)
+    fields = F.struct("ord", *[c for c in f.columns if c not in ("repo", "ord", "ts")])
+    reports = f.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x.dropFields("ord")).alias("findings"))
+    documents = reports.select("repo", F.lit("report.json").alias("path"), F.to_json(F.struct("repo", F.lit(True).alias("ran"), "findings")).alias("source"))
+    tree.write_tree(documents, path)
+    return RD.read_findings_json(spark, path + "/*/report.json").select("repo", "ord", "invariant_id", "severity", "file", "line", "evidence")
+
+
+@query("s8_read_exploits", """SELECT 'e' || p_partkey AS id, p_name AS name, CASE p_size % 2 WHEN 0 THEN 'evm' ELSE 'solana' END AS chain, CAST(DATE '2024-01-01' + CAST(p_size AS INT) AS VARCHAR) AS date, CAST(round(p_retailprice * 100) AS BIGINT) AS loss_usd, p_brand || ',' || p_type AS ids FROM part""")
+def s8(spark, sf):
+    from ..session import scratch_path
+    from ..sources import readers as RD
+
+    path = scratch_path(spark, "exploits")
+    p = B.table(spark, sf, "part")
+    p.select(
+        F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "evm").otherwise("solana").alias("chain"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).alias("date"), F.round(F.col("p_retailprice") * 100).cast("long").alias("loss_usd"), F.array("p_brand", "p_type").alias("invariant_ids"),
+    ).write.json(path)
+    rows = RD.read_exploits(spark, path, multi_line=False)
+    return rows.select("id", "name", "chain", F.col("date").cast("string").alias("date"), "loss_usd", F.array_join("invariant_ids", ",").alias("ids"))
+
+
+@query("s9_read_observations", """SELECT 'h' || s_suppkey AS host, CAST(s_nationkey * 100 AS INT) AS port, s_acctbal > 0 AS open, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 1000 AS INT) END AS target_port FROM supplier""")
+def s9(spark, sf):
+    from ..session import scratch_path
+    from ..sources import readers as RD
+
+    path, k = scratch_path(spark, "ports"), F.col("s_suppkey")
+    B.table(spark, sf, "supplier").select(
+        F.concat(F.lit("h"), k.cast("string")).alias("host"), (F.col("s_nationkey") * 100).cast("int").alias("port"), (F.col("s_acctbal") > 0).alias("open"),
+        F.when(k % 3 > 0, (k % 1000).cast("int")).alias("target_port"),
+    ).write.json(path)
+    return RD.read_observations(spark, path, "port")

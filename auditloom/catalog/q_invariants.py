@@ -57,6 +57,21 @@ def i1(spark, sf):
     return INV.check_invariants(s, ["event_id"], _exprs(), ["value", "owner", "caller"]).drop("state")
 
 
+@query("i2_bind_invariants", with_ctes(SNAP, body="SELECT entity, event_id, CASE WHEN value IS NULL THEN 'undecidable' WHEN value >= 100 THEN 'holds' ELSE 'violated' END AS outcome FROM snap"))
+def i2(spark, sf):
+    """Bound by name before anything runs: a set that names an unknown variable is refused."""
+    df = snapshots(spark, sf)
+    try:
+        INV.bind_invariants(df, {"lost": ("value", "no_such_column")})
+    except ValueError as refused:
+        if "no_such_column" not in str(refused):
+            raise
+    else:
+        raise AssertionError("an unknown variable was bound")
+    INV.bind_invariants(df, {"floor": ("value",)})
+    return INV.check_invariants(df, ["entity", "event_id"], {"floor": F.col("value") >= 100}, ["value"]).select("entity", "event_id", "outcome")
+
+
 @query("i3_monotonic", with_ctes(SNAP, body="""
 , p AS (SELECT *, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 20000) AS prev FROM snap)
 SELECT entity, event_id, value, prev FROM p WHERE value < prev"""))

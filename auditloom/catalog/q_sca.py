@@ -252,6 +252,19 @@ def s13b(spark, sf):
     return d.select("repo", "n_components", (F.get_json_object("document", "$.specVersion") == "1.5").alias("valid"))
 
 
+@query("s13_sbom_files", with_ctes(PKGS, body="SELECT repo, count(DISTINCT ecosystem || name || version) AS n_components FROM pkgs GROUP BY repo"))
+def s13c(spark, sf):
+    from ..session import scratch_path
+    from ..sources import tree
+
+    path = scratch_path(spark, "sbom")
+    tree.write_sbom_documents(sca.sbom_components(packages(spark, sf)), path)
+    docs = spark.read.option("multiLine", True).schema("specVersion string, components array<struct<purl:string>>").json(path)
+    name = F.regexp_replace(F.substring_index(F.input_file_name(), "/", -1), r"\.cdx\.json$", "")
+    # The name escapes the repository, and the path read back escapes the name.
+    return docs.filter("specVersion = '1.5'").select(F.url_decode(F.url_decode(name)).alias("repo"), F.size("components").cast("long").alias("n_components"))
+
+
 # ---- manifests, lockfiles and requirement files built from orders -------------------------------
 
 MANIFEST = """mf AS (SELECT 'r' || (o_custkey % 60) AS repo, 'd' || o_orderkey || '/' || CASE o_orderkey % 8 WHEN 0 THEN 'package.json' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'package.json'

@@ -217,6 +217,23 @@ def rule_counts(findings: DataFrame, exclude_info: bool = True) -> DataFrame:
     return scoped.groupBy("repo", "invariant_id").agg(F.count("*").alias("n"))
 
 
+def rule_sketches(findings: DataFrame, day: Column, bits: int = 14) -> DataFrame:
+    """(invariant_id, day, files, repos): mergeable sketches of the distinct files and repositories of a rule and day.
+
+    Stored once a day, they answer for any span of days without its findings. ``bits`` sets the size (2 ** bits small
+    registers at most) and the error: about 0.8 / sqrt(2 ** bits).
+    """
+    return findings.groupBy("invariant_id", day.alias("day")).agg(
+        F.hll_sketch_agg("file", bits).alias("files"), F.hll_sketch_agg("repo", bits).alias("repos")
+    )
+
+
+def sketched_cardinality(sketches: DataFrame) -> DataFrame:
+    """Distinct files and repositories per rule over all days of ``sketches``; a merge of sketches, nothing is counted again."""
+    estimate = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"approx_{c}")
+    return sketches.groupBy("invariant_id").agg(estimate("files"), estimate("repos"))
+
+
 def approx_rule_cardinality(findings: DataFrame) -> DataFrame:
     """Distinct files and repositories per rule, exact and by sketch.
 

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import versions as V
-
-# Folders that are never source.
-SKIPPED_FOLDERS = (
-    "node_modules", "target", ".git", "build", "dist", "out", "vendor", ".venv", "venv", "__pycache__", ".next",
-)
-
+from .tree import SKIPPED_FOLDERS, open_tree, read_tree
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """files(repo, path, source) below ``root/<repo>/...``; non-UTF-8 files are dropped.
 
-    Pass narrower roots or globs to keep skipped folders from being listed.
+    Folders that never hold source are neither listed nor read. A file system that only the JVM knows
+    is listed by Spark; there, narrower roots or globs keep such folders from being listed.
     """
+    try:
+        open_tree(root)
+    except (ValueError, OSError, NotImplementedError):
+        return _read_listed(spark, root)
+    return read_tree(spark, root)
+
+
+def _read_listed(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     where = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -146,8 +150,9 @@ def read_commits(spark: SparkSession, path: str, src_dir: str = "") -> tuple[Dat
     return commits, files
 
 
-def read_exploits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.EXPLOITS).option("multiLine", True).json(path)
+def read_exploits(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Known exploits: one JSON document a file, or, with ``multi_line`` off, one a line, which splits over tasks."""
+    return spark.read.schema(schemas.EXPLOITS).option("multiLine", multi_line).json(path)
 
 
 def read_observations(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import cut_lineage
 from ..functions import scoring as S
 from ..operators.keyed import first_by
 
@@ -89,15 +90,19 @@ def drop_folders(spark: SparkSession, target: str, names: Sequence[str]) -> None
 def upsert_findings(scan_rows: DataFrame, target: str, scans: Sequence | None = None) -> None:
     """Replace the findings of the scans in ``scan_rows``; other scans stay.
 
-    Unique on (scan, fingerprint), the lowest row of each. Dynamic partition overwrite swaps whole scan
-    partitions at commit. ``scans`` names the scans that ran: one without rows found
-    nothing, and its old partition is deleted.
+    Unique on (scan, fingerprint), the lowest row of each. The rows are computed once, into the shared folder; dynamic
+    partition overwrite then swaps whole scan partitions at commit. ``scans`` names the scans that ran: one without rows found
+    nothing, and its old partition is deleted, after the new rows stand. Ids may hold any characters.
     """
+    spark = scan_rows.sparkSession
+    rows = cut_lineage(first_by(scan_rows, ["scan_id", "fingerprint"], []), "upsert")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(target)
     if scans is not None:
-        ran = {r["scan_id"] for r in scan_rows.select("scan_id").distinct().collect()}  # at most one row per scan that ran
-        drop_folders(scan_rows.sparkSession, target, [f"scan_id={s}" for s in scans if s not in ran])
-    (
-        first_by(scan_rows, ["scan_id", "fingerprint"], [])
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scan_id").parquet(target)
-    )
+        text = lambda s: None if s is None else str(s)
+        ran = {text(r["scan_id"]) for r in rows.select("scan_id").distinct().collect()}  # at most one row per scan that ran
+        drop_folders(spark, target, [partition_folder(spark, "scan_id", text(s)) for s in scans if text(s) not in ran])
+
+
+def partition_folder(spark: SparkSession, column: str, value: str | None) -> str:
+    """The folder that Spark gives a partition value: special characters are escaped, null has a name of its own."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
