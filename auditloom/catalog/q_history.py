@@ -9,15 +9,21 @@ from . import base as B
 from .base import q, query, ql, with_ctes
 
 WORDS = ("fix overflow in price feed", "feat: add permit", "docs: typo", "urgent hotfix", "harden validation of owner", "refactor storage", "audit remarks", "bump seed", "misc change", "patch broken upgrade")
-COMMITS = f"""commits AS (SELECT 'k' || o_orderkey AS sha, CAST(o_orderdate AS DATE) AS date, 'a' || (o_custkey % 200) AS author, {ql(WORDS)}[CAST(o_orderkey % 10 AS INT) + 1] || ' ' || o_orderpriority AS subject, o_orderstatus = 'P' AS is_merge FROM orders)"""
-CFILES = """cfiles AS (SELECT 'k' || l_orderkey AS sha, 'p' || (l_partkey % 400) AS path, CAST(l_quantity * 9 AS BIGINT) AS added, CAST(round(l_tax * 1000) AS BIGINT) AS deleted, l_returnflag <> 'R' AS is_source, l_returnflag = 'R' AS is_test FROM lineitem)"""
-AREA = """areas AS (SELECT DISTINCT 'p' || (p_partkey % 400) AS path, CASE p_size % 5 WHEN 0 THEN 'oracle_price' WHEN 1 THEN 'fund_flows' WHEN 2 THEN 'signatures' END AS area FROM part WHERE p_size % 5 < 3)"""
+# Twenty repositories that share the names of their paths.
+COMMITS = f"""commits AS (SELECT 'r' || (o_orderkey % 20) AS repo, 'k' || o_orderkey AS sha, CAST(o_orderdate AS DATE) AS date, 'a' || (o_custkey % 200) AS author, {ql(WORDS)}[CAST(o_orderkey % 10 AS INT) + 1] || ' ' || o_orderpriority AS subject, o_orderstatus = 'P' AS is_merge FROM orders)"""
+CFILES = """cfiles AS (SELECT 'r' || (l_orderkey % 20) AS repo, 'k' || l_orderkey AS sha, 'p' || (l_partkey % 40) AS path, CAST(l_quantity * 9 AS BIGINT) AS added, CAST(round(l_tax * 1000) AS BIGINT) AS deleted, l_returnflag <> 'R' AS is_source, l_returnflag = 'R' AS is_test FROM lineitem)"""
+AREA_NAMES = ("oracle_price", "fund_flows", "signatures", "access_control", "upgrades")
+AREA = f"""areas AS (SELECT DISTINCT 'r' || (p_partkey % 20) AS repo, 'p' || (p_partkey // 20 % 40) AS path, {ql(AREA_NAMES)}[CAST(p_size % 5 AS INT) + 1] AS area FROM part)"""
+
+
+def _repo(key):
+    return F.concat(F.lit("r"), (key % 20).cast("string")).alias("repo")
 
 
 def commits(spark, sf):
     o, k = B.table(spark, sf, "orders"), F.col("o_orderkey")
     return o.select(
-        F.concat(F.lit("k"), k.cast("string")).alias("sha"), F.col("o_orderdate").cast("date").alias("date"),
+        _repo(k), F.concat(F.lit("k"), k.cast("string")).alias("sha"), F.col("o_orderdate").cast("date").alias("date"),
         F.concat(F.lit("a"), (F.col("o_custkey") % 200).cast("string")).alias("author"),
         F.concat(F.get(F.array(*[F.lit(w) for w in WORDS]), (k % 10).cast("int")), F.lit(" "), "o_orderpriority").alias("subject"),
         (F.col("o_orderstatus") == "P").alias("is_merge"))
@@ -26,16 +32,16 @@ def commits(spark, sf):
 def cfiles(spark, sf):
     l = B.table(spark, sf, "lineitem")
     return l.select(
-        F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("sha"), F.concat(F.lit("p"), (F.col("l_partkey") % 400).cast("string")).alias("path"),
+        _repo(F.col("l_orderkey")), F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("sha"), F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("path"),
         (F.col("l_quantity") * 9).cast("long").alias("added"), F.round(F.col("l_tax") * 1000).cast("long").alias("deleted"),
         (F.col("l_returnflag") != "R").alias("is_source"), (F.col("l_returnflag") == "R").alias("is_test"))
 
 
 def areas(spark, sf):
-    s = F.col("p_size") % 5
-    return B.table(spark, sf, "part").filter(s < 3).select(
-        F.concat(F.lit("p"), (F.col("p_partkey") % 400).cast("string")).alias("path"),
-        F.when(s == 0, "oracle_price").when(s == 1, "fund_flows").otherwise("signatures").alias("area")).distinct()
+    k = F.col("p_partkey")
+    return B.table(spark, sf, "part").select(
+        _repo(k), F.concat(F.lit("p"), (F.floor(k / 20) % 40).cast("string")).alias("path"),
+        F.get(F.array(*[F.lit(n) for n in AREA_NAMES]), (F.col("p_size") % 5).cast("int")).alias("area")).distinct()
 
 
 _m = lambda p, c="subject": f"regexp_matches({c}, {q(p)})"
@@ -61,18 +67,14 @@ DIFF = """diffs AS (SELECT l_orderkey, string_agg(CASE WHEN l_returnflag = 'A' T
 SELECT l_orderkey, CAST((CASE WHEN a + r = 0 THEN 0 WHEN a = r THEN 2 ELSE 3 END) + (CASE WHEN own THEN 3 ELSE 0 END) + (CASE WHEN bal THEN 1 ELSE 0 END) AS INT) AS points,
   CASE WHEN a + r = 0 THEN CASE WHEN own THEN 'tightens access control (+1/-0)' WHEN bal THEN 'changes accounting/balance logic' END WHEN a > r THEN 'adds runtime guards (+' || a || '/-' || r || ')' WHEN r > a THEN 'removes runtime guards (+' || a || '/-' || r || ')' ELSE 'rewrites runtime guards (+' || a || '/-' || r || ')' END AS first_reason FROM g"""))
 def f23(spark, sf):
-    l = B.table(spark, sf, "lineitem")
-    piece = F.when(F.col("l_returnflag") == "A", "+ require(x);").when(F.col("l_returnflag") == "N", "- require(y);").otherwise(
-        F.concat(F.lit("+ balance = "), F.col("l_linenumber").cast("string")))
-    d = l.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", piece.alias("p")))), lambda x: x["p"]), "\n").alias("diff"))
-    d = d.withColumn("diff", F.concat("diff", F.when(F.col("l_orderkey") % 4 == 0, "\n+ function f() onlyOwner {").otherwise("")))
+    d = diffs(spark, sf)
     return d.select("l_orderkey", H.diff_points(F.col("diff")).alias("points"), F.get(H.diff_structure(F.col("diff")), F.lit(0))["reason"].alias("first_reason"))
 
 
-SHAPE = "shape AS (SELECT sha, count(*) FILTER (WHERE is_source) AS ns, count(*) FILTER (WHERE is_test) AS nt, CAST(sum(CASE WHEN is_source THEN added ELSE 0 END) AS BIGINT) AS sa, CAST(sum(CASE WHEN is_source THEN deleted ELSE 0 END) AS BIGINT) AS sd FROM cfiles GROUP BY sha)"
-SCORED = f"""dom AS (SELECT sha, count(DISTINCT area) AS nd FROM cfiles JOIN areas USING (path) WHERE is_source GROUP BY sha),
-sc0 AS (SELECT c.*, coalesce(ns, 0) AS ns, coalesce(nt, 0) AS nt, coalesce(sa, 0) AS sa, coalesce(sd, 0) AS sd, coalesce(nd, 0) AS nd FROM commits c LEFT JOIN shape USING (sha) LEFT JOIN dom USING (sha) WHERE NOT is_merge),
-scored AS (SELECT sha, date, ns, nt, sa + sd AS churn, nd, CAST(greatest({INTENT} + CASE WHEN ns > 0 THEN (CASE WHEN nd >= 2 THEN 3 WHEN nd = 1 THEN 1 ELSE 0 END) + (CASE WHEN ns BETWEEN 1 AND 3 THEN 2 ELSE 0 END)
+SHAPE = "shape AS (SELECT repo, sha, count(*) FILTER (WHERE is_source) AS ns, count(*) FILTER (WHERE is_test) AS nt, CAST(sum(CASE WHEN is_source THEN added ELSE 0 END) AS BIGINT) AS sa, CAST(sum(CASE WHEN is_source THEN deleted ELSE 0 END) AS BIGINT) AS sd FROM cfiles GROUP BY repo, sha)"
+SCORED = f"""dom AS (SELECT repo, sha, count(DISTINCT area) AS nd FROM cfiles JOIN areas USING (repo, path) WHERE is_source GROUP BY repo, sha),
+sc0 AS (SELECT c.*, coalesce(ns, 0) AS ns, coalesce(nt, 0) AS nt, coalesce(sa, 0) AS sa, coalesce(sd, 0) AS sd, coalesce(nd, 0) AS nd FROM commits c LEFT JOIN shape USING (repo, sha) LEFT JOIN dom USING (repo, sha) WHERE NOT is_merge),
+scored AS (SELECT repo, sha, date, ns, nt, sa + sd AS churn, nd, CAST(greatest({INTENT} + CASE WHEN ns > 0 THEN (CASE WHEN nd >= 2 THEN 3 WHEN nd = 1 THEN 1 ELSE 0 END) + (CASE WHEN ns BETWEEN 1 AND 3 THEN 2 ELSE 0 END)
   + (CASE WHEN sd > sa THEN 1 ELSE 0 END) - (CASE WHEN sa + sd > 2000 THEN 4 WHEN sa + sd > 500 THEN 2 ELSE 0 END) + (CASE WHEN nt > 0 THEN 1 ELSE 0 END) ELSE 0 END, 0) AS BIGINT) AS score FROM sc0)"""
 BASE_CTES = (COMMITS, CFILES, AREA, SHAPE, SCORED)
 
@@ -81,80 +83,105 @@ def scored(spark, sf):
     return H.score_commits(commits(spark, sf), cfiles(spark, sf), areas(spark, sf))
 
 
-@query("f24_commit_score", with_ctes(*BASE_CTES, body="SELECT sha, score, churn AS source_churn, nd AS n_domains FROM scored"))
+# Diffs of commits, scored like the ones above.
+_PTS = r"""g AS (SELECT *, len(regexp_extract_all(diff, '(?m)^\+[^+].*\brequire\b')) AS a, len(regexp_extract_all(diff, '(?m)^-[^-].*\brequire\b')) AS r, l_orderkey % 4 = 0 AS own, contains(diff, 'balance') AS bal FROM diffs),
+pts AS (SELECT 'k' || l_orderkey AS sha, CASE WHEN a + r = 0 THEN 0 WHEN a = r THEN 2 ELSE 3 END + CASE WHEN own THEN 3 ELSE 0 END + CASE WHEN bal THEN 1 ELSE 0 END AS pts FROM g)"""
+WITH_DIFF = (COMMITS, CFILES, AREA, SHAPE, DIFF, _PTS, SCORED.replace("CASE WHEN ns > 0 THEN (CASE WHEN nd", "CASE WHEN ns > 0 THEN coalesce(pts, 0) + (CASE WHEN nd").replace("LEFT JOIN dom USING (repo, sha)", "LEFT JOIN dom USING (repo, sha) LEFT JOIN pts USING (sha)").replace("AS nd FROM commits c", "AS nd, pts FROM commits c"))
+
+
+def diffs(spark, sf):
+    l = B.table(spark, sf, "lineitem")
+    piece = F.when(F.col("l_returnflag") == "A", "+ require(x);").when(F.col("l_returnflag") == "N", "- require(y);").otherwise(
+        F.concat(F.lit("+ balance = "), F.col("l_linenumber").cast("string")))
+    d = l.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", piece.alias("p")))), lambda x: x["p"]), "\n").alias("diff"))
+    return d.withColumn("diff", F.concat("diff", F.when(F.col("l_orderkey") % 4 == 0, "\n+ function f() onlyOwner {").otherwise("")))
+
+
+@query("f24_commit_score", with_ctes(*WITH_DIFF, body="SELECT repo, sha, score, churn AS source_churn, nd AS n_domains FROM scored"))
 def f24(spark, sf):
-    return scored(spark, sf).select("sha", "score", "source_churn", "n_domains")
+    told = diffs(spark, sf).select(F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("sha"), "diff")
+    rows = H.score_commits(commits(spark, sf).join(told, "sha", "left"), cfiles(spark, sf), areas(spark, sf), "diff")
+    return rows.select("repo", "sha", "score", "source_churn", "n_domains")
 
 
-@query("w9_fix_candidates", with_ctes(*BASE_CTES, body="SELECT sha, date::VARCHAR AS date, score FROM scored WHERE score > 0 ORDER BY score DESC, scored.date DESC, sha DESC LIMIT 50"))
+@query("w9_fix_candidates", with_ctes(*BASE_CTES, body="""SELECT repo, sha, date::VARCHAR AS date, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, scored.date DESC, sha DESC) <= 50"""))
 def w9(spark, sf):
-    return H.fix_candidates(scored(spark, sf), 50).select("sha", F.col("date").cast("string").alias("date"), "score")
+    return H.fix_candidates(scored(spark, sf), 50).select("repo", "sha", F.col("date").cast("string").alias("date"), "score")
 
 
-FIXST = "fx AS (SELECT path, count(*) AS fix_commits, CAST(sum(score) AS BIGINT) AS fix_score FROM cfiles JOIN scored USING (sha) WHERE is_source AND score >= 5 GROUP BY path)"
+FIXST = "fx AS (SELECT repo, path, count(*) AS fix_commits, CAST(sum(score) AS BIGINT) AS fix_score FROM cfiles JOIN scored USING (repo, sha) WHERE is_source AND score >= 5 GROUP BY repo, path)"
 
 
-@query("a18_fix_prone_files", with_ctes(*BASE_CTES, FIXST, body="SELECT path, fix_commits, fix_score FROM fx ORDER BY fix_score DESC, fix_commits DESC, path LIMIT 60"))
+@query("a18_fix_prone_files", with_ctes(*BASE_CTES, FIXST, body="""SELECT repo, path, fix_commits, fix_score FROM fx
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY fix_score DESC, fix_commits DESC, path) <= 20"""))
 def a18(spark, sf):
-    return H.fix_prone_files(scored(spark, sf), cfiles(spark, sf), 60)
+    return H.fix_prone_files(scored(spark, sf), cfiles(spark, sf), 20)
 
 
 @query("a17_churn_hotspots", with_ctes(*BASE_CTES, FIXST, body="""
-, t AS (SELECT path, count(*) AS changes, max(date) AS last_touched FROM cfiles JOIN commits USING (sha) WHERE is_source AND NOT is_merge GROUP BY path)
-SELECT path, changes, coalesce(fix_commits, 0) AS fix_commits, round(coalesce(fix_commits, 0) / changes, 6) AS fix_ratio, last_touched::VARCHAR AS last_touched
-FROM t LEFT JOIN fx USING (path) WHERE path IN (SELECT 'p' || (p_partkey % 400) FROM part WHERE p_size % 2 = 0) ORDER BY changes DESC, path LIMIT 50"""))
+, t AS (SELECT repo, path, count(*) AS changes, max(date) AS last_touched FROM cfiles JOIN commits USING (repo, sha) WHERE is_source AND NOT is_merge GROUP BY repo, path)
+SELECT repo, path, changes, coalesce(fix_commits, 0) AS fix_commits, round(coalesce(fix_commits, 0) / changes, 6) AS fix_ratio, last_touched::VARCHAR AS last_touched
+FROM t LEFT JOIN fx USING (repo, path) WHERE (repo, path) IN (SELECT ('r' || (p_partkey % 20), 'p' || (p_partkey // 20 % 40)) FROM part WHERE p_size % 2 = 0)
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY changes DESC, path) <= 10"""))
 def a17(spark, sf):
-    live = B.table(spark, sf, "part").filter(F.col("p_size") % 2 == 0).select(F.concat(F.lit("p"), (F.col("p_partkey") % 400).cast("string")).alias("path"))
+    k = F.col("p_partkey")
+    live = B.table(spark, sf, "part").filter(F.col("p_size") % 2 == 0).select(_repo(k), F.concat(F.lit("p"), (F.floor(k / 20) % 40).cast("string")).alias("path"))
     c, f = commits(spark, sf), cfiles(spark, sf)
-    h = H.churn_hotspots(c, f, live, H.fix_stats(scored(spark, sf), f), 50)
-    return h.withColumns({"fix_ratio": F.round("fix_ratio", 6), "last_touched": F.col("last_touched").cast("string")}).drop("fix_score")
+    h = H.churn_hotspots(c, f, live, H.fix_stats(scored(spark, sf), f), 10)
+    return h.withColumns({"fix_ratio": F.round("fix_ratio", 6), "last_touched": F.col("last_touched").cast("string")})
 
 
 @query("a16_repo_shape", with_ctes(COMMITS, CFILES, SHAPE, body="""
-, s AS (SELECT shape.* FROM shape SEMI JOIN commits USING (sha) WHERE ns > 0),
-t AS (SELECT count(*) AS n, sum(sa) AS added, max(row(sa, sha)) AS big FROM s), o AS (SELECT count(*) AS commits, min(date) AS f, max(date) AS l, count(*) FILTER (WHERE is_merge) AS merges FROM commits),
-a AS (SELECT count(*) AS contributors, max(n) AS top FROM (SELECT author, count(*) AS n FROM commits GROUP BY author))
-SELECT CASE WHEN commits = 0 THEN 'empty' WHEN n <= 1 THEN 'squashed_import' WHEN n <= 3 AND l - f < 7 THEN 'squashed_import' ELSE 'normal_dev' END AS classification,
-  commits, n AS source_commits, CAST(l - f AS BIGINT) AS spread_days, contributors, round(top / commits, 3) AS top_author_share, merges, CASE WHEN big[1] / added > 0.85 THEN big[2] END AS bulk_import FROM t, o, a"""))
+, s AS (SELECT shape.* FROM shape SEMI JOIN commits USING (repo, sha) WHERE ns > 0),
+t AS (SELECT repo, count(*) AS n, sum(sa) AS added, max(row(sa, sha)) AS big FROM s GROUP BY repo),
+o AS (SELECT repo, count(*) AS commits, min(date) AS f, max(date) AS l, count(*) FILTER (WHERE is_merge) AS merges, count(DISTINCT author) AS contributors FROM commits GROUP BY repo),
+a AS (SELECT repo, max(n) AS top FROM (SELECT repo, author, count(*) AS n FROM commits GROUP BY ALL) GROUP BY repo)
+SELECT repo, CASE WHEN commits = 0 THEN 'empty' WHEN coalesce(n, 0) <= 1 THEN 'squashed_import' WHEN n <= 3 AND l - f < 7 THEN 'squashed_import' ELSE 'normal_dev' END AS classification,
+  commits, coalesce(n, 0) AS source_commits, CAST(l - f AS BIGINT) AS spread_days, contributors, round(top / commits, 3) AS top_author_share, merges, CASE WHEN big[1] / added > 0.85 THEN big[2] END AS bulk_import
+FROM o JOIN a USING (repo) LEFT JOIN t USING (repo)"""))
 def a16(spark, sf):
     return H.repo_shape(commits(spark, sf), cfiles(spark, sf))
 
 
-@query("a19_dangerous_areas", with_ctes(COMMITS, CFILES, AREA, body="SELECT area, count(DISTINCT sha) AS commits, count(DISTINCT path) AS files FROM cfiles JOIN areas USING (path) JOIN commits USING (sha) WHERE NOT is_merge GROUP BY area"))
+@query("a19_dangerous_areas", with_ctes(COMMITS, CFILES, AREA, body="SELECT repo, area, count(DISTINCT sha) AS commits, count(DISTINCT path) AS files FROM cfiles JOIN areas USING (repo, path) JOIN commits USING (repo, sha) WHERE NOT is_merge GROUP BY repo, area"))
 def a19(spark, sf):
     return H.dangerous_areas(commits(spark, sf), cfiles(spark, sf), areas(spark, sf))
 
 
 @query("a19_area_commits", with_ctes(COMMITS, CFILES, AREA, body="""
-SELECT sha, area, date::VARCHAR AS date, rank FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY date DESC, sha DESC) AS rank
-  FROM (SELECT DISTINCT sha, area, date FROM cfiles JOIN areas USING (path) JOIN commits USING (sha) WHERE NOT is_merge)) WHERE rank <= 15"""))
+SELECT repo, sha, area, date::VARCHAR AS date, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo, area ORDER BY date DESC, sha DESC) AS rank
+  FROM (SELECT DISTINCT repo, sha, area, date FROM cfiles JOIN areas USING (repo, path) JOIN commits USING (repo, sha) WHERE NOT is_merge)) WHERE rank <= 15"""))
 def a19b(spark, sf):
     return H.area_commits(commits(spark, sf), cfiles(spark, sf), areas(spark, sf)).withColumn("date", F.col("date").cast("string"))
 
 
-@query("j19_commit_domains", with_ctes(CFILES, AREA, body="SELECT DISTINCT sha, area FROM cfiles JOIN areas USING (path)"))
+@query("j19_commit_domains", with_ctes(CFILES, AREA, body="SELECT DISTINCT repo, sha, area FROM cfiles JOIN areas USING (repo, path)"))
 def j19(spark, sf):
     return H.commit_domains(cfiles(spark, sf), areas(spark, sf))
 
 
 @query("a20_late_changes", with_ctes(COMMITS, CFILES, SHAPE, body="""
-SELECT sha, author, sa + sd AS source_churn, nt > 0 AS test_changed FROM commits JOIN shape USING (sha) WHERE ns > 0 AND date >= (SELECT max(date) FROM commits) - 120"""))
+SELECT repo, sha, author, sa + sd AS source_churn, nt > 0 AS test_changed FROM commits JOIN shape USING (repo, sha) JOIN (SELECT repo, max(date) AS newest FROM commits GROUP BY repo) USING (repo) WHERE ns > 0 AND date >= newest - 120"""))
 def a20(spark, sf):
-    return H.late_changes(commits(spark, sf), cfiles(spark, sf), 120).select("sha", "author", "source_churn", "test_changed")
+    return H.late_changes(commits(spark, sf), cfiles(spark, sf), 120).select("repo", "sha", "author", "source_churn", "test_changed")
 
 
 @query("a21_dev_patterns", with_ctes(*BASE_CTES, body="""
-, s AS (SELECT shape.*, author FROM shape JOIN commits USING (sha) WHERE ns > 0 AND NOT is_merge),
-p AS (SELECT author, sum(sa) AS lines FROM s GROUP BY author)
-SELECT round(avg(CASE WHEN nt > 0 THEN 1.0 ELSE 0 END), 3) AS test_co_change, (SELECT round(avg(CASE WHEN nt = 0 THEN 1.0 ELSE 0 END), 3) FROM scored WHERE score > 0) AS fix_without_test,
-  round(avg(sa + sd), 1) AS avg_commit_size, round((SELECT max(lines) FROM p) / sum(sa), 3) AS top_share, (SELECT arg_max(author, row(lines, author)) FROM p) AS top_author FROM s"""))
+, s AS (SELECT shape.*, author FROM shape JOIN commits USING (repo, sha) WHERE ns > 0 AND NOT is_merge),
+p AS (SELECT repo, max(lines) AS lines, arg_max(author, row(lines, author)) AS author FROM (SELECT repo, author, sum(sa) AS lines FROM s GROUP BY ALL) GROUP BY repo),
+f AS (SELECT repo, round(avg(CASE WHEN nt = 0 THEN 1.0 ELSE 0 END), 3) AS fix_without_test FROM scored WHERE score > 0 GROUP BY repo),
+b AS (SELECT repo, CASE WHEN max(row(sa, sha))[1] / sum(sa) > 0.85 THEN max(row(sa, sha))[2] END AS bulk FROM (SELECT shape.* FROM shape SEMI JOIN commits USING (repo, sha) WHERE ns > 0) GROUP BY repo)
+SELECT repo, round(avg(CASE WHEN nt > 0 THEN 1.0 ELSE 0 END), 3) AS test_co_change, any_value(fix_without_test) AS fix_without_test,
+  round(avg(sa + sd) FILTER (WHERE coalesce(sha <> bulk, true)), 1) AS avg_commit_size, round(any_value(p.lines) / sum(sa), 3) AS top_share, any_value(p.author) AS top_author FROM s JOIN p USING (repo) LEFT JOIN f USING (repo) LEFT JOIN b USING (repo) GROUP BY repo"""))
 def a21(spark, sf):
-    return H.dev_patterns(commits(spark, sf), cfiles(spark, sf), scored(spark, sf))
+    c, f = commits(spark, sf), cfiles(spark, sf)
+    return H.dev_patterns(c, f, scored(spark, sf), H.repo_shape(c, f).select("repo", "bulk_import"))
 
 
 @query("a21_contributor_shares", with_ctes(COMMITS, CFILES, SHAPE, body="""
-, p AS (SELECT author, CAST(sum(sa) AS BIGINT) AS lines_added FROM shape JOIN commits USING (sha) WHERE ns > 0 AND NOT is_merge GROUP BY author)
-SELECT author, lines_added, round(lines_added / (SELECT sum(lines_added) FROM p), 6) AS share FROM p"""))
+, p AS (SELECT repo, author, CAST(sum(sa) AS BIGINT) AS lines_added FROM shape JOIN commits USING (repo, sha) WHERE ns > 0 AND NOT is_merge GROUP BY repo, author)
+SELECT repo, author, lines_added, round(lines_added / sum(lines_added) OVER (PARTITION BY repo), 6) AS share FROM p"""))
 def a21b(spark, sf):
     return H.contributor_shares(commits(spark, sf), cfiles(spark, sf))
 
@@ -202,18 +229,18 @@ def a22(spark, sf):
     return H.vendor_drift(files, touched, subs)
 
 
-# A log export written from orders and read back.
-@query("s7_read_commits", with_ctes(COMMITS, CFILES, body="""SELECT sha, author, is_merge, CAST(sum(added) AS BIGINT) AS added, count(*) AS files FROM commits JOIN cfiles USING (sha) GROUP BY ALL"""))
+# Log exports of twenty repositories, written from orders and read back.
+@query("s7_read_commits", with_ctes(COMMITS, CFILES, body="""SELECT repo, sha, author, is_merge, CAST(sum(added) AS BIGINT) AS added, count(*) AS files FROM commits JOIN cfiles USING (repo, sha) GROUP BY ALL"""))
 def s7(spark, sf):
     from ..session import scratch_path
     from ..sources.readers import LOG_MARK, read_commits
 
     path = scratch_path(spark, "log")
     c, f = commits(spark, sf), cfiles(spark, sf)
-    stat = f.groupBy("sha").agg(F.array_join(F.collect_list(F.concat_ws("\t", F.col("added").cast("string"), F.col("deleted").cast("string"), F.concat("path", F.lit(".sol")))), "\n").alias("rows"))
+    stat = f.groupBy("repo", "sha").agg(F.array_join(F.collect_list(F.concat_ws("\t", F.col("added").cast("string"), F.col("deleted").cast("string"), F.concat("path", F.lit(".sol")))), "\n").alias("rows"))
     text = F.concat(
         F.lit(LOG_MARK), F.concat_ws("<<SEP>>", "sha", F.substring("sha", 1, 7), F.concat(F.col("date").cast("string"), F.lit("T00:00:00Z")), "author",
                                      F.when(F.col("is_merge"), "p1 p2").otherwise("p1"), "subject"), F.lit("\n\n"), "rows", F.lit("\n"))
-    c.join(stat, "sha").select(text.alias("value")).write.text(path)
+    c.join(stat, ["repo", "sha"]).select("repo", text.alias("value")).write.partitionBy("repo").text(path)
     got, rows = read_commits(spark, path)
-    return got.join(rows, "sha").groupBy("sha", "author", "is_merge").agg(F.sum("added").alias("added"), F.count("*").alias("files"))
+    return got.join(rows, ["repo", "sha"]).groupBy("repo", "sha", "author", "is_merge").agg(F.sum("added").alias("added"), F.count("*").alias("files"))

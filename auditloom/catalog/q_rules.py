@@ -26,7 +26,7 @@ PACKS = {
 }
 for _name, _pack in PACKS.items():
     query(_name, pack_sql(_pack))(
-        lambda spark, sf, pack=_pack: R.scan_files(B.code_files(spark, sf), pack, function_cap=R.FUNCTION_SPAN).select(*COLS)
+        lambda spark, sf, pack=_pack: R.scan_files(B.code_files(spark, sf), pack).select(*COLS)
     )
 
 # Rules over the prose itself, so every whole text is read and hit.
@@ -54,10 +54,10 @@ def r1(spark, sf):
   UNION SELECT repo, path, 1 FROM cl),
 s AS (SELECT *, row_number() OVER w - 1 AS func_no, lead(line) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY repo, path ORDER BY line)),
 n AS (SELECT repo, path, max(line) AS n FROM cl GROUP BY ALL)
-SELECT s.repo, s.path, func_no, line AS func_start, CAST(least(coalesce(nxt, n + 1), line + 80) - line AS BIGINT) AS body_lines
+SELECT s.repo, s.path, func_no, line AS func_start, CAST(coalesce(nxt, n + 1) - line AS BIGINT) AS body_lines
 FROM s JOIN n ON s.repo = n.repo AND s.path = n.path""").replace("\n\n, d AS", ", d AS"))
 def r4(spark, sf):
-    return R.segment_functions(B.code_files(spark, sf), cap=R.FUNCTION_SPAN).select(
+    return R.segment_functions(B.code_files(spark, sf)).select(
         "repo", "path", "func_no", "func_start", F.size("body").cast("long").alias("body_lines")
     )
 

@@ -96,7 +96,7 @@ def pack_sql(rules: Sequence[R.Rule], columns: str = "repo, file, line, invarian
             start = "coalesce((SELECT max(f.line) FROM fl f WHERE f.repo = h.repo AND f.path = h.path AND f.line <= h.line), 1)"
             nxt = "coalesce((SELECT min(f.line) FROM fl f WHERE f.repo = h.repo AND f.path = h.path AND f.line > h.line), 1000000000)"
             hit = f"SELECT *, {start} AS s0, {nxt} AS e0 FROM ({hit}) h"
-            body = span("h.s0", f"greatest(least(h.e0 - 1, h.s0 + {R.FUNCTION_SPAN} - 1), h.line)")
+            body = span("h.s0", "greatest(h.e0 - 1, h.line)")
             if r.func_has:
                 cond.append(_match(body, r.func_has))
             if r.func_lacks:

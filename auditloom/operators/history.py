@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as TX
@@ -124,29 +126,44 @@ def file_areas(files: DataFrame, areas: dict[str, str] = AREAS) -> DataFrame:
     return files.select("repo", "path", F.explode(found).alias("area"))
 
 
+#: A commit and a file are known by their repository and sha or path; histories of several repositories share both.
+COMMIT, FILE = ["repo", "sha"], ["repo", "path"]
+
+
 def commit_domains(commit_files: DataFrame, areas: DataFrame) -> DataFrame:
-    """(commit, area) pairs of a commit's files."""
-    return commit_files.join(areas, "path").select("sha", "area").distinct()
+    """(repo, commit, area) of a commit's files."""
+    return commit_files.join(areas, FILE).select(*COMMIT, "area").distinct()
 
 
 def commit_shape(commit_files: DataFrame) -> DataFrame:
     """Per commit: source files, added and deleted source lines, test files."""
     src = F.col("is_source")
-    return commit_files.groupBy("sha").agg(
+    return commit_files.groupBy(*COMMIT).agg(
         F.count_if(src).alias("n_source"), F.count_if("is_test").alias("n_test"),
         F.sum(F.when(src, F.col("added")).otherwise(0)).alias("src_added"),
         F.sum(F.when(src, F.col("deleted")).otherwise(0)).alias("src_deleted"),
     )
 
 
+def _live(commits: DataFrame, *columns: str) -> DataFrame:
+    """Commits that are no merges."""
+    return commits.filter(~F.col("is_merge")).select(*COMMIT, *columns)
+
+
+def _top(rows: DataFrame, k: int, order: list[Column], keys: Sequence[str] = ("repo",)) -> DataFrame:
+    """The first ``k`` rows of every key. The limit is applied before rows are sent, so a key of any size costs a task k rows."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
 def score_commits(
     commits: DataFrame, commit_files: DataFrame, areas: DataFrame, diff: str | None = None
 ) -> DataFrame:
-    """Intent + structure + domain + shape, never below zero; merges excluded."""
-    domains = commit_domains(commit_files.filter("is_source"), areas).groupBy("sha").agg(
+    """Intent + structure + domain + shape, never below zero; merges excluded. ``diff`` names a column of commits."""
+    domains = commit_domains(commit_files.filter("is_source"), areas).groupBy(*COMMIT).agg(
         F.count("*").alias("n_domains")
     )
-    m = commits.filter(~F.col("is_merge")).join(commit_shape(commit_files), "sha", "left").join(domains, "sha", "left")
+    m = commits.filter(~F.col("is_merge")).join(commit_shape(commit_files), COMMIT, "left").join(domains, COMMIT, "left")
     m = m.na.fill(0, ["n_source", "n_test", "src_added", "src_deleted", "n_domains"])
     churn = F.col("src_added") + F.col("src_deleted")
     shape = (
@@ -167,52 +184,57 @@ def score_commits(
 
 
 def fix_candidates(scored: DataFrame, k: int) -> DataFrame:
-    return scored.filter(F.col("score") > 0).orderBy(F.desc("score"), F.desc("date"), F.desc("sha")).limit(k)
+    """The ``k`` commits of every repository that most look like fixes."""
+    order = [F.desc("score"), F.desc("date"), F.desc("sha")]
+    return _top(scored.filter(F.col("score") > 0), k, order).drop("rank")
 
 
 def fix_stats(scored: DataFrame, commit_files: DataFrame) -> DataFrame:
-    fixes = scored.filter(F.col("score") >= FIX_THRESHOLD).select("sha", "score")
-    return commit_files.filter("is_source").join(fixes, "sha").groupBy("path").agg(
+    fixes = scored.filter(F.col("score") >= FIX_THRESHOLD).select(*COMMIT, "score")
+    return commit_files.filter("is_source").join(fixes, COMMIT).groupBy(*FILE).agg(
         F.count("*").alias("fix_commits"), F.sum("score").alias("fix_score")
     )
 
 
 def churn_hotspots(commits: DataFrame, commit_files: DataFrame, live: DataFrame, fixes: DataFrame, k: int) -> DataFrame:
-    """Most-changed live files with fix share and last touch."""
-    touched = commit_files.filter("is_source").join(
-        commits.filter(~F.col("is_merge")).select("sha", "date"), "sha"
+    """Most-changed live files of every repository with fix share and last touch."""
+    touched = commit_files.filter("is_source").join(_live(commits, "date"), COMMIT)
+    per_file = touched.groupBy(*FILE).agg(F.count("*").alias("changes"), F.max("date").alias("last_touched"))
+    rows = per_file.join(live.select(*FILE).distinct(), FILE, "left_semi").join(fixes, FILE, "left").na.fill(0, ["fix_commits"])
+    return _top(rows, k, [F.desc("changes"), F.col("path")]).select(
+        *FILE, "changes", "fix_commits", (F.col("fix_commits") / F.col("changes")).alias("fix_ratio"), "last_touched"
     )
-    per_file = touched.groupBy("path").agg(F.count("*").alias("changes"), F.max("date").alias("last_touched"))
-    rows = per_file.join(live.select("path").distinct(), "path", "left_semi").join(fixes, "path", "left").na.fill(0, ["fix_commits"])
-    return rows.select(
-        "path", "changes", "fix_commits", (F.col("fix_commits") / F.col("changes")).alias("fix_ratio"), "last_touched"
-    ).orderBy(F.desc("changes"), "path").limit(k)
 
 
 def fix_prone_files(scored: DataFrame, commit_files: DataFrame, k: int) -> DataFrame:
-    return fix_stats(scored, commit_files).orderBy(F.desc("fix_score"), F.desc("fix_commits"), "path").limit(k)
+    return _top(fix_stats(scored, commit_files), k, [F.desc("fix_score"), F.desc("fix_commits"), F.col("path")]).drop("rank")
+
 
+def repo_shape(commits: DataFrame, commit_files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Whole-history shape of every repository: empty, squashed import or normal development.
 
-def repo_shape(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Whole-history shape: empty, squashed import or normal development."""
+    ``repos(repo)`` adds repositories without a commit.
+    """
     shape = commit_shape(commit_files).filter(F.col("n_source") > 0)
-    source = shape.join(commits.select("sha"), "sha", "left_semi").agg(
-        F.count("*").alias("source_commits"), F.sum("src_added").alias("added"),
+    source = shape.join(commits.select(*COMMIT), COMMIT, "left_semi").groupBy("repo").agg(
+        F.count("*").alias("source_commits"), F.sum("src_added").alias("total_added"),
         F.max(F.struct("src_added", "sha")).alias("biggest"),
     )
-    overall = commits.agg(
-        F.count("*").alias("commits"), F.min("date").alias("first"), F.max("date").alias("last"),
-        F.count_if("is_merge").alias("merges"),
+    # One row per author first: no repository's commits meet in one task.
+    authors = commits.groupBy("repo", "author").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.count_if("is_merge").alias("merges"),
     )
-    authors = commits.groupBy("author").agg(F.count("*").alias("n")).agg(
-        F.count("*").alias("contributors"), F.max("n").alias("top")
+    overall = authors.groupBy("repo").agg(
+        F.sum("n").alias("commits"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("merges").alias("merges"),
+        F.count_if(F.col("author").isNotNull()).alias("contributors"), F.max("n").alias("top"),
     )
-    one = overall.withColumns({
-        "src": source.select(F.struct("*")).scalar(), "who": authors.select(F.struct("*")).scalar(),
-    }).select("*", "src.*", "who.*")
+    if repos is not None:
+        overall = repos.select("repo").distinct().join(overall, "repo", "left")
+    one = overall.join(source, "repo", "left").na.fill(0, ["commits", "merges", "contributors", "source_commits"])
     days = F.coalesce(F.datediff("last", "first"), F.lit(0))
-    bulk = F.coalesce(F.try_divide(F.col("biggest.src_added").cast("double"), F.col("added")), F.lit(0.0)) > BULK_SHARE
+    bulk = F.coalesce(F.try_divide(F.col("biggest.src_added").cast("double"), F.col("total_added")), F.lit(0.0)) > BULK_SHARE
     return one.select(
+        "repo",
         F.when(F.col("commits") == 0, "empty")
         .when(F.col("source_commits") <= 1, "squashed_import")
         .when((F.col("source_commits") <= 3) & (days < 7), "squashed_import")
@@ -224,66 +246,62 @@ def repo_shape(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def dangerous_areas(commits: DataFrame, commit_files: DataFrame, areas: DataFrame) -> DataFrame:
-    """Per area: distinct commits and files."""
-    live = commits.filter(~F.col("is_merge")).select("sha")
-    touched = commit_files.join(live, "sha", "left_semi").join(areas.select("path", "area").distinct(), "path")
-    return touched.groupBy("area").agg(
+    """Per repository and area: distinct commits and files."""
+    touched = commit_files.join(_live(commits), COMMIT, "left_semi").join(areas.select(*FILE, "area").distinct(), FILE)
+    return touched.groupBy("repo", "area").agg(
         F.countDistinct("sha").alias("commits"), F.countDistinct("path").alias("files")
     )
 
 
 def area_commits(commits: DataFrame, commit_files: DataFrame, areas: DataFrame, k: int = 15) -> DataFrame:
-    """The newest k commits of every area."""
-    pairs = commit_domains(commit_files, areas).join(
-        commits.filter(~F.col("is_merge")).select("sha", "date"), "sha"
-    )
-    w = Window.partitionBy("area").orderBy(F.desc("date"), F.desc("sha"))
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    """The newest k commits of every area of a repository."""
+    pairs = commit_domains(commit_files, areas).join(_live(commits, "date"), COMMIT)
+    return _top(pairs, k, [F.desc("date"), F.desc("sha")], ["repo", "area"])
 
 
 def late_changes(commits: DataFrame, commit_files: DataFrame, days: int) -> DataFrame:
-    """Source commits within ``days`` of the newest commit; do they change tests?"""
+    """Source commits within ``days`` of their repository's newest commit; do they change tests?"""
     shape = commit_shape(commit_files).filter(F.col("n_source") > 0)
-    newest = commits.agg(F.max("date")).scalar()
-    late = commits.filter(F.col("date") >= F.date_sub(newest, days))
-    return late.join(shape, "sha").select(
+    newest = commits.groupBy("repo").agg(F.max("date").alias("_newest"))
+    late = commits.join(newest, "repo").filter(F.col("date") >= F.date_sub("_newest", days)).drop("_newest")
+    return late.join(shape, COMMIT).select(
         *commits.columns, (F.col("src_added") + F.col("src_deleted")).alias("source_churn"),
         (F.col("n_test") > 0).alias("test_changed"),
     )
 
 
-def dev_patterns(commits: DataFrame, commit_files: DataFrame, scored: DataFrame, bulk: str | None = None) -> DataFrame:
-    """Test co-change, untested fixes, average size (bulk import aside), top author share."""
-    live = commits.filter(~F.col("is_merge")).select("sha", "author")
-    src = commit_shape(commit_files).filter(F.col("n_source") > 0).join(live, "sha")
-    sized = F.col("sha") != bulk if bulk else F.lit(True)
-    rates = src.agg(
+def dev_patterns(commits: DataFrame, commit_files: DataFrame, scored: DataFrame, bulk: DataFrame | None = None) -> DataFrame:
+    """Per repository: test co-change, untested fixes, average size, top author share.
+
+    ``bulk(repo, bulk_import)``, as from :func:`repo_shape`, names commits that do not count for the average size.
+    """
+    src = commit_shape(commit_files).filter(F.col("n_source") > 0).join(_live(commits, "author"), COMMIT)
+    if bulk is not None:
+        src = src.join(bulk.select("repo", F.col("bulk_import").alias("_bulk")), "repo", "left")
+    sized = F.coalesce(F.col("sha") != F.col("_bulk"), F.lit(True)) if bulk is not None else F.lit(True)
+    lines = src.groupBy("repo", "author").agg(F.sum("src_added").alias("lines"))
+    top = lines.groupBy("repo").agg(F.max(F.struct("lines", "author")).alias("t"))
+    rates = src.groupBy("repo").agg(
         F.round(F.avg(F.when(F.col("n_test") > 0, 1.0).otherwise(0.0)), 3).alias("test_co_change"),
         F.round(F.avg(F.when(sized, F.col("src_added") + F.col("src_deleted"))), 1).alias("avg_commit_size"),
         F.sum("src_added").alias("total_added"),
     )
-    top = src.groupBy("author").agg(F.sum("src_added").alias("lines")).agg(
-        F.max(F.struct("lines", "author")).alias("t")
-    )
-    fixes = scored.filter(F.col("score") > 0).agg(
+    fixes = scored.filter(F.col("score") > 0).groupBy("repo").agg(
         F.round(F.avg(F.when(F.col("n_test") == 0, 1.0).otherwise(0.0)), 3).alias("fix_without_test")
     )
-    one = rates.withColumns({"t": top.scalar(), "fix_without_test": fixes.scalar()})
-    return one.select(
-        "test_co_change", "fix_without_test", "avg_commit_size",
+    return rates.join(top, "repo").join(fixes, "repo", "left").select(
+        "repo", "test_co_change", "fix_without_test", "avg_commit_size",
         F.round(F.try_divide(F.col("t.lines").cast("double"), F.col("total_added")), 3).alias("top_share"),
         F.col("t.author").alias("top_author"),
     )
 
 
 def contributor_shares(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Added source lines and share per author."""
-    live = commits.filter(~F.col("is_merge")).select("sha", "author")
-    per = commit_shape(commit_files).filter(F.col("n_source") > 0).join(live, "sha").groupBy("author").agg(
-        F.sum("src_added").alias("lines_added")
-    )
-    total = per.agg(F.sum("lines_added")).scalar()
-    return per.select("author", "lines_added", F.round(F.col("lines_added") / total, 6).alias("share"))
+    """Added source lines and share per author of a repository."""
+    src = commit_shape(commit_files).filter(F.col("n_source") > 0).join(_live(commits, "author"), COMMIT)
+    per = src.groupBy("repo", "author").agg(F.sum("src_added").alias("lines_added"))
+    total = per.groupBy("repo").agg(F.sum("lines_added").alias("_total"))
+    return per.join(total, "repo").select("repo", "author", "lines_added", F.round(F.try_divide("lines_added", "_total"), 6).alias("share"))
 
 
 def blame(items: DataFrame, blame_rows: DataFrame, max_files: int | None = None) -> DataFrame:

@@ -66,7 +66,7 @@ ACCEPTANCE = """
   pos bigint, id string, path string, `match` string, reason string, owner string, until string
 """
 
-COMMIT = "sha string, date date, author string, subject string, is_merge boolean"
+COMMIT = "repo string, sha string, date date, author string, subject string, is_merge boolean"
 COMMIT_FILE = """
-  sha string, path string, added bigint, deleted bigint, is_source boolean, is_test boolean
+  repo string, sha string, path string, added bigint, deleted bigint, is_source boolean, is_test boolean
 """

@@ -122,28 +122,35 @@ EXCLUDED = r"/(lib|node_modules|forge-std|out|broadcast|artifacts|cache|target|b
 LOG_MARK = "COMMIT_START<<SEP>>"
 
 
-def read_commits(spark: SparkSession, path: str, src_dir: str = "") -> tuple[DataFrame, DataFrame]:
-    """A numstat log export to (commits, commit_files).
+def read_commits(spark: SparkSession, path: str, src_dir: str = "", repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Numstat log exports to (commits, commit_files), of one repository or of many.
 
-    The record separator is the line break before each mark, so the export
+    A log belongs to the repository ``repo``; unless it is given, to the one that names its folder or file: `repo=<name>`
+    below ``path`` (as Spark partitions a table), else the file's own name without ending. The record separator is the line break before each mark, so the export
     splits into commits while it is read.
     """
     raw = spark.read.option("lineSep", LOG_MARK).text(path).filter(F.col("value") != "")
     head = F.split(F.split_part("value", F.lit("\n"), F.lit(1)), "<<SEP>>")
     at = lambda i: F.get(head, F.lit(i))
+    if repo is not None:
+        name = F.lit(repo)
+    elif "repo" in raw.columns:
+        name = F.col("repo").cast("string")
+    else:
+        name = F.regexp_replace(F.url_decode(F.substring_index(F.col("_metadata.file_path"), "/", -1)), r"\.[^.]*$", "")
     rec = raw.filter(F.size(head) >= 6).select(
-        at(0).alias("sha"), at(1).alias("short_sha"), F.try_to_date(F.substring(at(2), 1, 10)).alias("date"),
+        name.alias("repo"), at(0).alias("sha"), at(1).alias("short_sha"), F.try_to_date(F.substring(at(2), 1, 10)).alias("date"),
         at(3).alias("author"), F.contains(F.trim(at(4)), F.lit(" ")).alias("is_merge"), at(5).alias("subject"),
         F.split("value", "\n").alias("lines"),
     )
-    commits = rec.select("sha", "short_sha", "date", "author", "subject", "is_merge")
-    rows = rec.select("sha", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("l")).filter(F.col("l").rlike(r"^(\d+|-)\t(\d+|-)\t"))
+    commits = rec.select("repo", "sha", "short_sha", "date", "author", "subject", "is_merge")
+    rows = rec.select("repo", "sha", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("l")).filter(F.col("l").rlike(r"^(\d+|-)\t(\d+|-)\t"))
     cell = F.split("l", "\t")
     number = lambda i: F.coalesce(F.get(cell, F.lit(i)).try_cast("bigint"), F.lit(0))
     p = F.get(cell, F.lit(2))
     is_test = F.lower(p).rlike(TEST_HINT)
     files = rows.select(
-        "sha", p.alias("path"), number(0).alias("added"), number(1).alias("deleted"),
+        "repo", "sha", p.alias("path"), number(0).alias("added"), number(1).alias("deleted"),
         (p.rlike(SOURCE_FILE) & ~F.concat(F.lit("/"), p).rlike(EXCLUDED) & p.startswith(src_dir) & ~is_test).alias("is_source"),
         is_test.alias("is_test"),
     )
