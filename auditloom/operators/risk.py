@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import cut_lineage
 from ..dims import reference as REF
 from ..functions import scoring as S
 from ..functions import text as TX
@@ -141,38 +142,46 @@ def require_valid_acceptances(acceptances: DataFrame) -> DataFrame:
 def accept(findings: DataFrame, acceptances: DataFrame, today: str) -> DataFrame:
     """Mark findings ``accepted`` by the first acceptance in list order, else ``open``.
 
-    Acceptances are grouped to one row per rule before the join, so a finding
-    is never multiplied and needs no second shuffle to pick the first match.
+    A rule may have any number of acceptances. Those with a path meet findings by equality on the rule and the rarest
+    gram of the path, those with only a text on a gram of the text, and only such pairs are verified; those with
+    neither on the rule alone, one each. Findings alike in rule, file and texts are looked up once, and a finding
+    keeps the least position of what covers it.
     """
-    # Of several entries with the same conditions only the first can ever win,
-    # so a rule keeps one option per distinct (path, text).
-    distinct = (
+    # Of several entries with the same conditions only the first can ever win.
+    options = cut_lineage(
         acceptances.filter(F.to_date("until") >= F.lit(today).cast("date"))
-        .groupBy("id", "path", F.col("match").alias("text"))
-        .agg(F.min(F.struct("pos", "owner", "until")).alias("first"))
+        .groupBy(F.col("id").alias("invariant_id"), F.col("path").alias("_path"), F.col("match").alias("_text"))
+        .agg(F.min(F.struct("pos", "owner", "until")).alias("_first"))
+        .withColumn("_prefix", F.regexp_replace("_path", r"^(\./)+", "")), "acceptances",
     )
-    live = distinct.groupBy("id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("first.pos", "path", "text", "first.owner", "first.until"))
-        ).alias("options")
-    )
-    joined = findings.join(live, findings["invariant_id"] == live["id"], "left")
-    bare = F.regexp_replace("file", r"^(\./)+", "")
-
-    def covers(a: Column) -> Column:
-        prefix = F.regexp_replace(a["path"], r"^(\./)+", "")
-        on_path = a["path"].isNull() | bare.startswith(prefix) | F.contains(bare, a["path"])
-        on_text = a["text"].isNull() | F.contains(F.col("message"), a["text"]) | F.contains(F.col("snippet"), a["text"])
-        return on_path & on_text
-
-    first = F.get(F.filter("options", covers), F.lit(0))
-    return joined.withColumn("_hit", first).select(
-        *[findings[c] for c in findings.columns],
+    told = F.to_json(F.struct("invariant_id", "file", "message", "snippet"))
+    keyed = findings.withColumn("_key", F.struct(F.xxhash64(told).alias("a"), F.xxhash64(F.lit(1), told).alias("b")))
+    items = keyed.select("_key", "invariant_id", F.regexp_replace("file", r"^(\./)+", "").alias("_bare"), "message", "snippet")
+    items = items.join(options.select("invariant_id").distinct(), "invariant_id", "left_semi").distinct()
+    on_path = F.col("_path").isNull() | F.startswith("_bare", "_prefix") | F.contains("_bare", "_path")
+    on_text = F.col("_text").isNull() | F.contains("message", "_text") | F.contains("snippet", "_text")
+    by_path = _meet(items, F.col("_bare"), options.filter("_path is not null"), "_prefix")
+    by_text = _meet(items, F.concat_ws("\0", "message", "snippet"), options.filter("_path is null and _text is not null"), "_text")
+    plain = items.select("_key", "invariant_id").join(options.filter("_path is null and _text is null"), "invariant_id")
+    hits = [rows.select("_key", "_first") for rows in (plain, by_path.filter(on_path & on_text), by_text.filter(on_text))]
+    best = hits[0].unionByName(hits[1]).unionByName(hits[2]).groupBy("_key").agg(F.min("_first").alias("_hit"))
+    return keyed.join(best, "_key", "left").select(
+        *findings.columns,
         F.when(F.col("_hit").isNull(), "open").otherwise("accepted").alias("state"),
         F.col("_hit.owner").alias("accepted_by"), F.col("_hit.until").alias("accepted_until"),
     )
 
 
+def _meet(items: DataFrame, text: Column, options: DataFrame, needle: str) -> DataFrame:
+    """Items with the options of their rule whose ``needle`` may lie in ``text``; all that do are among them."""
+    from .rules import line_grams, needle_index
+
+    lines = items.withColumn("text", text)
+    index = cut_lineage(needle_index(options.select(F.col(needle).alias("needle")).distinct(), lines), "needles")
+    wanted = options.join(index.withColumnRenamed("needle", needle), needle)
+    return line_grams(lines, index.select("gram").distinct()).drop("text").join(wanted, ["invariant_id", "gram"])
+
+
 def expired_acceptances(acceptances: DataFrame, today: str) -> DataFrame:
     return acceptances.filter(F.to_date("until") < F.lit(today).cast("date"))
 

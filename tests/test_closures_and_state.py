@@ -154,3 +154,31 @@ def test_throttles_count_from_the_last_sending(spark, tmp_path):
         got = ST.run_to_table(stateful.throttle_stream(stream, ["id", "n"], 90), "t", str(tmp_path / "out"))
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(sorted(want, key=str), schema).collect()))
     assert ST.throttle_from_last_sent(table.limit(0), ["id", "n"], 90).count() == 0
+
+
+def test_many_acceptances_of_one_rule(spark):
+    from auditloom.operators import risk as RK
+
+    rng = random.Random(6)
+    names = ["src/a", "./src/a", "lib", "", "./", "b.py", "rc/a", None, "zzz/none", "é/ü"]
+    texts = [None, None, "tok", "", "no such text", "ü"]
+    acc = [(i, rng.choice("RS"), rng.choice(names), rng.choice(texts), "accepted for now", f"o{i}", rng.choice(["2024-01-01", "2024-03-01"])) for i in range(3, 60)]
+    acc += [(1000 + i, "T", f"pkg{i}/x", None, "accepted for now", f"t{i}", "2024-03-01") for i in range(3000)]
+    rows = [(i, rng.choice("RSQ"), rng.choice(["src/a/b.py", "./src/a", "lib/x", None, "x./src/a", "é/ü.py", "q"]), rng.choice(["has tok", "", None, "ü"]), rng.choice(["tok", None, "s"])) for i in range(300)]
+    rows += [(1000 + i, "T", f"./pkg{i * 7}/x/y", "m", "s") for i in range(500)]
+    got = RK.accept(
+        spark.createDataFrame(rows, "ord long, invariant_id string, file string, message string, snippet string"),
+        spark.createDataFrame(acc, "pos long, id string, path string, `match` string, reason string, owner string, until string"), "2024-02-01",
+    )
+    bare = lambda p: p[2 * ((len(p) - len(__import__("re").sub(r"^(\./)+", "", p))) // 2):]
+
+    def covers(a, f):
+        path = a[2] is None or f[2] is not None and (bare(f[2]).startswith(bare(a[2])) or a[2] in bare(f[2]))
+        return a[1] == f[1] and a[6] >= "2024-02-01" and path and (a[3] is None or any(t is not None and a[3] in t for t in f[3:5]))
+
+    rules = defaultdict(list)
+    for a in sorted(acc, key=lambda a: a[0]):
+        rules[a[1]].append(a)
+    want = {f[0]: next((a[5] for a in rules[f[1]] if covers(a, f)), None) for f in rows}
+    assert {r["ord"]: r["accepted_by"] for r in got.collect()} == want
+    assert got.count() == len(rows)
