@@ -157,7 +157,7 @@ def accept(findings: DataFrame, acceptances: DataFrame, today: str) -> DataFrame
     told = F.to_json(F.struct("invariant_id", "file", "message", "snippet"))
     keyed = findings.withColumn("_key", F.struct(F.xxhash64(told).alias("a"), F.xxhash64(F.lit(1), told).alias("b")))
     items = keyed.select("_key", "invariant_id", F.regexp_replace("file", r"^(\./)+", "").alias("_bare"), "message", "snippet")
-    items = items.join(options.select("invariant_id").distinct(), "invariant_id", "left_semi").distinct()
+    items = cut_lineage(items.join(options.select("invariant_id").distinct(), "invariant_id", "left_semi").distinct(), "items")
     on_path = F.col("_path").isNull() | F.startswith("_bare", "_prefix") | F.contains("_bare", "_path")
     on_text = F.col("_text").isNull() | F.contains("message", "_text") | F.contains("snippet", "_text")
     by_path = _meet(items, F.col("_bare"), options.filter("_path is not null"), "_prefix")
