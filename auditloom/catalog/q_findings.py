@@ -331,14 +331,14 @@ def w8(spark, sf):
 
 
 @query("w8b_compose_chain", """
-WITH a AS (SELECT l_orderkey AS link, 'k' || l_partkey AS key, max(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+WITH a AS (SELECT l_orderkey AS link, 'k' || l_partkey AS key, max(l_quantity) AS c FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
 b AS (SELECT l_orderkey AS link, 'k' || l_partkey AS key, max(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)
 SELECT link, a.key AS key_a, b.key AS key_b, least(a.c, b.c) AS confidence FROM a JOIN b USING (link)""")
 def w8b(spark, sf):
     l = B.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("link"), F.concat(F.lit("k"), F.col("l_partkey").cast("string")).alias("key"),
         F.col("l_quantity").alias("confidence"), "l_returnflag")
-    return FD.compose_chain(l.filter("l_returnflag = 'A'"), l.filter("l_returnflag = 'N'"), "link")
+    return FD.compose_chain(l.filter("l_returnflag <> 'N'"), l.filter("l_returnflag = 'N'"), "link")
 
 
 _SCAN = """scan AS (SELECT key, arg_max(struct_pack(sha := 'r' || run, title := label, kind := kind), (ord, 'r' || run, label, kind)) AS n FROM runs WHERE pass > 3 GROUP BY key)"""

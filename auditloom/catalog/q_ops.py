@@ -75,12 +75,13 @@ def f26(spark, sf):
 
 @query("a26_dashboard_stats", with_ctes(SCANS, B.FINDINGS, body="""
 , d AS (SELECT user_id, count(*) FILTER (WHERE status = 'complete') AS completed, round(avg(duration_ms) FILTER (WHERE status = 'complete'), 6) AS avg_duration_ms FROM scans GROUP BY 1),
-f AS (SELECT e.user_id, count(*) FILTER (WHERE severity = 'Critical') AS critical, count(*) FILTER (WHERE evidence = 'proven') AS proven, count(*) FILTER (WHERE ord % 3 > 0) AS open, count(*) FILTER (WHERE ord % 3 = 0) AS resolved FROM findings JOIN events e ON e.event_id = ord GROUP BY 1)
-SELECT user_id, completed, avg_duration_ms, coalesce(critical, 0) AS critical, coalesce(proven, 0) AS proven, coalesce(open, 0) AS open, coalesce(resolved, 0) AS resolved FROM d LEFT JOIN f USING (user_id)"""))
+f AS (SELECT e.user_id, count(*) FILTER (WHERE severity = 'Critical') AS critical, count(*) FILTER (WHERE evidence = 'proven') AS proven, count(*) FILTER (WHERE evidence = 'lead' AND ord % 4 = 0) AS likely, count(*) FILTER (WHERE ord % 3 > 0) AS open, count(*) FILTER (WHERE ord % 3 = 0) AS resolved FROM findings JOIN events e ON e.event_id = ord GROUP BY 1)
+SELECT user_id, completed, avg_duration_ms, coalesce(critical, 0) AS critical, coalesce(proven, 0) AS proven, coalesce(likely, 0) AS likely, coalesce(open, 0) AS open, coalesce(resolved, 0) AS resolved FROM d LEFT JOIN f USING (user_id)"""))
 def a26(spark, sf):
     f = B.findings(spark, sf)
     users = B.table(spark, sf, "events").select(F.col("event_id").alias("ord"), "user_id")
-    rows = f.join(users, "ord").withColumn("status", F.when(F.col("ord") % 3 > 0, "open").otherwise("resolved"))
+    rated = f.withColumn("evidence", F.when((F.col("evidence") == "lead") & (F.col("ord") % 4 == 0), "likely").otherwise(F.col("evidence")))
+    rows = rated.join(users, "ord").withColumn("status", F.when(F.col("ord") % 3 > 0, "open").otherwise("resolved"))
     return O.dashboard_stats(scans(spark, sf), rows).withColumn("avg_duration_ms", F.round("avg_duration_ms", 6))
 
 
@@ -119,6 +120,11 @@ def a25(spark, sf):
     return O.catalog_counts(skills(spark, sf))
 
 
+@query("a25_source_counts", with_ctes(SKILLS, body="SELECT source, count(*) AS n FROM skills GROUP BY 1"))
+def a25b(spark, sf):
+    return O.catalog_source_counts(skills(spark, sf))
+
+
 @query("w11_catalog_order", with_ctes(SKILLS, body="SELECT doc_id, name FROM skills ORDER BY engine_backed DESC, name, source"))
 def w11(spark, sf):
     return O.catalog_order(skills(spark, sf)).select("doc_id", "name")

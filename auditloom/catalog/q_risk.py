@@ -207,7 +207,7 @@ def a7b(spark, sf):
 # A few pathways with native, hosted and manual controls.
 CONTROLS = (
     ("api-security", "native", "gen_web_ssrf"), ("api-security", "native", "gen_sql_injection"), ("api-security", "native", "gen_hardcoded_secret"),
-    ("api-security", "hosted", "en"), ("api-security", "assess", "Rate limits and quotas are applied per principal"),
+    ("api-security", "hosted", "en"), ("api-security", "assess", "each caller has a quota"),
     ("container-security", "native", "gen_docker_root_user"), ("container-security", "native", "gen_container_privileged"),
     ("container-security", "hosted", "fr"), ("container-security", "assess", "Images are scanned before admission"),
     ("data-security", "native", "gen_tls_verification_disabled"), ("data-security", "hosted", "xx"), ("data-security", "assess", "Data is classified"),
@@ -241,9 +241,9 @@ def registry(spark, sf):
         F.array(F.get(rules, (F.col("o_custkey") % 15).cast("int")), F.get(rules, (F.col("o_orderkey") % 7).cast("int"))).alias("invariant_ids"))
 
 
-@query("j10_exploits_for_rule", with_ctes(REG, body="SELECT id, invariant_id, loss_usd FROM (SELECT id, loss_usd, unnest(invariant_ids) AS invariant_id FROM reg) WHERE invariant_id LIKE 'gen_iac%'"))
+@query("j10_exploits_for_rule", with_ctes(REG, B.FINDINGS, body="SELECT id, invariant_id, loss_usd FROM (SELECT id, loss_usd, unnest(invariant_ids) AS invariant_id FROM reg) WHERE invariant_id IN (SELECT invariant_id FROM findings)"))
 def j10(spark, sf):
-    rules = B.findings(spark, sf).select("invariant_id").distinct().filter(F.col("invariant_id").startswith("gen_iac"))
+    rules = B.findings(spark, sf).select("invariant_id").distinct()
     return RK.exploits_for_rule(registry(spark, sf), rules).select("id", "invariant_id", "loss_usd")
 
 

@@ -63,10 +63,11 @@ def dashboard_stats(scans: DataFrame, findings: DataFrame) -> DataFrame:
     sev = findings.groupBy("user_id").agg(
         F.count_if(F.lower("severity") == "critical").alias("critical"),
         F.count_if(F.col("evidence") == "proven").alias("proven"),
+        F.count_if(F.col("evidence") == "likely").alias("likely"),
         F.count_if(F.col("status") == "open").alias("open"),
         F.count_if(F.col("status") == "resolved").alias("resolved"),
     )
-    return done.join(sev, "user_id", "left").na.fill(0, ["critical", "proven", "open", "resolved"])
+    return done.join(sev, "user_id", "left").na.fill(0, ["critical", "proven", "likely", "open", "resolved"])
 
 
 def recent_scans(scans: DataFrame, findings: DataFrame, n: int) -> DataFrame:
@@ -177,6 +178,11 @@ def catalog_counts(skills: DataFrame) -> DataFrame:
     )
 
 
+def catalog_source_counts(skills: DataFrame) -> DataFrame:
+    """Skills per source, by name."""
+    return skills.groupBy("source").agg(F.count("*").alias("n")).orderBy("source")
+
+
 def tool_mentions(texts: DataFrame, tools: Sequence[str] = KNOWN_TOOLS, fence: str = "```") -> DataFrame:
     """Known commands that start a pipeline segment inside fenced blocks; one row per (id, tool).
 
