@@ -102,7 +102,7 @@ def w13(spark, sf):
     k = F.col("event_id")
     d = B.table(spark, sf, "events").select("user_id", k.alias("ord"), F.concat(F.lit("s"), k.cast("string")).alias("scan_id"), (1 + k % 2).alias("amount"))
     c = credits(spark, sf).filter("remaining > 0").select("user_id", "ord", F.concat(F.lit("c"), F.col("credit_id").cast("string")).alias("credit_id"), F.col("remaining").alias("amount"))
-    return O.allocate_credits(d, c)
+    return O.allocate_credits(d, c).withColumn("amount", F.col("amount").cast("double"))
 
 
 # ---- skills: documents as a catalogue ---------------------------------------------------

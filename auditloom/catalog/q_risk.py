@@ -303,19 +303,26 @@ def _sig_sql(s: REF.Signal) -> str:
     ev = f"list_slice(list_sort(list(path) FILTER (WHERE regexp_matches(lower(path), {q(s.path)}))), 1, 3)"
     empty = f"len(coalesce({ev}, [])) = 0"
     alt = f"coalesce({ev}, [])"
+    at = f"regexp_matches(lower(path), {q(s.text_path)})" if s.text_path else "true"
+    named = f"bool_or({mf} AND {has(s.manifest_is_evidence[0])})"
+    if s.name == "migration-rollback":
+        named += f" AND bool_or(regexp_matches(lower(path), {q(next(x.path for x in REF.SIGNALS if x.name == 'migrations'))}))"
     for cond, note in (
-        (f"bool_or({ci} AND {has(s.ci)})", s.ci_is_evidence),
-        (f"bool_or({mf} AND {has(s.manifest_is_evidence[0])})", s.manifest_is_evidence[1]),
-        (f"bool_or(regexp_matches(lower(path), {q(s.text_path)}) AND {has(s.text)})", s.text_note),
+        (f"bool_or({ci} AND {has(s.ci)})", s.ci_is_evidence), (named, s.manifest_is_evidence[1]),
+        (f"bool_or({at} AND {has(s.text)})" if s.text else "false", s.text_note),
     ):
         if note:
             alt = f"CASE WHEN {empty} AND {cond} THEN [{q(note)}] ELSE {alt} END"
+    if s.cli:
+        tests = f"coalesce(list_slice(list_sort(list(path) FILTER (WHERE regexp_matches(lower(path), {q(REF.CLI_TESTS)}))), 1, 3), [])"
+        cli = f"bool_or(({mf} AND {has(REF.CLI_MANIFEST)}) OR regexp_matches(path, {q(REF.CLI_TESTS)}))"
+        alt = f"CASE WHEN {empty} AND {cli} AND len({tests}) > 0 THEN {tests} ELSE {alt} END"
     wired = f"bool_or({ci} AND {has(s.ci)})"
     if s.manifest:
         wired += f" OR bool_or({mf} AND {has(s.manifest)})"
     if s.suite:
         wired += f" OR (len({alt}) > 0 AND bool_or({ci} AND {has(REF.SUITE_RUNNERS)}))"
-    return f"SELECT repo, {q(s.name)} AS signal, len({alt}) > 0 AS present, {wired} AS wired, array_to_string({alt}, ';') AS evidence FROM sfiles GROUP BY repo"
+    return f"SELECT repo, {q(s.name)} AS signal, len({alt}) > 0 AS present, {wired} AS wired, array_to_string({alt}, ';') AS evidence, count(*) FILTER (WHERE regexp_matches(lower(path), {q(s.path)})) AS n_paths FROM sfiles GROUP BY repo"
 
 
 @query("r21_repo_signals", with_ctes(B.FILES, _SIGFILES, body="\nUNION ALL\n".join(_sig_sql(s) for s in SIGS)))
@@ -324,7 +331,7 @@ def r21(spark, sf):
     return s.withColumn("evidence", F.array_join("evidence", ";"))
 
 
-@query("r21_repo_signals_full", None)
+@query("r21_repo_signals_full", with_ctes(B.FILES, _SIGFILES, body="\nUNION ALL\n".join(_sig_sql(s) for s in REF.SIGNALS)))
 def r21f(spark, sf):
     return RK.repo_signals(_signal_files(spark, sf)).withColumn("evidence", F.array_join("evidence", ";"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dims import reference as REF
 from ..functions import scoring as S
+from ..session import cut_lineage
 from .keyed import running_total
 
 
@@ -90,14 +91,16 @@ def allocate_credits(demand: DataFrame, credits: DataFrame, chunk: Column | None
     Requests and credits become intervals of running totals per user; an amount
     is paid where the two overlap. Both sides are merged on one time line of
     interval ends, so the overlap needs a window, not a pairwise join.
-    ``demand(user_id, ord, scan_id, amount)``, ``credits(user_id, ord, credit_id, amount)``.
+    ``demand(user_id, ord, scan_id, amount)``, ``credits(user_id, ord, credit_id, amount)``. Amounts are exact to six
+    decimal places; either side is read twice.
     """
+    exact = "decimal(38,6)"
     part = chunk if chunk is not None else F.floor(F.col("ord") / 100_000)
-    d = running_total(demand, ["user_id"], ["ord"], part, F.col("amount"), "upto").select(
-        "user_id", F.col("upto").cast("double").alias("upto"), "scan_id", F.lit(None).cast("string").alias("credit_id")
+    d = running_total(demand, ["user_id"], ["ord"], part, F.col("amount").cast("decimal(28,6)"), "upto").select(
+        "user_id", F.col("upto").cast(exact).alias("upto"), "scan_id", F.lit(None).cast("string").alias("credit_id")
     )
-    c = running_total(credits, ["user_id"], ["ord"], part, F.col("amount"), "upto").select(
-        "user_id", F.col("upto").cast("double").alias("upto"), F.lit(None).cast("string").alias("scan_id"), "credit_id"
+    c = running_total(credits, ["user_id"], ["ord"], part, F.col("amount").cast("decimal(28,6)"), "upto").select(
+        "user_id", F.col("upto").cast(exact).alias("upto"), F.lit(None).cast("string").alias("scan_id"), "credit_id"
     )
     # Ends at the same height merge; each segment up to an end belongs to the
     # next request and the next credit at or above it.
@@ -105,7 +108,7 @@ def allocate_credits(demand: DataFrame, credits: DataFrame, chunk: Column | None
         F.max("scan_id").alias("scan_id"), F.max("credit_id").alias("credit_id")
     )
     width = F.floor(F.col("upto") / 100_000)
-    ends = ends.withColumn("chunk", width)
+    ends = cut_lineage(ends.withColumn("chunk", width), "ends")
     heads = ends.groupBy("user_id", "chunk").agg(
         F.min_by("scan_id", F.when(F.col("scan_id").isNotNull(), F.col("upto"))).alias("next_scan"),
         F.min_by("credit_id", F.when(F.col("credit_id").isNotNull(), F.col("upto"))).alias("next_credit"),
@@ -125,7 +128,7 @@ def allocate_credits(demand: DataFrame, credits: DataFrame, chunk: Column | None
         "user_id", "upto",
         F.coalesce(F.first("scan_id", ignorenulls=True).over(ahead), "_scan").alias("scan_id"),
         F.coalesce(F.first("credit_id", ignorenulls=True).over(ahead), "_credit").alias("credit_id"),
-        (F.col("upto") - F.coalesce(F.lag("upto").over(inside), F.col("_below"), F.lit(0.0))).alias("amount"),
+        (F.col("upto") - F.coalesce(F.lag("upto").over(inside), F.col("_below"), F.lit(0).cast(exact))).alias("amount"),
     )
     return seg.filter(F.col("scan_id").isNotNull() & F.col("credit_id").isNotNull() & (F.col("amount") > 0)).groupBy(
         "user_id", "scan_id", "credit_id"

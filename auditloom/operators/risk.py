@@ -380,11 +380,11 @@ def _any_of(text: Column, needles: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n.lower())) for n in needles])
 
 
-def repo_signals(files: DataFrame, signals: Sequence[REF.Signal] = REF.SIGNALS) -> DataFrame:
-    """Per repository and signal: present (at most three paths shown) and wired in CI.
+def repo_signals(files: DataFrame, signals: Sequence[REF.Signal] = REF.SIGNALS, shown_paths: int = 3) -> DataFrame:
+    """Per repository and signal: present, wired in CI, the first ``shown_paths`` paths and ``n_paths``, how many there are.
 
     CI and manifest words are folded to one flag row per repository with
-    map-side combining; evidence paths are limited to three per group before
+    map-side combining; shown paths are limited per group before
     they are shuffled.
     """
     low, body = F.lower("path"), F.lower("source")
@@ -408,15 +408,18 @@ def repo_signals(files: DataFrame, signals: Sequence[REF.Signal] = REF.SIGNALS)
     hits = files.select("repo", "path", F.explode(shown).alias("i"))
     top = hits.withColumn(
         "rn", F.row_number().over(Window.partitionBy("repo", "i").orderBy("path"))
-    ).filter(F.col("rn") <= 3)
+    ).filter(F.col("rn") <= shown_paths)
     paths = top.groupBy("repo").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("i", "rn"), "path"))).alias("paths")
     )
-    rows = folded.join(paths, "repo", "left")
+    counts = hits.groupBy("repo", "i").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("counts")
+    )
+    rows = folded.join(paths, "repo", "left").join(counts, "repo", "left")
 
     def evidence(i: int) -> Column:
         p = lambda n: F.col("paths")[F.struct(F.lit(i).alias("i"), F.lit(n).alias("rn"))]
-        return F.array_compact(F.array(p(1), p(2), p(3)))
+        return F.array_compact(F.array(*[p(n) for n in range(1, shown_paths + 1)]))
 
     none = F.array().cast("array<string>")
     out = []
@@ -442,6 +445,7 @@ def repo_signals(files: DataFrame, signals: Sequence[REF.Signal] = REF.SIGNALS)
             F.struct(
                 F.lit(s.name).alias("signal"), (F.size(ev) > 0).alias("present"),
                 wired.alias("wired"), ev.alias("evidence"),
+                F.coalesce(F.col("counts")[F.lit(i)], F.lit(0).cast("long")).alias("n_paths"),
             )
         )
     return rows.select("repo", F.inline(F.array(*out)))

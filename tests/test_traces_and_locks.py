@@ -74,3 +74,13 @@ def test_broken_lockfiles_are_told_and_stop_nothing(spark, files):
     assert told["b/package-lock.json"] == told["e/Pipfile.lock"] == "not JSON" and told["c/package-lock.json"] == "no lockfile"
     assert L.parse_lockfiles(df)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
     assert L.read_lockfiles(df.filter(F.lit(False))).count() == 0
+
+
+def test_signals_tell_how_many_paths_they_have(spark, files):
+    from auditloom.operators import risk as RK
+
+    df = files([(f"e2e/t{i:02}.js", "") for i in range(12)] + [("src/main.py", "x")])
+    rows = {r["signal"]: r for r in RK.repo_signals(df, shown_paths=5).collect()}
+    assert rows["e2e-tests"]["n_paths"] == 12 and rows["e2e-tests"]["evidence"] == [f"e2e/t{i:02}.js" for i in range(5)]
+    assert rows["codeowners"]["n_paths"] == 0 and not rows["codeowners"]["present"]
+    assert len({r["signal"]: r for r in RK.repo_signals(df).collect()}["e2e-tests"]["evidence"]) == 3
