@@ -114,20 +114,23 @@ def allocate_credits(demand: DataFrame, credits: DataFrame, chunk: Column | None
         F.min_by("credit_id", F.when(F.col("credit_id").isNotNull(), F.col("upto"))).alias("next_credit"),
         F.max("upto").alias("top"),
     )
-    per_user = Window.partitionBy("user_id").orderBy("chunk")
-    after, before = per_user.rowsBetween(1, Window.unboundedFollowing), per_user.rowsBetween(Window.unboundedPreceding, -1)
+    # The next one is looked for walking backwards: a frame that only grows costs one step a row.
+    per_user = Window.partitionBy("user_id")
+    after = per_user.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_user.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     edges = heads.select(
         "user_id", "chunk",
-        F.first("next_scan", ignorenulls=True).over(after).alias("_scan"),
-        F.first("next_credit", ignorenulls=True).over(after).alias("_credit"),
+        F.last("next_scan", ignorenulls=True).over(after).alias("_scan"),
+        F.last("next_credit", ignorenulls=True).over(after).alias("_credit"),
         F.max("top").over(before).alias("_below"),
     )
-    inside = Window.partitionBy("user_id", "chunk").orderBy("upto")
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    part_of = Window.partitionBy("user_id", "chunk")
+    inside = part_of.orderBy("upto")
+    ahead = part_of.orderBy(F.desc("upto")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seg = ends.join(edges, ["user_id", "chunk"]).select(
         "user_id", "upto",
-        F.coalesce(F.first("scan_id", ignorenulls=True).over(ahead), "_scan").alias("scan_id"),
-        F.coalesce(F.first("credit_id", ignorenulls=True).over(ahead), "_credit").alias("credit_id"),
+        F.coalesce(F.last("scan_id", ignorenulls=True).over(ahead), "_scan").alias("scan_id"),
+        F.coalesce(F.last("credit_id", ignorenulls=True).over(ahead), "_credit").alias("credit_id"),
         (F.col("upto") - F.coalesce(F.lag("upto").over(inside), F.col("_below"), F.lit(0).cast(exact))).alias("amount"),
     )
     return seg.filter(F.col("scan_id").isNotNull() & F.col("credit_id").isNotNull() & (F.col("amount") > 0)).groupBy(

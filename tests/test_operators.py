@@ -57,6 +57,16 @@ def test_allocate_credits_pays_oldest_first(spark):
     assert out == [("s1", "c1", 2.0), ("s2", "c1", 1.0), ("s2", "c2", 1.0)]
 
 
+def test_credits_of_a_busy_user_take_time_in_proportion(spark):
+    n = 60_000
+    ends = spark.range(n).select(F.lit(1).alias("user_id"), F.col("id").alias("ord"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("name"), F.lit(1).alias("amount"))
+    d, c = ends.withColumnRenamed("name", "scan_id"), ends.filter("ord < 20").withColumnRenamed("name", "credit_id")
+    out = ops.allocate_credits(d, c)
+    assert {tuple(r) for r in out.collect()} == {(1, f"x{i}", f"x{i}", 1) for i in range(20)}
+    # A frame without an end is gone through anew for every row.
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+
+
 TRACES = {
     "late write": ([("begin", "A"), ("begin", "B"), ("begin", "A"), ("end", False), ("end", False), ("write", "A"), ("end", False)], True),
     "early write": ([("begin", "A"), ("write", "A"), ("begin", "B"), ("begin", "A"), ("end", False), ("end", False), ("end", False)], False),
