@@ -3,7 +3,7 @@
 import ipaddress
 import random
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -128,6 +128,36 @@ def test_leases_end_in_silence_and_after_a_restart(spark, tmp_path):
     assert last == {1: "queued", 2: "failed", 3: "complete", 4: "queued", 5: "processing", 6: "queued", 7: "queued"}
 
 
+def test_leases_are_handled_many_at_once(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema, rng = "scan_id long, status string, attempts long, claimed_at timestamp, seen_at timestamp", random.Random(3)
+    big = 1 << 60
+    one = lambda i, lo: (big + i if i else None, rng.choice(["processing", "processing", "queued"]), rng.choice([0, 2, 3, None]), rng.choice([None, at(lo), at(lo + 5)]))
+    slices = [rng.sample([(*one(i % 700, lo), at(lo + i * 0.06)) for i in range(900)], 900) for lo in (0, 70, 900, 1700)]
+    want = Counter()
+    running, high = {}, None
+
+    def expire():
+        for k, (ends, attempts) in list(running.items()):
+            if ends < high - timedelta(minutes=1):
+                want[(k, "queued" if attempts < 3 else "failed", ends)] += 1
+                del running[k]
+
+    for rows in [*slices, []]:
+        for k, status, attempts, claimed, seen in sorted(rows, key=lambda r: r[4]):
+            want[(k, status, seen)] += 1
+            running.pop(k, None)
+            if status == "processing" and claimed:
+                running[k] = (claimed + timedelta(minutes=10), attempts or 0)
+        if high:
+            expire()
+        high = max([high or T0, *[r[4] for r in rows]])
+    stream = _slices(spark, str(tmp_path / "in"), slices, schema)
+    with stateful.keyed_store(spark):
+        out = ST.run_to_table(stateful.lease_changes(stream, shares=3), "t", str(tmp_path / "out"))
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def _sent(times, quiet):
     out = []
     for t in sorted(times):
