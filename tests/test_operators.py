@@ -236,3 +236,13 @@ def test_rustsec_lists(spark):
     assert (r["id"], r["summary"], r["score"], r["patched"], r["unaffected"], r["ranges"]) == ("R-1", "Title", 9.8, ["^0.3.1", ">= 1.0"], ["< 0.1"], [])
     pk = spark.createDataFrame([("r", "crates.io", "x", v, "l") for v in ("0.0.9", "0.2.0", "0.3.5", "1.2.0")], "repo string, ecosystem string, name string, version string, source_file string")
     assert [x["version"] for x in sca.vulnerable_packages(pk, adv).collect()] == ["0.2.0"]
+
+
+def test_cardinality_keeps_one_sketch_a_rule(spark):
+    rows = [(f"r{i % 3}" if i % 3 else None, f"f{i % 50}" if i % 7 else None, f"p{i % 4}") for i in range(600)] + [("none", None, None)]
+    got = FD.approx_rule_cardinality(spark.createDataFrame(rows, "invariant_id string, file string, repo string"))
+    want = {k: tuple(len({r[c] for r in rows if r[0] == k and r[c]}) for c in (1, 2)) for k in {r[0] for r in rows}}
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+    assert all(abs(r[3] - r[1]) <= 1 and abs(r[4] - r[2]) <= 1 for r in got.collect())
+    # Rows multiplied for several distinct counts would hold a sketch for every value.
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
