@@ -163,9 +163,17 @@ def not_preceded_by(events: DataFrame, keys: Sequence[str], seq: str, a: Column,
     ).select(*events.columns)
 
 
-def invariants_for(config: DataFrame, contracts: DataFrame, chain: str) -> DataFrame:
-    """The configured invariants of a chain on its contracts."""
-    return config.filter(F.col("chain") == chain).join(contracts.filter(F.col("chain") == chain).drop("chain"), "target")
+def invariants_for(config: DataFrame, contracts: DataFrame, chain: str, parts: int = 64) -> DataFrame:
+    """The configured invariants of a chain on its contracts.
+
+    The result holds every pair of a target, so a target's invariants are dealt over ``parts`` and its contracts go to each:
+    few targets do not mean few tasks. The number of tasks is given, as both sides are small beside the result.
+    """
+    rows = config.filter(F.col("chain") == chain)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    others = contracts.filter(F.col("chain") == chain).drop("chain").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key = ["target", "_part"]
+    return rows.repartition(parts, *key).join(others.repartition(parts, *key), key).drop("_part")
 
 
 def validate_invariant_config(chains: DataFrame, invariants: DataFrame, sinks: DataFrame) -> DataFrame:

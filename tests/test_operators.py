@@ -246,3 +246,11 @@ def test_cardinality_keeps_one_sketch_a_rule(spark):
     assert all(abs(r[3] - r[1]) <= 1 and abs(r[4] - r[2]) <= 1 for r in got.collect())
     # Rows multiplied for several distinct counts would hold a sketch for every value.
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_invariants_of_one_target_are_many_tasks_work(spark):
+    cfg = spark.range(300).select(F.col("id").alias("name"), F.lit("evm").alias("chain"), F.lit("t").alias("target")).unionByName(spark.createDataFrame([(None, "evm", "t"), (1, "evm", None), (2, "sol", "t")], "name long, chain string, target string"))
+    con = spark.createDataFrame([(i, "evm", "t") for i in range(20)] + [(7, "evm", None), (8, "sol", "t")], "contract long, chain string, target string")
+    got = INV.invariants_for(cfg, con, "evm").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 301 * 20 == len({(r["name"], r["contract"]) for r in got})
+    assert len({r["task"] for r in got}) > 16
