@@ -76,6 +76,21 @@ def test_dominators_of_a_long_chain_need_few_rounds(spark, monkeypatch):
     assert len(rounds) < 100
 
 
+def test_dominators_send_no_node_table_through_the_driver(spark, monkeypatch):
+    plans, counted = [], G.cut_counted
+    monkeypatch.setattr(G, "cut_counted", lambda df, *a: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or counted(df, *a))
+    monkeypatch.setattr(G, "cut_lineage", lambda df, *a: G.cut_counted(df, *a)[0])
+    rows = [(1, i, j) for i in range(30) for j in (2 * i, 2 * i + 1, i // 3) if 0 < j < 30 and i]
+    edges, entry = spark.createDataFrame(rows, "graph int, src long, dst long"), spark.createDataFrame([(1, 1)], "graph int, entry long")
+    found = G.loops(edges, entry)
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    back = {(a, b) for _, a, b in rows if b in {a >> s for s in range(6)}}
+    assert {(r["src"], r["dst"]) for r in found.collect()} >= {x for x in back if x[1] == 1}
+    # What may still be broadcast holds a row a graph: its entry.
+    assert sum(p.count("SortMergeJoin") for p in plans) > 20
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= 5
+
+
 def test_pattern_scan_meets_by_grams(spark, files):
     needles = ["call.value(", "tx.origin", "a", "ab", "", None, "日本語の", "x" * 300, "selfdestruct", "tx.o"]
     db = spark.createDataFrame([(f"p{i}", t, ["evm"], float(i)) for i, t in enumerate(needles)] + [("q", "tx.origin", ["sol"], 9.0), ("p9b", "tx.origin", ["evm"], 9.5)], "pattern_id string, needle string, chains array<string>, score double")
