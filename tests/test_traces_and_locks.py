@@ -84,3 +84,8 @@ def test_signals_tell_how_many_paths_they_have(spark, files):
     assert rows["e2e-tests"]["n_paths"] == 12 and rows["e2e-tests"]["evidence"] == [f"e2e/t{i:02}.js" for i in range(5)]
     assert rows["codeowners"]["n_paths"] == 0 and not rows["codeowners"]["present"]
     assert len({r["signal"]: r for r in RK.repo_signals(df).collect()}["e2e-tests"]["evidence"]) == 3
+
+
+def test_a_lockfile_is_parsed_as_json_once(files):
+    plan = L.parse_lockfiles(files([("a/package-lock.json", "{}")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") == 1
