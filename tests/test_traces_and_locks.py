@@ -89,3 +89,17 @@ def test_signals_tell_how_many_paths_they_have(spark, files):
 def test_a_lockfile_is_parsed_as_json_once(files):
     plan = L.parse_lockfiles(files([("a/package-lock.json", "{}")]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json(") + plan.count("parseJson") == 1
+
+
+def test_dependency_check_reads_lockfile_entries_once(spark, files, monkeypatch):
+    from auditloom.operators import sca
+    from auditloom.plans import deps as DP
+
+    calls, entries = [], L.npm_entries
+    for module in (DP, L):
+        monkeypatch.setattr(module, "npm_entries", lambda df: calls.append(1) or entries(df))
+    lock = '{"packages": {"": {}, "node_modules/a": {"version": "1", "resolved": "https://x/a", "hasInstallScript": true}, "node_modules/b": {"version": "2", "resolved": "https://x/b", "integrity": "s"}}}'
+    none = spark.createDataFrame([], "id string, ecosystem string, name string, ranges array<struct<intro:string,end:string,inclusive:boolean>>, versions array<string>, patched array<string>, unaffected array<string>, score double, informational string")
+    got = {(r["invariant_id"], r["file"], r["message"]) for r in DP.dependency_findings(files([("a/package-lock.json", lock)]), none).collect()}
+    assert got == {("sca_lockfile_missing_integrity", "a/package-lock.json", "1 of 2 entries without a hash"), ("sca_install_script_dependency", "a/package-lock.json", "a")}
+    assert len(calls) == 1
