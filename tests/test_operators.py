@@ -254,3 +254,12 @@ def test_invariants_of_one_target_are_many_tasks_work(spark):
     got = INV.invariants_for(cfg, con, "evm").withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 301 * 20 == len({(r["name"], r["contract"]) for r in got})
     assert len({r["task"] for r in got}) > 16
+
+
+def test_requirement_tests_are_many_tasks_work(spark, tmp_path):
+    from auditloom.catalog import q_sca
+
+    spark.range(2000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = q_sca.f7(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 2000 * len(q_sca.REQS) == len({(r["p_partkey"], r["req_no"]) for r in got})
+    assert len({r["task"] for r in got}) > 16
