@@ -263,3 +263,14 @@ def test_requirement_tests_are_many_tasks_work(spark, tmp_path):
     got = q_sca.f7(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 2000 * len(q_sca.REQS) == len({(r["p_partkey"], r["req_no"]) for r in got})
     assert len({r["task"] for r in got}) > 16
+
+
+def test_advisory_hits_are_not_sorted(spark):
+    packages = spark.createDataFrame([("r", "l", "npm", "A", "1.2")], "repo string, source_file string, ecosystem string, name string, version string")
+    rng = "array<struct<intro:string,end:string,inclusive:boolean>>"
+    adv = spark.createDataFrame(
+        [("X", "npm", "a", [("1", "2", False)], [], [], [], 9.5, None), ("X", "npm", "a", [("1", "2", False)], [], [], [], 3.0, "unmaintained"), ("Y", "npm", "a", [("1", "2", False)], [], [], [], 9.5, None)],
+        f"id string, ecosystem string, name string, ranges {rng}, versions array<string>, patched array<string>, unaffected array<string>, score double, informational string")
+    got = sca.vulnerable_packages(packages, adv)
+    assert sorted((r["advisory"], r["invariant_id"], r["severity"]) for r in got.collect()) == [("X", "sca_unmaintained_dependency", "Low"), ("Y", "sca_vulnerable_dependency", "Critical")]
+    assert "SortAggregate" not in got._jdf.queryExecution().sparkPlan().toString()
