@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as TX
+from ..session import cut_lineage
 from . import corpus
-from .keyed import first_by
+from .keyed import first_by, join_keys
 
 # Commit intent in priority order (pattern, base score, reason).
 INTENT = (
@@ -130,9 +131,40 @@ def file_areas(files: DataFrame, areas: dict[str, str] = AREAS) -> DataFrame:
 COMMIT, FILE = ["repo", "sha"], ["repo", "path"]
 
 
+#: Areas that one word of bits holds.
+WORD = 63
+
+
+def _area_bits(areas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo, path, word, bits) of every file, and (word, bit, area): areas as bits of as many words as they need.
+
+    Both are written aside, so that Spark sees their size.
+    """
+    known = cut_lineage(areas.select(*FILE, "area").distinct(), "areas")
+    no = F.row_number().over(Window.orderBy("area")) - 1
+    names = known.select("area").distinct().withColumn("_no", no).select(
+        F.floor(F.col("_no") / WORD).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_no") % WORD).alias("bit"), "area",
+    )
+    names = cut_lineage(names, "areas")
+    files = join_keys(known, names, ["area"]).groupBy(*FILE, "word").agg(F.bit_or("bit").alias("bits"))
+    return cut_lineage(files, "areas"), names
+
+
+def _commit_bits(commit_files: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, sha, word, bits): the areas of a commit's files. A file's areas are one number, not a row each, until its commit is one row."""
+    return commit_files.select(*COMMIT, "path").join(files, FILE).groupBy(*COMMIT, "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with one row an area instead of their bits."""
+    return rows.join(names, "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bits", "bit")
+
+
 def commit_domains(commit_files: DataFrame, areas: DataFrame) -> DataFrame:
     """(repo, commit, area) of a commit's files."""
-    return commit_files.join(areas, FILE).select(*COMMIT, "area").distinct()
+    files, names = _area_bits(areas)
+    return _named(_commit_bits(commit_files, files), names).select(*COMMIT, "area")
 
 
 def commit_shape(commit_files: DataFrame) -> DataFrame:
@@ -160,8 +192,9 @@ def score_commits(
     commits: DataFrame, commit_files: DataFrame, areas: DataFrame, diff: str | None = None
 ) -> DataFrame:
     """Intent + structure + domain + shape, never below zero; merges excluded. ``diff`` names a column of commits."""
-    domains = commit_domains(commit_files.filter("is_source"), areas).groupBy(*COMMIT).agg(
-        F.count("*").alias("n_domains")
+    files, _ = _area_bits(areas)
+    domains = _commit_bits(commit_files.filter("is_source"), files).groupBy(*COMMIT).agg(
+        F.sum(F.bit_count("bits")).alias("n_domains")
     )
     m = commits.filter(~F.col("is_merge")).join(commit_shape(commit_files), COMMIT, "left").join(domains, COMMIT, "left")
     m = m.na.fill(0, ["n_source", "n_test", "src_added", "src_deleted", "n_domains"])
@@ -255,8 +288,9 @@ def dangerous_areas(commits: DataFrame, commit_files: DataFrame, areas: DataFram
 
 def area_commits(commits: DataFrame, commit_files: DataFrame, areas: DataFrame, k: int = 15) -> DataFrame:
     """The newest k commits of every area of a repository."""
-    pairs = commit_domains(commit_files, areas).join(_live(commits, "date"), COMMIT)
-    return _top(pairs, k, [F.desc("date"), F.desc("sha")], ["repo", "area"])
+    files, names = _area_bits(areas)
+    pairs = _named(_commit_bits(commit_files, files).join(_live(commits, "date"), COMMIT), names)
+    return _top(pairs.select(*COMMIT, "area", "date"), k, [F.desc("date"), F.desc("sha")], ["repo", "area"])
 
 
 def late_changes(commits: DataFrame, commit_files: DataFrame, days: int) -> DataFrame:

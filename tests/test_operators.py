@@ -1,6 +1,7 @@
 """Set-based operators against brute force on small random or hand-written tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,26 @@ def test_advisory_hits_are_not_sorted(spark):
     got = sca.vulnerable_packages(packages, adv)
     assert sorted((r["advisory"], r["invariant_id"], r["severity"]) for r in got.collect()) == [("X", "sca_unmaintained_dependency", "Low"), ("Y", "sca_vulnerable_dependency", "Critical")]
     assert "SortAggregate" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_commit_domains_of_many_areas_send_a_row_a_commit(spark):
+    from auditloom.operators import history as H
+
+    # 70 areas need two words of bits; one area has no name, as a table may.
+    named = [f"area{i:02d}" for i in range(70)]
+    areas = spark.createDataFrame(
+        [("r", f"p{i % 5}", a) for i, a in enumerate(named)] + [("r", "p1", None), ("s", "p1", "area03"), ("r", "p0", "area00")],
+        "repo string, path string, area string",
+    )
+    touched = spark.createDataFrame(
+        [("r", "k1", "p0"), ("r", "k1", "p0"), ("r", "k1", "p1"), ("s", "k1", "p1"), ("r", "k2", "p9"), ("r", None, "p4")],
+        "repo string, sha string, path string",
+    )
+    expect = {("r", "k1", a) for i, a in enumerate(named) if i % 5 < 2} | {("r", "k1", None), ("s", "k1", "area03")}
+    expect |= {("r", None, a) for i, a in enumerate(named) if i % 5 == 4}
+    found = H.commit_domains(touched, areas)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expect
+    # Commits are grouped before their areas are listed, so no row an area is sent.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and not re.search(r"Aggregate \[repo#\d+, sha#\d+, area", plan)
