@@ -241,14 +241,15 @@ def stream_expire_leases(stream: DataFrame, out: str, lease_ms: int = 600_000, m
         return run_to_table(lease_changes(stream, lease_ms, max_attempts, watermark), "leases", out, checkpoint)
 
 
-def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str | None = None) -> None:
+def incremental_scan(files: DataFrame, scan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str | None = None, parts: int = 64) -> None:
     """New files through a scan with an idempotent sink: a replayed batch replaces its partition.
 
-    Scans are numbered by batch; the place is kept beside the target, so the numbers go on.
+    Scans are numbered by batch; the place is kept beside the target, so the numbers go on. A batch is dealt over ``parts``
+    tasks before it is scanned: it may come as one stored file, which one task would read and scan.
     """
 
     def step(batch: DataFrame, no: int) -> None:
-        upsert_findings(scan(batch).withColumn("scan_id", F.lit(no).cast("long")), target, [no])
+        upsert_findings(scan(batch.repartition(parts)).withColumn("scan_id", F.lit(no).cast("long")), target, [no])
 
     run_batches(files, "scan", step, checkpoint, target)
 

@@ -175,3 +175,13 @@ def test_user_rules_come_from_a_file(spark, files, tmp_path):
     rules = RD.read_rules(spark, str(tmp_path / "r.json"))
     out = scan_files(files([("a.py", "forbidden\nexcused\nforbidden\n"), ("b.js", "forbidden")]), rules).collect()
     assert [(r["file"], r["line"]) for r in out] == [("a.py", 1)]
+
+
+def test_a_batch_of_one_file_is_scanned_by_many_tasks(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(200).selectExpr("cast(id as string) fingerprint").coalesce(1).write.parquet(source)
+    scan = lambda b: b.withColumn("task", F.spark_partition_id())
+    ST.incremental_scan(spark.readStream.schema("fingerprint string").parquet(source), scan, target)
+    rows = spark.read.parquet(target)
+    assert rows.select("task").distinct().count() > 8
+    assert sorted(int(r["fingerprint"]) for r in rows.collect()) == list(range(200))
