@@ -245,19 +245,21 @@ class Pieces:
         for own, (_, before, first_end) in zip(units, texts):
             # A text that begins within a unit has its own start; all other units begin afresh.
             heads.append(self.walk(own.pop(0), before, first_end) if own and (before != NONE or first_end > 1) else [])
+        here = set(chain.from_iterable(units))
+        if len(self.memo) > _MEMO:
+            # Units that come again are likely frequent ones.
+            self.memo = {u: self.memo[u] for u in here if u in self.memo}
         memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        new = [u for u in set(chain.from_iterable(units)) if u not in memo]
+        new = [u for u in here if u not in memo]
         if len(new) >= 2000:
             self.encode_units(new)
         else:
             memo.update({u: tuple(self.walk(u)) for u in new if len(u) <= _SHORT})
         long = {u: self.walk(u) for u in new if len(u) > _SHORT}
-        out = []
-        for head, own in zip(heads, units):
-            parts = map(memo.get, own) if not long else (memo.get(u) or long[u] for u in own)
-            out.append(np.fromiter(chain(head, chain.from_iterable(parts)), np.int32))
+        memo.update(long)
+        out = [np.fromiter(chain(head, chain.from_iterable(map(memo.get, own))), np.int32) for head, own in zip(heads, units)]
+        for u in long:
+            del memo[u]
         return out
 
     def decode(self, ids) -> str:

@@ -309,3 +309,15 @@ def test_empty_tables(none, spark):
         mixing.mix(none), quality.score_quality(none, labels), lm_score.score_documents(none), pieces.encode_documents(none),
     ):
         assert out.count() == 0
+
+
+def test_pieces_remember_units_that_come_again(monkeypatch):
+    monkeypatch.setattr(pieces, "_MEMO", 3)
+    with open(pieces.MODEL, "rb") as f:
+        own = pieces.Pieces(f.read())
+    asked, walk = [], own.walk
+    monkeypatch.setattr(own, "walk", lambda u, *a: asked.append(u) or walk(u, *a))
+    texts = ["one two three four " + "x" * 40, "five two six " + "x" * 40, "two seven"]
+    got = [own.encode(pieces.mark(t)) for t in texts]
+    assert got == [own.lib.encode(t) for t in texts]
+    assert asked.count(pieces.mark("two")) == 1 and asked.count(pieces.mark("x" * 40)) == 2
