@@ -23,8 +23,6 @@ WINDOW = 50
 ANCHOR = 8
 #: Segments a shard holds on average; an anchor with more than HOT of them is settled by window digests.
 SHARD, HOT = 1000, 2000
-#: Shared windows of one anchor that are looked up together.
-KNOWN = 20_000
 _OTHER = U(0xA5A5A5A5A5A5A5A5)
 
 
@@ -202,49 +200,42 @@ def _windows_of(batch: pa.RecordBatch, window: int):
         yield batch.slice(a, b - a), row, s - first[row], *(Grams(h).runs(s, s + window).view(np.int64) for h in (hashes, mix(hashes ^ _OTHER)))
 
 
-def _window_digests(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, w1, w2, lo, hi): windows of segment texts with the least and largest document of each batch."""
+def _window_rows(rows: DataFrame, window: int) -> DataFrame:
+    """(anchor, digest, doc_id, at, w1, w2): the digests of every window of segment texts, with its place in the segment."""
 
     def batches(it):
         for batch in it:
-            for part, row, _, w1, w2 in _windows_of(batch, window):
-                seen = pd.DataFrame({"anchor": part.column(0).to_numpy()[row], "w1": w1, "w2": w2, "doc": part.column(2).to_numpy()[row]})
-                found = seen.groupby(["anchor", "w1", "w2"], sort=False)["doc"].agg(["min", "max"]).reset_index()
-                yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in zip(found, [pa.int64()] * 3 + [part.schema.field(2).type] * 2)], ["anchor", "w1", "w2", "lo", "hi"])
+            for part, row, at, w1, w2 in _windows_of(batch, window):
+                take = pa.array(row)
+                cols = [*(part.column(i).take(take) for i in range(3)), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "digest", "doc_id", "at", "w1", "w2"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"anchor long, w1 long, w2 long, lo {kind}, hi {kind}")
+    return rows.mapInArrow(batches, f"anchor long, digest long, doc_id {kind}, at int, w1 long, w2 long")
 
 
-def _known_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Spans of segments (anchor, digest, doc_id, words, known) whose windows are among ``known`` with a smaller document."""
+def _joined_spans(hits: DataFrame, window: int) -> DataFrame:
+    """Spans of segments from (anchor, digest, at) of their windows that count."""
 
     def batches(it):
         for batch in it:
-            out = []
-            for part, row, at, w1, w2 in _windows_of(batch, window):
-                for r in range(len(part)):
-                    x, y = np.searchsorted(row, (r, r + 1))
-                    known = {(k["w1"], k["w2"]): k["lo"] for k in part.column(4)[r].as_py()}
-                    doc = part.column(2)[r].as_py()
-                    hit = [a for a, k in zip(at[x:y], zip(w1[x:y].tolist(), w2[x:y].tolist())) if known.get(k, doc) < doc]
-                    if hit:
-                        out += [(part.column(0)[r].as_py(), part.column(1)[r].as_py(), s, n) for s, n in _spans(np.array(hit) + window - 1, window)]
+            out = [(anchor, digest, *span) for anchor, digest, ats in zip(*(c.to_pylist() for c in batch.columns)) for span in _spans(np.array(ats) + window - 1, window)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["anchor", "digest", "at", "n"])
 
-    return rows.mapInArrow(batches, _SPAN)
+    return hits.groupBy("anchor", "digest").agg(F.array_sort(F.collect_set("at")).alias("ats")).mapInArrow(batches, _SPAN)
 
 
 def _hot_spans(texts: DataFrame, window: int) -> DataFrame:
-    """What shards do, for anchors with many unlike segments: by digests of whole windows."""
-    part = lambda n: F.pmod(F.col("w1"), n)
-    known = cut_lineage(_window_digests(texts, window).groupBy("anchor", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").drop("hi"), "segments")
-    parts = known.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / KNOWN).cast("long").alias("parts"))
-    known = known.join(parts, "anchor").groupBy("anchor", part(F.col("parts")).alias("part")).agg(F.collect_list(F.struct("w1", "w2", "lo")).alias("known"))
-    asked = texts.join(parts, "anchor").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = asked.join(cut_lineage(known, "segments"), ["anchor", "part"])
-    return _known_windows(rows.select("anchor", "digest", "doc_id", "words", "known"), window)
+    """What shards do, for anchors with many unlike segments: by digests of whole windows, each met by equality.
+
+    A window that most segments have is one key of the join; its rows are split by adaptive skew handling.
+    """
+    rows = cut_lineage(_window_rows(texts, window), "segments")
+    key = ["anchor", "w1", "w2"]
+    known = rows.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    hits = rows.join(cut_lineage(known, "segments"), key).filter("lo < doc_id")
+    return _joined_spans(hits.select("anchor", "digest", "at"), window)
 
 
 def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, hot: int = HOT) -> DataFrame:

@@ -321,3 +321,16 @@ def test_pieces_remember_units_that_come_again(monkeypatch):
     got = [own.encode(pieces.mark(t)) for t in texts]
     assert got == [own.lib.encode(t) for t in texts]
     assert asked.count(pieces.mark("two")) == 1 and asked.count(pieces.mark("x" * 40)) == 2
+
+
+def test_hot_anchors_meet_windows_by_equality(spark):
+    rng = random.Random(21)
+    common = " ".join(f"c{n}" for n in range(14))
+    rows = [(n, " ".join(rng.choice("pqrstuv") for _ in range(rng.randrange(4, 20))) + f" {common} " + " ".join(rng.choice("xyz") for _ in range(rng.randrange(12)))) for n in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot, cold = ({tuple(r) for r in substring_dedup.dedup_substrings(docs, 10, anchor=3, hot=h).collect()} for h in (0, 2000))
+    assert hot == cold and sum(r[2] for r in hot) > 1000
+    # No list of an anchor's windows is handed to each of its segments.
+    texts = spark.createDataFrame([(1, n, n, text) for n, text in rows], "anchor long, digest long, doc_id long, words string")
+    plan = substring_dedup._hot_spans(texts, 10)._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" not in plan and "sequence" not in plan
