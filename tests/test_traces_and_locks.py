@@ -103,3 +103,42 @@ def test_dependency_check_reads_lockfile_entries_once(spark, files, monkeypatch)
     got = {(r["invariant_id"], r["file"], r["message"]) for r in DP.dependency_findings(files([("a/package-lock.json", lock)]), none).collect()}
     assert got == {("sca_lockfile_missing_integrity", "a/package-lock.json", "1 of 2 entries without a hash"), ("sca_install_script_dependency", "a/package-lock.json", "a")}
     assert len(calls) == 1
+
+
+def test_dependency_check_parses_npm_lockfiles_once(spark, files, monkeypatch):
+    from auditloom.plans import deps as DP
+
+    calls, parse = [], F.from_json
+    monkeypatch.setattr(L.F, "from_json", lambda c, schema, *a: calls.append(schema) or parse(c, schema, *a))
+    lock = '{"packages": {"": {}, "node_modules/a": {"version": "1", "resolved": "https://x/a", "hasInstallScript": true}}}'
+    odd = "{'packages': {'node_modules/b': {'version': '1', 'hasInstallScript': true}}}"
+    none = spark.createDataFrame([], "id string, ecosystem string, name string, ranges array<struct<intro:string,end:string,inclusive:boolean>>, versions array<string>, patched array<string>, unaffected array<string>, score double, informational string")
+    found = DP.dependency_findings(files([("a/package-lock.json", lock), ("vendor/package-lock.json", lock), ("b/package-lock.json", odd)]), none)
+    assert calls.count(L.NPM_LOCK) == 1
+    # Entries of other people's folders and of loose JSON count as before, packages of these do not.
+    got = {(r["file"], r["message"]) for r in found.filter("invariant_id = 'sca_install_script_dependency'").collect()}
+    assert got == {("a/package-lock.json", "a"), ("vendor/package-lock.json", "a"), ("b/package-lock.json", "b")}
+    assert L.parse_lockfiles(files([("vendor/package-lock.json", lock)])).count() == 0
+
+
+def test_look_alike_names_are_those_one_edit_or_swap_away(spark):
+    from auditloom.operators import sca
+
+    words = ["lodash", "re-act", "aabbcc"]
+    names = {"lodash", "lodahs", "oldash", "lodas", "lodashh", "ldash", "lodaxh", "xlodash", "lxodahs", "re_act", "re_atc", "REACT", "react", "aabcbc", "abacbc", "aabbc1", "aabbcc1", "zzzzzz"}
+    df = spark.createDataFrame([("r", "npm", n, "1", "f") for n in sorted(names)], "repo string, ecosystem string, name string, version string, source_file string")
+
+    def near(a, b):
+        less = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+        swaps = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+        one = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+        return a != b and (one or b in less(a) or a in less(b) or b in swaps)
+
+    want = set()
+    for n in names - set(words):
+        a = n.lower().replace("_", "-")
+        for w in words:
+            if len(a) >= 5 and near(a, w) and not (a.startswith(w) and a[len(w) :].isdigit()):
+                want.add((n, w))
+                break
+    assert {(r["name"], r["target"]) for r in sca.typosquats(df, {"npm": words}).collect()} == want and len(want) > 8
